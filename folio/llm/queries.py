@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm import byte_bpe, license_scan, simhash
+from folio.llm import byte_bpe, license_scan, quality, simhash
 from folio.llm.common import table
 
 
@@ -13,6 +13,12 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -28,7 +34,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_license_scan": op1_license_scan, "op5_byte_bpe": op5_byte_bpe, "op10_simhash": op10_simhash}
+    return {"op1_license_scan": op1_license_scan, "op4_quality": op4_quality, "op5_byte_bpe": op5_byte_bpe, "op10_simhash": op10_simhash}
 
 
 def oracle_sql() -> dict:
