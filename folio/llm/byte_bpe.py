@@ -19,8 +19,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Longest cut that goes through the matrices; cuts whose ids a worker keeps between batches.
-MATRIX_BYTES, KEPT_CUTS = 256, 1_000_000
+from folio.llm.pieces import PieceIds, gather
+
+#: Longest cut that goes through the matrices.
+MATRIX_BYTES = 256
 
 _NONE = np.int32(2**31 - 1)
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
@@ -83,20 +85,7 @@ class Codec:
         self.lengths = np.array([len(t) for t in tokens], np.int64)
         self.starts = np.concatenate([[0], np.cumsum(self.lengths)[:-1]])
         self.bytes = np.frombuffer(b"".join(tokens), np.uint8)
-        self._reset()
-
-    def _reset(self) -> None:
-        self.known: dict[str, int] = {}
-        self.flat, self.flat_size = np.empty(1 << 16, np.int32), 0
-        self.first, self.size = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64)
-
-    @staticmethod
-    def _room(a: np.ndarray, size: int) -> np.ndarray:
-        if size <= len(a):
-            return a
-        more = np.empty(max(size, 2 * len(a)), a.dtype)
-        more[: len(a)] = a
-        return more
+        self.pieces = PieceIds(self.cut, lambda cuts: self.encode_cuts([c.encode() for c in cuts]))
 
     def merge_rows(self, cuts: list[bytes]) -> list[np.ndarray]:
         """The ids of cuts of like length, by rounds over one padded matrix."""
@@ -173,42 +162,12 @@ class Codec:
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, where each text's ids begin and the last one's end)."""
-        if len(self.known) > KEPT_CUTS:
-            self._reset()
-        cuts = [self.cut(t) if t else [] for t in texts]
-        known = self.known
-        fresh = [c for c in dict.fromkeys(c for own in cuts for c in own) if c not in known]
-        if fresh:
-            made = self.encode_cuts([c.encode() for c in fresh])
-            sizes = np.array([len(m) for m in made], np.int64)
-            base, many = len(known), len(known) + len(fresh)
-            self.first, self.size = self._room(self.first, many), self._room(self.size, many)
-            self.size[base:many] = sizes
-            self.first[base:many] = self.flat_size + np.cumsum(sizes) - sizes
-            self.flat = self._room(self.flat, self.flat_size + int(sizes.sum()))
-            self.flat[self.flat_size : self.flat_size + int(sizes.sum())] = np.concatenate(made)
-            self.flat_size += int(sizes.sum())
-            known.update(zip(fresh, range(base, many)))
-        ids, ends = [np.empty(0, np.int32)], [0]
-        for own in cuts:
-            code = np.fromiter(map(known.__getitem__, own), np.int64, len(own))
-            ids.append(gather(self.flat, self.first[code], self.size[code]))
-            ends.append(ends[-1] + len(ids[-1]))
-        return np.concatenate(ids), np.array(ends, np.int64)
+        return self.pieces.encode(texts)
 
     def decode(self, ids: np.ndarray) -> np.ndarray:
         return gather(self.bytes, self.starts[ids], self.lengths[ids])
 
 
-def gather(source: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """source[start : start + size] of all pieces, one behind the other."""
-    total = int(sizes.sum())
-    if not total:
-        return source[:0]
-    shift = np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
-    return source[shift + np.arange(total)]
-
-
 def read_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as lines:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
