@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm import byte_bpe, license_scan, quality, simhash
+from folio.llm import byte_bpe, embedding_dedup, license_scan, packing, quality, simhash
 from folio.llm.common import table
 
 
@@ -28,13 +28,23 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def queries() -> dict:
-    return {"op1_license_scan": op1_license_scan, "op4_quality": op4_quality, "op5_byte_bpe": op5_byte_bpe, "op10_simhash": op10_simhash}
+    return {"op1_license_scan": op1_license_scan, "op4_quality": op4_quality, "op5_byte_bpe": op5_byte_bpe, "op6_packing": op6_packing, "op7_embedding_dedup": op7_embedding_dedup, "op10_simhash": op10_simhash}
 
 
 def oracle_sql() -> dict:
