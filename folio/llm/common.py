@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import re
 import tempfile
 import uuid
 
@@ -21,7 +22,7 @@ def shared_dir(spark: SparkSession) -> str:
         return named.rstrip("/")
     given = spark.sparkContext._jsc.sc().getCheckpointDir()
     if given.isDefined():
-        return given.get().rstrip("/")
+        return re.sub("^file:/(?!/)", "file:///", given.get().rstrip("/"))
     own = f"file://{tempfile.mkdtemp(prefix='folio-shared-')}"
     spark.sparkContext.setCheckpointDir(own)
     return own
