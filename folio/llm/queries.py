@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm import ann, byte_bpe, embedding_dedup, license_scan, line_dedup, packing, quality, simhash, warc
+from folio.llm import ann, byte_bpe, embedding_dedup, license_scan, line_dedup, packing, pii, quality, simhash, warc
 from folio.llm.common import table
 
 
@@ -51,13 +51,17 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.remove_repeats(table(spark, sf_dir, "documents"), counts=True).select("doc_id", "n_lines", "n_removed", "text")
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.replace_entities(table(spark, sf_dir, "documents"), counts=True).select("doc_id", "n_entities", "text")
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def queries() -> dict:
-    return {"op1_license_scan": op1_license_scan, "op2_ann": op2_ann, "op3_warc": op3_warc, "op4_quality": op4_quality, "op5_byte_bpe": op5_byte_bpe, "op6_packing": op6_packing, "op7_embedding_dedup": op7_embedding_dedup, "op8_line_dedup": op8_line_dedup, "op10_simhash": op10_simhash}
+    return {"op1_license_scan": op1_license_scan, "op2_ann": op2_ann, "op3_warc": op3_warc, "op4_quality": op4_quality, "op5_byte_bpe": op5_byte_bpe, "op6_packing": op6_packing, "op7_embedding_dedup": op7_embedding_dedup, "op8_line_dedup": op8_line_dedup, "op9_pii": op9_pii, "op10_simhash": op10_simhash}
 
 
 def oracle_sql() -> dict:
