@@ -41,7 +41,7 @@ class PieceIds:
         if len(self.known) > self.most:
             self._reset()
         cuts = [self.cut(t) if t else [] for t in texts]
-        fresh = [c for c in dict.fromkeys(c for own in cuts for c in own) if c not in self.known]
+        fresh = list(set().union(*cuts).difference(self.known))
         if fresh:
             made = self.encode_pieces(fresh)
             sizes = np.array([len(m) for m in made], np.int64)
