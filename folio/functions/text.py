@@ -94,6 +94,13 @@ def keywords(text: Column) -> Column:
     return F.array_sort(F.array_except(F.array_distinct(words), F.array(*map(F.lit, STOP_WORDS))))
 
 
+def keyword_list(text: str) -> list[str]:
+    """``keywords`` of a literal."""
+    import re
+
+    return sorted(set(re.findall("[a-z][a-z0-9_-]{3,}", text.lower())) - set(STOP_WORDS))
+
+
 def token_count(text: Column, per: int = 4) -> Column:
     return F.greatest(F.lit(1), F.floor(F.length(text) / per)).cast("long")
 

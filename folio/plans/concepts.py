@@ -1 +1,79 @@
-"""Queries."""
+"""Queries of the concept family: glossary, alias map, registry fold, link audits."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from folio.operators import concepts as K
+from folio.plans.registry import query
+from folio.session import table
+
+C = F.col
+_KEY = r"regexp_replace(lower({}), '[^\p{{L}}\p{{N}}\p{{M}}]+', '', 'g')"
+
+
+def _names(spark, sf):
+    name = F.when(C("p_partkey") % 3 == 0, F.upper("p_name")).otherwise(C("p_name"))
+    return table(spark, sf, "part").select("p_brand", "p_partkey", name.alias("name"), F.concat(F.lit("ch"), C("p_size").cast("string")).alias("chapter"))
+
+
+_SQL_NAMES = "n AS (SELECT p_brand, p_partkey, CASE WHEN p_partkey % 3 = 0 THEN upper(p_name) ELSE p_name END AS name, 'ch' || p_size AS chapter FROM part)"
+
+
+@query("XA07_glossary", f"""WITH {_SQL_NAMES}, g AS (SELECT p_brand, {_KEY.format('name')} AS key, arg_min(name, p_partkey) AS canonical, arg_min(chapter, p_partkey) AS first_chapter, list(DISTINCT name) AS names FROM n GROUP BY ALL)
+SELECT p_brand, key, canonical, array_to_string(list_sort(list_filter(names, lambda x: x <> canonical)), ',') AS aliases, first_chapter FROM g""")
+def _(spark, sf):
+    made = K.glossary(_names(spark, sf), "p_brand", "name", "chapter", "p_partkey")
+    return made.withColumn("aliases", F.array_join("aliases", ","))
+
+
+_SQL_VARIANTS = f"""v AS (SELECT s_name AS canonical, s_suppkey * 10 AS o, s_name AS variant FROM supplier UNION ALL SELECT s_name, s_suppkey * 10 + 1, {_KEY.format('s_name')} FROM supplier
+  UNION ALL SELECT s_name, s_suppkey * 10 + 2, 'Nation ' || s_nationkey FROM supplier UNION ALL SELECT s_name, s_suppkey * 10 + 3, 'nation' || s_nationkey FROM supplier),
+m AS (SELECT variant, arg_max(canonical, o) AS canonical FROM v GROUP BY variant)"""
+
+
+def _variants(spark, sf):
+    entries = table(spark, sf, "supplier").select(C("s_name").alias("canonical"), F.array(F.concat(F.lit("Nation "), C("s_nationkey").cast("string"))).alias("aliases"), C("s_suppkey").alias("ord"))
+    return K.alias_map(entries, "ord")
+
+
+@query("CH18_alias_map", f"WITH {_SQL_VARIANTS} SELECT variant, canonical FROM m")
+def _(spark, sf):
+    return _variants(spark, sf)
+
+
+@query("CH15_known_and_new", f"WITH {_SQL_VARIANTS} SELECT c_custkey, coalesce(canonical, '+') AS canonical FROM customer LEFT JOIN m ON variant = 'nation' || c_nationkey")
+def _(spark, sf):
+    candidates = table(spark, sf, "customer").select("c_custkey", F.concat(F.lit("NATION-"), C("c_nationkey").cast("string")).alias("name"))
+    return K.known_and_new(candidates, "name", _variants(spark, sf)).select("c_custkey", F.coalesce("canonical", F.lit("+")).alias("canonical"))
+
+
+@query("CH13_registry_fold")
+def _(spark, sf):
+    parts = table(spark, sf, "part")
+    op = F.element_at(F.array(*map(F.lit, ["add_concept", "add_concept", "add_alias", "rename_canonical", "merge", "add_concept"])), (C("p_partkey") % 6 + 1).cast("int"))
+    chapter = F.concat(F.lit("ch"), C("p_size").cast("string"))
+    into = F.expr("CAST(array() AS array<struct<canonical: string, aliases: array<string>>>)")
+    edits = parts.select(C("p_brand").alias("book"), chapter.alias("chapter"), C("p_size").alias("chapter_ord"), C("p_partkey").alias("op_ord"), op.alias("op"), C("p_name").alias("name"), C("p_type").alias("other"), F.array("p_type").alias("aliases"), into.alias("into"))
+    return K.fold_registry(edits)
+
+
+_LINKED = "SELECT doc_id, lang, source FROM documents"
+
+
+def _linked(spark, sf):
+    text = F.concat(F.lit("[["), F.upper("lang"), F.lit("]] [[German]] <PreviewLink href={\"/docs/concepts/"), "source", F.lit("\"} /> <PreviewLink href=\"/docs/chapters/"), "lang", F.lit("\" />"), C("text"))
+    return table(spark, sf, "documents").select("doc_id", text.alias("text"))
+
+
+@query("XD01_term_drift", "SELECT doc_id, upper(lang) AS target, CASE lang WHEN 'de' THEN 'German' ELSE 'English' END AS canonical FROM documents WHERE lang IN ('de', 'en')")
+def _(spark, sf):
+    variants = spark.createDataFrame([("de", "German"), ("en", "English"), ("German", "German")], "variant string, canonical string")
+    return K.term_drift(_linked(spark, sf), "doc_id", "text", variants)
+
+
+@query("XD02_unresolved_links", """SELECT doc_id, source AS target FROM documents WHERE source NOT IN (SELECT source FROM documents WHERE doc_id < 7) UNION ALL SELECT doc_id, lang FROM documents WHERE lang <> 'de'
+UNION ALL SELECT doc_id, '[[' || upper(lang) || ']]' FROM documents UNION ALL SELECT doc_id, '[[German]]' FROM documents""")
+def _(spark, sf):
+    known = table(spark, sf, "documents").where("doc_id < 7").select(C("source").alias("slug")).distinct()
+    return K.unresolved_links(_linked(spark, sf), "doc_id", "text", known, spark.createDataFrame([("de",)], "slug string"))
