@@ -68,7 +68,8 @@ def rag_chunks(pages: DataFrame, most: int = 1200) -> DataFrame:
         return F.struct(section.alias("section_id"), path.alias("heading_path"), text.alias("text"), refs.alias("source_refs"))
 
     shown = F.filter(sections(body), lambda s: F.coalesce(F.lower(F.trim(F.element_at(F.split(s["heading_path"], " > "), -1))) != "referenced by", F.lit(True)))
-    parts = F.flatten(F.transform(shown, lambda s: F.transform(packed(T.plain_text(s["raw"]), most), lambda p: F.struct(s.alias("s"), p.alias("p"), F.size(packed(T.plain_text(s["raw"]), most)).alias("n")))))
+    cut = F.transform(shown, lambda s: F.struct(s.alias("s"), packed(T.plain_text(s["raw"]), most).alias("ps")))
+    parts = F.flatten(F.transform(cut, lambda x: F.transform(x["ps"], lambda p: F.struct(x["s"].alias("s"), p.alias("p"), F.size(x["ps"]).alias("n")))))
     first = F.when(summary != "", F.array(chunk(F.lit("summary"), F.concat("title", F.lit(" > Summary")), summary, F.col("source_refs")))).otherwise(F.array().cast(kind))
     shift = F.size("folio_first")
     listed = pages.withColumn("folio_first", first).withColumn("folio_parts", parts)
