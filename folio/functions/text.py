@@ -152,3 +152,50 @@ def fingerprint(*fields: Column) -> Column:
 def string_array(json: Column) -> Column:
     """The strings of a JSON array; anything else is an empty array."""
     return F.coalesce(F.from_json(json, "array<string>"), F.array().cast("array<string>"))
+
+
+def match_query(text: Column) -> Column:
+    """Words of three characters or more as quoted phrases, any of which may match."""
+    words = F.filter(F.split(text, r"\s+"), lambda w: F.length(w) >= 3)
+    return F.array_join(F.transform(words, lambda w: F.concat(F.lit('"'), F.replace(w, F.lit('"'), F.lit('""')), F.lit('"'))), " OR ")
+
+
+def graph_summary(text: Column, most: int = 140) -> Column:
+    """One line that keeps its formulas; a cut never falls between two dollar signs."""
+    line = F.replace(F.replace(F.regexp_replace(strip(text), r"\s+", " "), F.lit("**"), F.lit("")), F.lit("`"), F.lit(""))
+    cut = F.substring(line, 1, most)
+    inside = (F.length(cut) - F.length(F.replace(cut, F.lit("$"), F.lit("")))) % 2 == 1
+    whole = F.when(inside, F.regexp_replace(cut, r"\$[^$]*$", "")).otherwise(cut)
+    return F.when(F.length(line) <= most, line).otherwise(F.concat(F.rtrim(whole), F.lit("…")))
+
+
+def task_key(*fields: str) -> Column:
+    """24 hex digits over the JSON of the fields in order of name."""
+    return F.substring(F.sha2(F.to_json(F.struct(*sorted(fields))), 256), 1, 24)
+
+
+def heading_topic(heading: Column) -> Column:
+    """What a chapter heading is about; '' for less than four characters."""
+    bare = F.regexp_replace(F.regexp_replace(heading, r"(?i)^chapter\s+\d+\s+", ""), r"\([^)]*\)", "")
+    topic = F.regexp_replace(F.regexp_replace(bare, r"\s+", " "), r"^[ :-]+|[ :-]+$", "")
+    topic = F.regexp_replace(topic, r"(?i)^the ", "")
+    return F.when(F.length(topic) < 4, "").otherwise(topic)
+
+
+def numbered_questions(text: Column, least: int = 8, most: int = 50) -> Column:
+    """The numbered lines of a text, without their numbers; short ones are none."""
+    lead = r"^\s*(?:\d+|[一二三四五六七八九十]+)\s*[.、．)]\s*"
+    lines = F.filter(F.split(text, r"\r\n?|\n"), lambda line: line.rlike(lead))
+    return F.slice(F.filter(F.transform(lines, lambda line: strip(F.regexp_replace(line, lead, ""))), lambda q: F.length(q) >= least), 1, most)
+
+
+def graded(checks: list[Column]) -> tuple[Column, Column]:
+    """Share of answers that are right, and the verdict."""
+    right = sum((c.cast("int") for c in checks), F.lit(0))
+    return right / F.lit(float(len(checks))), F.when(right == len(checks), "correct").when(right == 0, "incorrect").otherwise("partial")
+
+
+def paged(text: Column) -> Column:
+    """Form feeds as page marks, counted from 1."""
+    pages = F.transform(F.split(text, "\f"), lambda page, i: F.concat(F.lit("<!-- page "), (i + 1).cast("string"), F.lit(" -->\n"), page))
+    return F.array_join(pages, "\n\n")

@@ -88,3 +88,25 @@ def islands(rows: DataFrame, group: str, low: Column, high: Column) -> DataFrame
     starts = spans.withColumn("new", F.coalesce((F.col("low") > before + 1).cast("int"), F.lit(1)))
     numbered = starts.withColumn("island", F.sum("new").over(by.rowsBetween(Window.unboundedPreceding, 0)))
     return numbered.groupBy(group, "island").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.count("*").alias("n")).drop("island")
+
+
+def capped(rows: DataFrame, section: str, block: str, order: list[str], per_block: int, per_section: int) -> DataFrame:
+    """The first rows of each block, and of those the first of each section; both windows share one exchange by section."""
+    dealt = rows.repartition(section)
+    first = dealt.withColumn("_n", F.row_number().over(Window.partitionBy(section, block).orderBy(*order))).where(F.col("_n") <= per_block)
+    by = Window.partitionBy(section).orderBy(order[0], block, *order[1:])
+    return first.withColumn("_n", F.row_number().over(by)).where(F.col("_n") <= per_section).drop("_n")
+
+
+def merged_parts(parts: DataFrame, group: str, key: str, value: str, order: str, reset: Column) -> DataFrame:
+    """(group, key, value): the last value of each key among the parts after the group's last reset."""
+    resets = parts.where(reset).groupBy(group).agg(F.max(order).alias("_reset"))
+    after = parts.join(resets, group, "left").where(F.col("_reset").isNull() | (F.col(order) > F.col("_reset")))
+    return after.groupBy(group, key).agg(F.max(F.struct(order, value))[value].alias(value))
+
+
+def filled_slots(items: DataFrame, slots: DataFrame, slot: str) -> DataFrame:
+    """Slots with their items; slots without one go, an item without a slot is an error."""
+    joined = items.join(slots.withColumn("_slot", F.lit(True)), slot, "left")
+    known = F.when(F.col("_slot").isNull(), F.raise_error(F.lit("an item has no slot")).cast("boolean")).otherwise(True)
+    return joined.where(known).drop("_slot")

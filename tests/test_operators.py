@@ -133,3 +133,13 @@ def test_islands_and_coverage_of_nothing(spark):
     rows = spark.createDataFrame([(1, 0, 2), (1, 3, 4), (1, 9, 9)], "g int, a int, b int")
     assert sorted(tuple(r) for r in relational.islands(rows, "g", F.col("a"), F.col("b")).collect()) == [(1, 0, 4, 2), (1, 9, 9, 1)]
     assert relational.coverage(rows.where("g > 1"), ["a"], F.lit(True)).first().ratio == 1.0
+
+
+def test_item_without_slot_is_an_error(spark):
+    from folio.operators import relational as R
+
+    slots = spark.createDataFrame([(1,), (2,)], "slot int")
+    good = spark.createDataFrame([(1, "a")], "slot int, item string")
+    assert [tuple(r) for r in R.filled_slots(good, slots, "slot").collect()] == [(1, "a")]
+    with pytest.raises(Exception, match="no slot"):
+        R.filled_slots(spark.createDataFrame([(3, "a")], "slot int, item string"), slots, "slot").collect()
