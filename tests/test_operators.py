@@ -136,10 +136,8 @@ def test_islands_and_coverage_of_nothing(spark):
 
 
 def test_item_without_slot_is_an_error(spark):
-    from folio.operators import relational as R
-
     slots = spark.createDataFrame([(1,), (2,)], "slot int")
     good = spark.createDataFrame([(1, "a")], "slot int, item string")
-    assert [tuple(r) for r in R.filled_slots(good, slots, "slot").collect()] == [(1, "a")]
+    assert [tuple(r) for r in relational.filled_slots(good, slots, "slot").collect()] == [(1, "a")]
     with pytest.raises(Exception, match="no slot"):
-        R.filled_slots(spark.createDataFrame([(3, "a")], "slot int, item string"), slots, "slot").collect()
+        relational.filled_slots(spark.createDataFrame([(3, "a")], "slot int, item string"), slots, "slot").collect()
