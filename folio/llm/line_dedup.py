@@ -9,7 +9,7 @@ The first place of a selected line in the corpus is its anchor, and so is the fi
 equal window. Each later text is aligned with the anchors' texts (and a repetition inside one text with the place
 before it), the match is extended both ways as far as the lines stay equal, and runs of at least ``min_words`` words
 are deleted. A line goes only if an equal one stands at an earlier place, so its first occurrence always stays. A
-selected line with n places makes at most 2 n alignments.
+selected line makes at most four alignments for each window that selects it: two with anchors, two inside its text.
 """
 
 from __future__ import annotations
@@ -47,19 +47,22 @@ def sequences(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 
 def selected(sequence: DataFrame, min_words: int) -> DataFrame:
-    """(row, doc, pos, hash, around, before): the lines that some window of at least ``min_words`` words selects.
+    """(row, doc, pos, hash, around, before, same): for each window of at least ``min_words`` words the line that it selects.
 
-    ``around`` is a hash of that window, ``before`` the place of the same line before it in the text. Whole sequences are
+    ``around`` is a hash of the window's lines in order, ``before`` the place of the same line before it in the text,
+    ``same`` that before it in an equal window. A line is there once for each of its windows: the first may begin in
+    front of a run that texts share, and so differ between them. Whole sequences are
     dealt by row once; all windows go by row and keep to that.
     """
     lines = sequence.repartition("row").select("row", "doc", F.posexplode(F.arrays_zip("h", "w")).alias("pos", "line")).select("row", "doc", "pos", "line.h", "line.w")
     by_row = Window.partitionBy("row")
     placed = lines.withColumn("at", F.sum("w").over(by_row.orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("w")).where("w > 0")
     window = by_row.orderBy("at").rangeBetween(0, min_words - 1)
-    chosen = placed.select("row", "doc", "at", F.min(F.struct("h", "pos")).over(window).alias("least"), F.bit_xor("h").over(window).alias("around"), F.sum("w").over(window).alias("words")).where(F.col("words") >= min_words)
-    changed = chosen.withColumn("last", F.lag("least.pos").over(by_row.orderBy("at"))).where("last IS NULL OR last <> least.pos")
-    prints = changed.select("row", "doc", F.col("least.pos").alias("pos"), F.col("least.h").alias("hash"), "around")
-    return prints.withColumn("before", F.lag("pos").over(Window.partitionBy("row", "hash").orderBy("pos")))
+    chosen = placed.select("row", "doc", "at", F.min(F.struct("h", "pos")).over(window).alias("least"), F.xxhash64(F.collect_list("h").over(window)).alias("around"), F.sum("w").over(window).alias("words")).where(F.col("words") >= min_words)
+    prints = chosen.select("row", "doc", F.col("least.pos").alias("pos"), F.col("least.h").alias("hash"), "around")
+    earlier = Window.partitionBy("row", "hash").orderBy("pos").rangeBetween(Window.unboundedPreceding, -1)
+    alike = Window.partitionBy("row", "hash", "around").orderBy("pos")
+    return prints.withColumn("before", F.max("pos").over(earlier)).withColumn("same", F.lag("pos").over(alike))
 
 
 def alignments(prints: DataFrame) -> DataFrame:
@@ -70,9 +73,10 @@ def alignments(prints: DataFrame) -> DataFrame:
     the result is spooled.
     """
     place = F.min(F.struct("doc", "row", "pos"))
-    first = spool(prints.groupBy("hash").agg(place.alias("anchor"), F.count("*").alias("n")).where("n > 1").select("hash", "anchor"), "line-anchors")
-    inside = spool(prints.where("before IS NOT NULL").select("row", F.col("row").alias("other"), (F.col("pos") - F.col("before")).alias("shift")), "line-inside")
-    across = spool(prints.where("before IS NULL").drop("before").join(first, "hash"), "line-met")
+    first = spool(prints.groupBy("hash").agg(place.alias("anchor"), F.max(F.struct("doc", "row", "pos")).alias("latest")).where("anchor <> latest").select("hash", "anchor"), "line-anchors")
+    repeats = prints.where("before IS NOT NULL").select("row", "pos", F.explode(F.array_distinct(F.array_compact(F.array("before", "same")))).alias("at"))
+    inside = spool(repeats.select("row", F.col("row").alias("other"), (F.col("pos") - F.col("at")).alias("shift")).distinct(), "line-inside")
+    across = spool(prints.where("same IS NULL").drop("before", "same").join(first, "hash"), "line-met")
     discard(prints)
     discard(first)
     like = spool(across.groupBy("hash", "around").agg(place.alias("like")), "line-like")

@@ -116,6 +116,22 @@ def test_matches_pairwise_brute_force(spark):
     assert [got[i] for i, _ in rows] == naive(rows, 15)
 
 
+def test_hot_line_opens_runs_of_later_texts(spark):
+    """Short lines that stand first in another text, also twice in a text, open a run of two or three lines."""
+    rng = random.Random(5)
+    line = lambda least, most: " ".join(f"w{rng.randrange(10**6)}" for _ in range(rng.randrange(least, most))) + "."
+    rows = []
+    for k in range(60):
+        hot, passage = line(2, 4), [line(7, 15) for _ in range(1 + k % 2)]
+        texts = [[line(5, 9), hot, line(5, 9), line(5, 9)]]
+        for _ in range(2):
+            again = [hot, line(8, 12)] if k % 3 == 0 else []
+            texts.append([*again, line(3, 9), line(3, 9), hot, *passage, line(3, 9), line(3, 9)])
+        rows += [(3 * k + i, "\n".join(t)) for i, t in enumerate(texts)]
+    got = {r.doc_id: r.text for r in L.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), min_words=12).collect()}
+    assert [got[i] for i, _ in rows] == naive(rows, 12)
+
+
 def test_odd_rows(spark):
     long = "The same twelve words stand here again and again in this line. "
     rows = [(1, None), (None, long * 3), (2, ""), (2, ""), (3, long * 2000), (4, "short"), (5, "short"), (6, long * 3), (6, long * 3), (7, "\n\n\n")]
