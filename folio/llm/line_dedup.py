@@ -1,15 +1,22 @@
 """Line dedup by winnowing over line hashes, in DataFrame operations only.
 
-A text is cut into lines, and long lines after each sentence, since passages are often copied without their line
-breaks. A window is the shortest run of lines with at least ``min_words`` words; each window selects its line of
-minimum hash, the leftmost of equal ones. Two texts that share a run of so many words share a whole window and thus a
-selected line: every such run is found, while only the selected lines are joined.
+A text is cut into lines: at line breaks, behind the marks that end sentences and clauses, and in long stretches without
+marks behind words with certain last letters, since passages are often copied without their line breaks and pasted
+into the middle of other lines: wherever they stand, they are cut alike. A window is the shortest run of lines
+with at least ``min_words`` words; each window selects its line of minimum hash, the leftmost of equal ones. Two texts
+that share a run of so many words in whole lines share a window and thus a selected line: every such run is found,
+while only the selected lines are joined.
 
 The first place of a selected line in the corpus is its anchor, and so is the first place where it was selected by an
 equal window. Each later text is aligned with the anchors' texts (and a repetition inside one text with the place
-before it), the match is extended both ways as far as the lines stay equal, and runs of at least ``min_words`` words
-are deleted. A line goes only if an equal one stands at an earlier place, so its first occurrence always stays. A
-selected line makes at most four alignments for each window that selects it: two with anchors, two inside its text.
+before it), and the match is extended both ways word by word, into the lines that are equal in part. What stands there
+for at least ``min_words`` words goes: words are compared themselves, not by hashes, and each that goes stands at an
+earlier place, so its first occurrence always stays. A selected line makes at most four alignments for each window that
+selects it: two with anchors, two inside its text.
+
+What may stay: the words at a run's end that fill no window, where the window before them was first seen in a text that
+goes on differently (fewer than ``min_words`` words); and passages pasted into the middle of lines whose whole lines
+have fewer words. Words are what white space divides, so scripts without spaces are matched by whole sentences.
 """
 
 from __future__ import annotations
@@ -22,13 +29,29 @@ from folio.llm.common import discard, spool
 #: Words of a repeated run that is deleted.
 MIN_WORDS = 20
 
-#: Where a text is cut: behind line breaks, and behind the white space that ends a sentence.
-CUT = r"(?<=\n)(?=[^\n])|(?<=[.!?] )(?=\S)"
+#: Where a text is cut: behind line breaks, and behind the white space after a mark.
+CUT = r"(?<=\n)(?=[^\n])|(?<=[.!?,;:] )(?=\S)"
+#: A line of more words than ``LONG`` is cut behind each word that ends in one of ``ENDS``, after ``MOST`` words at the latest.
+LONG, MOST, ENDS = 16, 12, "ndND05нйνςの"
+PART = rf"(?:\S++ ){{0,{MOST - 1}}}?\S*[{ENDS}](?: |$)|(?:\S++ ?+){{1,{MOST}}}"
+#: Alignments with one text that share a copy of it when they are compared.
+SHARE = 1000
 
 
-def lines_of(text: Column) -> Column:
-    """The lines of a text; joined they are the text again."""
-    return F.split(F.coalesce(text, F.lit("")), CUT, -1)
+def words_of(text: Column) -> Column:
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"\S+"), F.lit(0))
+
+
+def lines_of(text: Column | str) -> Column:
+    """The lines of a text, single spaces between their words."""
+    tidy = F.transform(F.split(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")), CUT, -1), lambda line: F.trim(F.regexp_replace(line, r"\s+", " ")))
+    cut = F.transform(tidy, lambda line: F.when(_size(line) > LONG, F.regexp_extract_all(line, F.lit(PART), F.lit(0))).otherwise(F.array(line)))
+    return F.transform(F.flatten(cut), lambda line: F.trim(line))
+
+
+def _size(line: Column) -> Column:
+    """Words of a tidy line."""
+    return F.when(line == "", 0).otherwise(F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1)
 
 
 def _row_key(doc_id: Column, text: Column) -> Column:
@@ -37,36 +60,32 @@ def _row_key(doc_id: Column, text: Column) -> Column:
 
 def sequences(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """(row, doc, h, w): hashes and words of the lines of each row; ``row`` tells rows apart that differ in doc_id or text."""
-    trimmed = F.transform(lines_of(F.col(text)), lambda line: F.trim(F.regexp_replace(line, r"\s+", " ")))
-    return docs.select(_row_key(F.col(doc_id), F.col(text)).alias("row"), F.col(doc_id).cast("long").alias("doc"), trimmed.alias("lines")).select(
-        "row",
-        "doc",
-        F.transform("lines", lambda line: F.xxhash64(line)).alias("h"),
-        F.transform("lines", lambda line: F.when(line == "", 0).otherwise(F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1)).alias("w"),
+    return docs.select(_row_key(F.col(doc_id), F.col(text)).alias("row"), F.col(doc_id).cast("long").alias("doc"), lines_of(F.col(text)).alias("lines")).select(
+        "row", "doc", F.transform("lines", lambda line: F.xxhash64(line)).alias("h"), F.transform("lines", _size).alias("w")
     )
 
 
 def selected(sequence: DataFrame, min_words: int) -> DataFrame:
     """(row, doc, pos, hash, around, before, same): for each window of at least ``min_words`` words the line that it selects.
 
-    ``around`` is a hash of the window's lines in order, ``before`` the place of the same line before it in the text,
-    ``same`` that before it in an equal window. A line is there once for each of its windows: the first may begin in
-    front of a run that texts share, and so differ between them. Whole sequences are
+    ``pos`` is the line's first word. ``around`` is a hash of the window's lines in order, ``before`` the place of the
+    same line before it in the text, ``same`` that before it in an equal window. A line is there once for each of its
+    windows: the first may begin in front of a run that texts share, and so differ between them. Whole sequences are
     dealt by row once; all windows go by row and keep to that.
     """
-    lines = sequence.repartition("row").select("row", "doc", F.posexplode(F.arrays_zip("h", "w")).alias("pos", "line")).select("row", "doc", "pos", "line.h", "line.w")
+    lines = sequence.repartition("row").select("row", "doc", F.posexplode(F.arrays_zip("h", "w")).alias("line_pos", "line")).select("row", "doc", "line_pos", "line.h", "line.w")
     by_row = Window.partitionBy("row")
-    placed = lines.withColumn("at", F.sum("w").over(by_row.orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("w")).where("w > 0")
-    window = by_row.orderBy("at").rangeBetween(0, min_words - 1)
-    chosen = placed.select("row", "doc", "at", F.min(F.struct("h", "pos")).over(window).alias("least"), F.xxhash64(F.collect_list("h").over(window)).alias("around"), F.sum("w").over(window).alias("words")).where(F.col("words") >= min_words)
-    prints = chosen.select("row", "doc", F.col("least.pos").alias("pos"), F.col("least.h").alias("hash"), "around")
+    placed = lines.withColumn("pos", F.sum("w").over(by_row.orderBy("line_pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("w")).where("w > 0")
+    window = by_row.orderBy("pos").rangeBetween(0, min_words - 1)
+    chosen = placed.select("row", "doc", F.min(F.struct("h", "pos")).over(window).alias("least"), F.xxhash64(F.collect_list("h").over(window)).alias("around"), F.sum("w").over(window).alias("words")).where(F.col("words") >= min_words)
+    prints = chosen.select("row", "doc", F.col("least.pos").cast("int").alias("pos"), F.col("least.h").alias("hash"), "around")
     earlier = Window.partitionBy("row", "hash").orderBy("pos").rangeBetween(Window.unboundedPreceding, -1)
     alike = Window.partitionBy("row", "hash", "around").orderBy("pos")
     return prints.withColumn("before", F.max("pos").over(earlier)).withColumn("same", F.lag("pos").over(alike))
 
 
 def alignments(prints: DataFrame) -> DataFrame:
-    """(row, other, shift): texts to align; line pos of ``row`` meets line pos - shift of ``other``, an earlier place.
+    """(row, other, shift): texts to align; word pos of ``row`` meets word pos - shift of ``other``, an earlier place.
 
     Anchors are aggregated and written before prints are joined with them, so that adaptive execution can split the
     partition of a hash that a large part of all texts share. ``prints`` is a spooled table, deleted once it is used up;
@@ -82,62 +101,69 @@ def alignments(prints: DataFrame) -> DataFrame:
     like = spool(across.groupBy("hash", "around").agg(place.alias("like")), "line-like")
     pairs = across.join(like, ["hash", "around"]).select("row", "pos", F.explode(F.array_distinct(F.array("anchor", "like"))).alias("at"))
     outside = pairs.where(F.col("row") != F.col("at.row")).select("row", F.col("at.row").alias("other"), (F.col("pos") - F.col("at.pos")).alias("shift"))
-    aligned = spool(inside.unionByName(outside).select("row", "other", F.col("shift").cast("int").alias("shift")).distinct(), "line-alignments")
+    aligned = spool(inside.unionByName(outside).distinct(), "line-alignments")
     for done in (inside, across, like):
         discard(done)
     return aligned
 
 
 def _runs(min_words: int) -> Column:
-    """Runs (first, last) of equal lines with enough words, from the columns h, w, other_h and shift."""
-    first, end = F.greatest(F.lit(0), F.col("shift")), F.least(F.size("h"), F.size("other_h") + F.col("shift"))
-    start = F.struct(F.lit(-1).alias("open"), F.lit(0).cast("long").alias("words"), F.expr("CAST(array() AS array<struct<first: int, last: int>>)").alias("runs"))
-
-    def ended(acc: Column, at: Column) -> Column:
-        run = F.array(F.struct(acc["open"].alias("first"), (at - 1).alias("last")))
-        return F.when((acc["open"] >= 0) & (acc["words"] >= min_words), F.concat(acc["runs"], run)).otherwise(acc["runs"])
+    """Runs (first, last) of at least ``min_words`` equal words, from the columns words, other_words and shift."""
+    first = F.greatest(F.lit(0), F.col("shift"))
+    many = F.greatest(F.lit(0), F.least(F.size("words"), F.size("other_words") + F.col("shift")) - first)
+    equal = F.zip_with(F.slice("words", first + 1, many), F.slice("other_words", first - F.col("shift") + 1, many), lambda a, b: F.when(a == b, "1").otherwise("0"))
+    stretches = F.transform(F.regexp_extract_all(F.array_join(equal, ""), F.lit("1+|0+"), F.lit(0)), lambda s: F.struct(F.length(s).alias("n"), s.startswith("1").alias("equal")))
+    start = F.struct(first.alias("at"), F.expr("CAST(array() AS array<struct<first: int, last: int>>)").alias("runs"))
 
-    def step(acc: Column, at: Column) -> Column:
-        equal = (at < end) & (F.get(F.col("h"), at) == F.get(F.col("other_h"), at - F.col("shift")))
-        grown = F.struct(
-            F.when(acc["open"] >= 0, acc["open"]).otherwise(at).alias("open"),
-            (F.when(acc["open"] >= 0, acc["words"]).otherwise(F.lit(0).cast("long")) + F.get(F.col("w"), at)).alias("words"),
-            acc["runs"].alias("runs"),
-        )
-        return F.when(equal, grown).otherwise(F.struct(F.lit(-1).alias("open"), F.lit(0).cast("long").alias("words"), ended(acc, at).alias("runs")))
+    def step(acc: Column, s: Column) -> Column:
+        run = F.array(F.struct(acc["at"].alias("first"), (acc["at"] + s["n"] - 1).alias("last")))
+        return F.struct((acc["at"] + s["n"]).alias("at"), F.when(s["equal"] & (s["n"] >= min_words), F.concat(acc["runs"], run)).otherwise(acc["runs"]).alias("runs"))
 
-    return F.when(first < end, F.aggregate(F.sequence(first, end), start, step, lambda acc: acc["runs"])).otherwise(start["runs"])
+    return F.aggregate(stretches, start, step, lambda acc: acc["runs"])
 
 
 def repeated_runs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """(row, runs): for each distinct (doc_id, text) with repeats, the runs (first line, last line) to delete."""
+    """(row, doc, runs): for each distinct (doc_id, text) with repeats, the runs (first word, last word) to delete.
+
+    A text that very many others are aligned with goes out in copies, one for each ``SHARE`` of its alignments.
+    """
     sequence = spool(sequences(docs, doc_id, text), "line-sequences")
     if not sequence.groupBy("row").count().where("count > 1").isEmpty():  # repeated rows are one document
-        sequence = spool(sequence.dropDuplicates(["row"]), "line-sequences")
+        whole, sequence = sequence, spool(sequence.dropDuplicates(["row"]), "line-sequences")
+        discard(whole)
     aligned = alignments(spool(selected(sequence, min_words), "line-prints"))
-    own = aligned.join(sequence.select("row", "h", "w"), "row")
-    other = sequence.select(F.col("row").alias("other"), F.col("h").alias("other_h"))
-    found = own.join(other, "other").select("row", F.explode(_runs(min_words)).alias("run"))
-    runs = spool(found.groupBy("row").agg(F.array_sort(F.collect_set("run")).alias("runs")), "line-runs")
-    discard(aligned)
     discard(sequence)
+    asked = aligned.groupBy(F.col("other").alias("row")).agg(F.ceil(F.count("*") / F.lit(SHARE)).cast("int").alias("copies"))
+    needed = aligned.select("row").distinct().join(asked, "row", "full")
+    keyed = docs.select(_row_key(F.col(doc_id), F.col(text)).alias("row"), F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text"))
+    texts = spool(keyed.join(needed, "row").dropDuplicates(["row"]).select("row", "doc", "copies", words_of(F.col("text")).alias("words")), "line-words")
+    other = texts.where("copies IS NOT NULL").select(F.col("row").alias("other"), F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"), F.col("words").alias("other_words"))
+    dealt = aligned.join(asked.withColumnRenamed("row", "other"), "other").withColumn("copy", F.pmod(F.xxhash64("row"), F.col("copies")).cast("int")).drop("copies")
+    found = dealt.join(texts.select("row", "doc", "words"), "row").join(other, ["other", "copy"]).select("row", "doc", F.explode(_runs(min_words)).alias("run"))
+    runs = spool(found.groupBy("row", "doc").agg(F.array_sort(F.collect_set("run")).alias("runs")), "line-runs")
+    discard(texts)
+    discard(aligned)
     return runs
 
 
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, counts: bool = False) -> DataFrame:
-    """``docs`` with later repeats of runs of lines cut out of ``text``; all rows and other columns stay as they were.
+    """``docs`` with later repeats of passages cut out of ``text``; all rows and other columns stay as they were.
 
-    Earlier and later go by doc_id (nulls first), then by text. Lines are equal if they are up to white space. Rows equal
-    in doc_id and text are one document and come back alike; texts under ``min_words`` words never change; null texts
-    stay null; a text that is a repeat from end to end becomes empty. ``counts`` adds n_lines and n_removed.
+    Earlier and later go by doc_id (nulls first), then by text. White space does not count, but goes with the word before
+    it. Rows equal in doc_id and text are one document and come back alike; texts under ``min_words`` words never change;
+    null texts stay null; a text that is a repeat from end to end becomes empty. ``counts`` adds n_words and n_removed.
     """
     runs = repeated_runs(docs, doc_id, text, min_words)
-    keyed = docs.select(F.struct("*").alias("folio_row"), _row_key(F.col(doc_id), F.col(text)).alias("row"))
-    joined = keyed.join(runs.hint("shuffle_hash"), "row", "left").withColumn("lines", F.when(F.col("runs").isNotNull() | F.lit(counts), lines_of(F.col("folio_row")[text])))
-    kept = F.filter("lines", lambda line, i: ~F.exists(F.col("runs"), lambda run: (run["first"] <= i) & (i <= run["last"])))
-    joined = joined.withColumn("kept", F.when(F.col("runs").isNotNull(), kept))
-    columns = [F.coalesce(F.array_join("kept", ""), F.col("folio_row")[text]).alias(c) if c == text else F.col("folio_row")[c].alias(c) for c in docs.columns]
+    keyed = docs.select(F.struct("*").alias("folio_row"), _row_key(F.col(doc_id), F.col(text)).alias("row"), F.col(doc_id).cast("long").alias("doc"))
+    same = (keyed["row"] == runs["row"]) & keyed["doc"].eqNullSafe(runs["doc"])
+    joined = keyed.join(runs.hint("shuffle_hash"), same, "left").select("folio_row", "runs")
+    body = F.col("folio_row")[text]
+    pieces = F.regexp_extract_all(body, F.lit(r"\S+\s*"), F.lit(0))
+    kept = F.filter(pieces, lambda _, i: ~F.exists(F.col("runs"), lambda run: (run["first"] <= i) & (i <= run["last"])))
+    lead = F.when(F.size(kept) > 0, F.regexp_extract(body, r"^\s*", 0)).otherwise("")
+    shorter = F.when(F.col("runs").isNull(), body).otherwise(F.concat(lead, F.array_join(kept, "")))
+    columns = [shorter.alias(c) if c == text else F.col("folio_row")[c].alias(c) for c in docs.columns]
     if counts:
-        n = F.size("lines").cast("long")
-        columns += [n.alias("n_lines"), F.coalesce(n - F.size("kept"), F.lit(0)).cast("long").alias("n_removed")]
+        count = lambda t: F.regexp_count(F.coalesce(t, F.lit("")), F.lit(r"\S+")).cast("long")
+        columns += [count(body).alias("n_words"), F.when(F.col("runs").isNull(), F.lit(0).cast("long")).otherwise(count(body) - count(shorter)).alias("n_removed")]
     return joined.select(*columns)

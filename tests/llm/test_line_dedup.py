@@ -6,44 +6,34 @@ from folio.llm import line_dedup as L
 SCHEMA = "doc_id long, text string, row long, h string"
 
 
-def cut(text):
-    return [x for x in re.split(r"(?<=\n)(?=[^\n])|(?<=[.!?] )(?=\S)", text)]
-
-
-def norm(line):
-    return re.sub(r"\s+", " ", line).strip(" ")
+def naive(rows, least):
+    """Whether each word stands in a run of ``least`` words that is at an earlier place, by comparing all windows."""
+    first, gone = set(), []
+    for _, text in rows:
+        words = (text or "").split()
+        own = [False] * len(words)
+        for a in range(len(words) - least + 1):
+            window = tuple(words[a : a + least])
+            if window not in first:
+                first.add(window)
+            else:
+                own[a : a + least] = [True] * least
+        gone.append(own)
+    return gone
 
 
-def words(line):
-    return norm(line).count(" ") + 1 if norm(line) else 0
+def rest(rows, gone):
+    return [" ".join(w for w, g in zip((text or "").split(), own) if not g) for (_, text), own in zip(rows, gone)]
 
 
-def uncovered(rows, got, least):
-    """Runs of at least ``least`` words that still stand twice; and lines that went although no earlier equal one stands."""
-    before = set()
-    for _, text in rows:
-        own = [norm(x) for x in cut(text or "")]
-        before.add(tuple(own))
-    seen, left = {}, []
-    for i, text in enumerate(got):
-        lines = [norm(x) for x in cut(text or "")]
-        sizes = [words(x) for x in cut(text or "")]
-        for a in range(len(lines)):
-            b, total = a, 0
-            while b < len(lines) and total < least:
-                total += sizes[b]
-                b += 1
-            if total >= least:
-                run = tuple(lines[a:b])
-                if run in seen and seen[run] != (i, a):
-                    left.append((i, run))
-                seen.setdefault(run, (i, a))
-    return left
+def removed(spark, rows, **more):
+    frame = spark.createDataFrame([(*r, 1, "x") for r in rows], SCHEMA)
+    return {r.doc_id: r for r in L.remove_repeats(frame, counts=True, **more).collect()}
 
 
 def corpus(seed):
     rng = random.Random(seed)
-    sentence = lambda: " ".join(rng.choices(["alpha", "beta", "gamma", "delta", "eps", "zeta", "eta"], k=rng.randrange(1, 9))) + rng.choice([".", "!", "?"])
+    sentence = lambda: " ".join(f"w{rng.randrange(10**5)}" for _ in range(rng.randrange(1, 9))) + rng.choice([".", "!", "?", ",", ""])
     pool = [sentence() for _ in range(400)]
     passages = [rng.sample(pool, 8) for _ in range(6)]
     rows = []
@@ -53,67 +43,45 @@ def corpus(seed):
             at = rng.randrange(len(body) + 1)
             body[at:at] = rng.choice(passages)
         rows.append((i, rng.choice([" ", "\n"]).join(body)))
-    rows += [(100 + i, rows[i][1]) for i in range(10)]
-    return rows
+    return rows + [(100 + i, rows[i][1]) for i in range(10)]
 
 
-def test_first_occurrences_stay_and_repeats_go(spark):
+def test_only_repeats_go_and_first_places_stay(spark):
     for seed in (1, 2):
         rows = corpus(seed)
-        out = {r.doc_id: r for r in L.remove_repeats(spark.createDataFrame([(*r, 1, "x") for r in rows], SCHEMA), min_words=12, counts=True).collect()}
-        got = [out[i].text for i, _ in rows]
-        removed = 0
-        earlier = set()
-        for (i, text), after in zip(rows, got):
-            lines, rest = cut(text), cut(after) if after else []
-            removed += len(lines) - len(rest)
-            assert out[i].n_lines == len(lines) and out[i].n_removed == len(lines) - len(rest)
-            at = 0
-            for line in lines:  # the rest is a subsequence; what went stood earlier
-                if at < len(rest) and norm(rest[at]) == norm(line):
-                    at += 1
-                else:
-                    assert norm(line) in earlier
-                earlier.add(norm(line))
-            assert at == len(rest)
-        assert removed > 100
-        whole = [text for _, text in rows]
-        assert len(uncovered(rows, got, 12)) < len(uncovered(rows, whole, 12)) * 0.02
-        assert all(not out[100 + i].text for i in range(10) if words(rows[i][1]) >= 12)
-
-
-def naive(rows, least):
-    """All maximal runs shared with any earlier place, by comparing every pair of texts."""
-    out = []
-    for i, (_, text) in enumerate(rows):
-        lines = cut(text)
-        gone = set()
-        for j in range(i):
-            other = cut(rows[j][1])
-            for shift in range(-len(other), len(lines)):
-                run = []
-                for at in range(len(lines) + 1):
-                    k = at - shift
-                    if at < len(lines) and 0 <= k < len(other) and norm(lines[at]) == norm(other[k]):
-                        run.append(at)
-                    else:
-                        if sum(words(lines[x]) for x in run) >= least:
-                            gone |= set(run)
-                        run = []
-        out.append("".join(x for at, x in enumerate(lines) if at not in gone))
-    return out
-
-
-def test_matches_pairwise_brute_force(spark):
+        out = removed(spark, rows, min_words=12)
+        allowed, words = naive(rows, 12), 0
+        for (i, text), may in zip(rows, allowed):
+            assert out[i].n_words == len(text.split()) and out[i].n_removed == len(text.split()) - len(out[i].text.split())
+            assert out[i].n_removed <= sum(may)
+            words += out[i].n_removed
+        assert words > 0.97 * sum(map(sum, allowed)) > 500
+        again = naive([(i, out[i].text) for i, _ in rows], 24)  # texts that now meet may be alike by chance
+        assert sum(map(sum, again)) < 0.02 * sum(map(sum, allowed))
+        assert all(not out[100 + i].text for i in range(10) if len(rows[i][1].split()) >= 12)
+
+
+def test_matches_brute_force_over_all_windows(spark):
+    """Whole lines, unequal neighbours, copies of different length: nothing is left over."""
     rng = random.Random(11)
     passage = [" ".join(f"p{j}w{k}" for k in range(6)) + "." for j in range(5)]
     rows = []
     for i in range(12):
         own = [" ".join(f"d{i}s{j}w{k}" for k in range(rng.randrange(2, 7))) + "." for j in range(6)]
         at = rng.randrange(6)
-        rows.append((i, "\n".join(own[:at] + (passage if i % 3 == 0 else passage[:2] if i % 3 == 1 else []) + own[at:])))
-    got = {r.doc_id: r.text for r in L.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), min_words=15).collect()}
-    assert [got[i] for i, _ in rows] == naive(rows, 15)
+        rows.append((i, "\n".join(own[:at] + (passage if i % 3 == 0 else passage[:3] if i % 3 == 1 else []) + own[at:])))
+    out = removed(spark, rows, min_words=15)
+    assert [out[i].text.split() for i, _ in rows] == [t.split() for t in rest(rows, naive(rows, 15))]
+
+
+def test_third_document_shares_a_run_with_the_second_only(spark):
+    """A hot line stands first elsewhere; the run of 28 words around it is shared by the later texts alone."""
+    line = lambda n, sign: " ".join(f"{sign}{k}" for k in range(n)) + "."
+    hot, run = line(4, "hot"), [line(8, "a"), line(8, "b"), line(8, "c")]
+    rows = [(1, "\n".join([line(9, "x"), hot, line(9, "y")])), (2, "\n".join([line(7, "u"), hot, *run, line(5, "v")])), (3, "\n".join([line(6, "q"), hot, *run, line(7, "r")]))]
+    out = removed(spark, rows)
+    assert (out[1].n_removed, out[2].n_removed, out[3].n_removed) == (0, 0, 28)
+    assert out[3].text.split() == (line(6, "q") + " " + line(7, "r")).split()
 
 
 def test_hot_line_opens_runs_of_later_texts(spark):
@@ -128,8 +96,34 @@ def test_hot_line_opens_runs_of_later_texts(spark):
             again = [hot, line(8, 12)] if k % 3 == 0 else []
             texts.append([*again, line(3, 9), line(3, 9), hot, *passage, line(3, 9), line(3, 9)])
         rows += [(3 * k + i, "\n".join(t)) for i, t in enumerate(texts)]
-    got = {r.doc_id: r.text for r in L.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), min_words=12).collect()}
-    assert [got[i] for i, _ in rows] == naive(rows, 12)
+    out = removed(spark, rows, min_words=12)
+    assert [out[i].text.split() for i, _ in rows] == [t.split() for t in rest(rows, naive(rows, 12))]
+
+
+def test_passage_pasted_into_the_middle_of_sentences(spark):
+    """55 words whose ends are merged into other lines go to the last word; so do those without any marks."""
+    rng = random.Random(3)
+    some = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    for marks in (True, False):
+        words = some(55).split()
+        passage = " ".join(w + ("." if marks and k % 11 == 6 else "") for k, w in enumerate(words))
+        rows = [(1, f"{some(9)} {passage} {some(12)}."), (2, f"{some(30)}. {some(4)} {passage} {some(8)}."), (3, f"{passage}")]
+        out = removed(spark, rows)
+        assert out[1].n_removed == 0 and out[3].text == ""
+        assert out[2].n_removed == 55 and out[2].text.split() == rows[1][1].replace(passage, "").split()
+
+
+def test_junk_of_one_word_shrinks(spark):
+    out = removed(spark, [(1, "Start here. " + "and " * 500 + "then stop.")])
+    assert 470 <= out[1].n_removed <= 499 and out[1].text.startswith("Start here. and ") and out[1].text.endswith("then stop.")
+
+
+def test_a_text_with_very_many_alignments_goes_out_in_copies(spark, monkeypatch):
+    monkeypatch.setattr(L, "SHARE", 7)
+    passage = " ".join(f"p{k}" for k in range(30)) + "."
+    rows = [(i, f"Own {i} line {i}.\n{passage}\nEnd {i} of {i}.") for i in range(80)]
+    out = removed(spark, rows)
+    assert [out[i].n_removed for i in range(80)] == [0] + [30] * 79
 
 
 def test_odd_rows(spark):
@@ -144,3 +138,10 @@ def test_odd_rows(spark):
     assert by[1] == [None] and by[2] == ["", ""] and by[4] == by[5] == ["short"] and by[7] == ["\n\n\n"]
     assert by[6] == ["", ""] and by[3] == [""] and by[None][0].startswith(long)
     assert L.remove_repeats(frame.limit(0)).collect() == []
+
+
+def test_lines_are_cut_at_marks_breaks_and_certain_words(spark):
+    text = "One two. Three, four\nfive  six;\n" + " ".join(map(str, range(20)))
+    got = spark.createDataFrame([(text,)], "t string").select(L.lines_of("t").alias("l")).first().l
+    assert got == ["One two.", "Three,", "four", "five six;", "0", "1 2 3 4 5", "6 7 8 9 10", "11 12 13 14 15", "16 17 18 19"]
+    assert re.sub(r"\s+", " ", text) == " ".join(got)
