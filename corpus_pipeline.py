@@ -39,7 +39,7 @@ def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def replace_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All rows; personal data and secrets in their texts are replaced by surrogates."""
-    return _measured(pii.replace_entities(docs))
+    return _measured(pii.replace_entities(docs, pii.session_key(spark)))
 
 
 def pack_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

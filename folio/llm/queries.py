@@ -52,7 +52,7 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.replace_entities(table(spark, sf_dir, "documents"), counts=True).select("doc_id", "n_entities", "text")
+    return pii.replace_entities(table(spark, sf_dir, "documents"), pii.session_key(spark), counts=True).select("doc_id", "n_entities", "text")
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
