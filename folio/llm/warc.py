@@ -37,19 +37,20 @@ def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record_id(page_id: int | None) -> str:
-    return f"urn:folio:page:{'none' if page_id is None else page_id}"
+def record_id(page_id: int | None, mark: str = "") -> str:
+    """A record's identifier: a response goes by its page; ``mark`` tells apart what else has the page, or none."""
+    return f"urn:folio:page:{'none' if page_id is None else page_id}{mark and ':'}{mark}"
 
 
 def _page(urn: str) -> int | None:
-    last = urn.strip("<>").rpartition(":")[2]
-    return None if last == "none" else int(last)
+    named = urn.strip("<>").split(":")[3]
+    return None if named == "none" else int(named)
 
 
-def write_record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, revisit: bool, date: str) -> bytes:
+def write_record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, revisit: bool, date: str, mark: str = "") -> bytes:
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if revisit else http + payload
-    head = [("WARC-Type", "revisit" if revisit else "response"), ("WARC-Record-ID", f"<{record_id(page_id)}>"), ("WARC-Date", date), ("WARC-Payload-Digest", f"sha1:{digest(payload)}")]
+    head = [("WARC-Type", "revisit" if revisit else "response"), ("WARC-Record-ID", f"<{record_id(page_id, mark)}>"), ("WARC-Date", date), ("WARC-Payload-Digest", f"sha1:{digest(payload)}")]
     if url is not None:
         head.append(("WARC-Target-URI", re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url)))
     if revisit:
@@ -98,9 +99,17 @@ class Bundle:
         self.sizes: list[tuple[int, int]] = []
         self.entries: list[tuple[str, int | None, int, int, int]] = []
         self.plain, self.waiting, self.written = [], 0, 0
+        self.responses: set[int] = set()
 
-    def add(self, page_id: int | None, record: bytes) -> None:
-        self.entries.append((record_id(page_id), page_id, len(self.sizes), self.waiting, len(record)))
+    def mark(self, page_id: int | None, revisit: bool, name: str) -> str:
+        """What the next record's identifier needs besides its page to be the only one."""
+        if page_id is not None and not revisit and page_id not in self.responses:
+            self.responses.add(page_id)
+            return ""
+        return f"{name}-{len(self.entries)}"
+
+    def add(self, page_id: int | None, record: bytes, mark: str = "") -> None:
+        self.entries.append((record_id(page_id, mark), page_id, len(self.sizes), self.waiting, len(record)))
         self.plain.append(record)
         self.waiting += len(record)
         if self.waiting >= FRAME_BYTES:
@@ -168,7 +177,7 @@ def write_archives(pages: DataFrame, folder: str | None = None, page_id: str = "
     marked = rows.join(copies, ["sha", "size"], "left").select("page_id", "url", "html", "first", (F.col("first").isNotNull() & ~F.col("first").eqNullSafe(F.col("page_id"))).alias("revisit"))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bundle, name = None, ""
+        bundle, name, own = None, "", ""
 
         def finished() -> pa.RecordBatch:
             bundle.close()
@@ -180,11 +189,13 @@ def write_archives(pages: DataFrame, folder: str | None = None, page_id: str = "
             for i in range(batch.num_rows):
                 page, address, body, first, revisit = (c[i].as_py() for c in batch.columns)
                 if bundle is None:
-                    name = f"{folder}/{uuid.uuid4().hex}.warc.zst"
+                    own = uuid.uuid4().hex
+                    name = f"{folder}/{own}.warc.zst"
                     system, path = _open(name)
                     system.create_dir(path.rpartition("/")[0], recursive=True)
                     bundle = Bundle(system.open_output_stream(path, compression=None), level)
-                bundle.add(page, write_record(page, address, body.encode(), first, revisit, date))
+                mark = bundle.mark(page, revisit, own)
+                bundle.add(page, write_record(page, address, body.encode(), first, revisit, date, mark), mark)
                 if bundle.written >= BUNDLE_BYTES:
                     yield finished()
                     bundle = None
@@ -199,39 +210,39 @@ def _batch(found: list[dict]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], kind) for k, kind in kinds], [k for k, _ in kinds])
 
 
-def read_archives(index: DataFrame) -> DataFrame:
-    """All records of the bundles that an index names, frame by frame; damaged records are an error."""
-
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for name in batch.column(0).to_pylist():
-                system, path = _open(name)
-                with system.open_input_file(path) as source:
-                    reader = Reader(source)
-                    for number in range(len(reader.sizes)):
-                        plain, at, found = reader.frame(number), 0, []
-                        while at < len(plain):
-                            record, at = parse_record(plain, at)
-                            found.append(record)
-                        yield _batch(found)
+def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The records at places (bundle, frame, offset) in that order: a bundle is opened once, a frame unpacked once."""
+    name, number, source, reader, plain, found = None, None, None, None, b"", []
+    for batch in batches:
+        for bundle, frame, offset in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            if found and (bundle, frame) != (name, number):
+                yield _batch(found)
+                found = []
+            if bundle != name:
+                if source:
+                    source.close()
+                system, path = _open(bundle)
+                source = system.open_input_file(path)
+                name, number, reader = bundle, None, Reader(source)
+            if frame != number:
+                number, plain = frame, reader.frame(frame)
+            found.append(parse_record(plain, offset)[0])
+    if found:
+        yield _batch(found)
+    if source:
+        source.close()
 
-    bundles = index.select("bundle").distinct()
-    return bundles.repartition(max(1, bundles.count())).mapInArrow(each, RECORD)
 
+def read_archives(index: DataFrame) -> DataFrame:
+    """The records that an index names, each by its frame and its offset there; damaged records are an error.
 
-def lookup(index: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The records whose ``record_id`` is in ``wanted``: each by its frame and its offset there, nothing else is unpacked."""
+    The index is dealt by bundle to as many tasks as shuffles have, so that a bundle is opened by one task.
+    """
+    tasks = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    places = index.select("bundle", "frame", "offset").repartition(tasks, "bundle")
+    return places.sortWithinPartitions("bundle", "frame", "offset").mapInArrow(_records, RECORD)
 
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            last, plain, found = None, b"", []
-            for name, frame, offset in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                if (name, frame) != last:
-                    system, path = _open(name)
-                    with system.open_input_file(path) as source:
-                        last, plain = (name, frame), Reader(source).frame(frame)
-                found.append(parse_record(plain, offset)[0])
-            yield _batch(found)
 
-    places = index.join(wanted.select("record_id").distinct(), "record_id", "left_semi")
-    return places.select("bundle", "frame", "offset").sortWithinPartitions("bundle", "frame", "offset").mapInArrow(each, RECORD)
+def lookup(index: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The records whose ``record_id`` is in ``wanted``: frames without any of them are not unpacked."""
+    return read_archives(index.join(wanted.select("record_id").distinct(), "record_id", "left_semi"))

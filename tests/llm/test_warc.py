@@ -36,6 +36,8 @@ def test_round_trip(spark, monkeypatch):
     index = W.write_archives(frame)
     read = W.read_archives(index).collect()
     assert sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in read), key=str) == brute(given)
+    named = [r.record_id for r in index.collect()]
+    assert len(named) == len(set(named)) == len(given)
     body = {r.page_id: bytes(r.payload) for r in read if r.payload is not None and r.page_id is not None}
     assert all(body[p] == (h or "").encode() for p, _, h in given if p in body and p not in (0, 7))
     wanted = spark.createDataFrame([(W.record_id(i),) for i in (3, 100, 102)], "record_id string")
