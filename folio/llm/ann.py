@@ -76,9 +76,9 @@ class Forest:
         return taken
 
 
-def grow(sample: np.ndarray, trees: int = TREES, leaf_rows: int = LEAF_ROWS, k: int = 10, recall: float = RECALL, seed: int = 7) -> Forest:
+def grow(sample: np.ndarray, trees: int = TREES, leaf_rows: int | None = None, k: int = 10, recall: float = RECALL, seed: int = 7) -> Forest:
     """Trees over a sample: each node's plane is at right angles to the line between two of its rows, at the median."""
-    rng = np.random.default_rng(seed)
+    rng, leaf_rows = np.random.default_rng(seed), leaf_rows or LEAF_ROWS
     normal, offset, left, leaf, roots, leaves = [], [], [], [], [], 0
     unit = sample / np.maximum(1e-300, np.abs(sample).max(initial=0))
 
@@ -189,7 +189,6 @@ def search(vectors: DataFrame, is_query, k: int = 10, vec_id: str = "vec_id", ve
 
     asked = rows.where(is_query(F.col("vec_id"))).groupBy("vec_id").agg(F.min("vector").alias("vector"))
     asked = spool(asked, "ann-queries")
-    query_blocks = max(1, -(-asked.count() // BLOCK_QUERIES))
 
     def probes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -205,11 +204,14 @@ def search(vectors: DataFrame, is_query, k: int = 10, vec_id: str = "vec_id", ve
             taken = batch.take(pa.array(at, pa.int64()))
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int32()) for x in (size_of, leaf_of, block_of)] + taken.columns, ["size", "leaf", "block", "query_id", "vector"])
 
+    # A leaf is read once for each BLOCK_QUERIES of the queries that chose it, and not at all if none did.
     probing = asked.select("vec_id", "vector").mapInArrow(probes, f"size int, leaf int, block int, query_id long, vector {kind}")
-    probing = probing.withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(query_blocks)).cast("int"))
-    leaf_counts = index.groupBy("size", "leaf").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"))
-    members = index.join(leaf_counts, ["size", "leaf"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).drop("blocks")
-    members = members.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
+    probing = spool(probing, "ann-probes")
+    parts = probing.where("block = 0").groupBy("size", "leaf").agg(F.ceil(F.count("*") / BLOCK_QUERIES).cast("int").alias("parts"))
+    probing = probing.join(parts, ["size", "leaf"]).withColumn("part", F.pmod(F.xxhash64("query_id"), F.col("parts")).cast("int")).drop("parts")
+    leaf_counts = index.groupBy("size", "leaf").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks")).join(parts, ["size", "leaf"])
+    members = index.join(leaf_counts, ["size", "leaf"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    members = members.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("blocks", "parts")
 
     def rerank(some: pd.DataFrame, all_of_leaf: pd.DataFrame) -> pd.DataFrame:
         if not len(some) or not len(all_of_leaf):
