@@ -53,6 +53,7 @@ def _deal(rows: DataFrame, pivots: list, threshold: float) -> DataFrame:
     by_size: dict[int, np.ndarray] = {}
     for size in {len(p) for p in pivots}:
         by_size[size] = units(stacked([p for p in pivots if len(p) == size]))
+    gaps = {size: np.sqrt(np.maximum(0, 2 - 2 * near @ near.T)) for size, near in by_size.items()}  # between pivots
     reach = np.sqrt(2 - 2 * threshold)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -68,8 +69,7 @@ def _deal(rows: DataFrame, pivots: list, threshold: float) -> DataFrame:
                     continue
                 dots = units(stacked([vectors[i] for i in own])) @ near.T
                 home = dots.argmax(axis=1)
-                gap = np.sqrt(np.maximum(0, ((near[:, None] - near[None]) ** 2).sum(axis=2)))
-                visits = dots[np.arange(len(own)), home][:, None] - dots <= reach * gap[home] + 1e-9
+                visits = dots[np.arange(len(own)), home][:, None] - dots <= reach * (gaps[int(size)][home] + 1e-7) + 1e-9
                 visits &= np.arange(len(near)) <= home[:, None]
                 i, cell = np.nonzero(visits)
                 at.append(own[i]), cells.append(cell), homes.append(cell == home[i])
