@@ -145,7 +145,8 @@ def _crossing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def links(classes: DataFrame, docs: DataFrame, doc_id: str, text: str, size: int) -> DataFrame:
     """Edges (a, b) that connect the set names exactly as all similar pairs do. ``classes``: (fp, text_key, size, keys)."""
-    dealt = classes.select("fp", "size", F.posexplode("keys").alias("pos", "key"))
+    tasks = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # small rows, many keys each: too few tasks by size
+    dealt = classes.repartition(tasks, "fp").select("fp", "size", F.posexplode("keys").alias("pos", "key"))
     least = F.min(F.struct("fp", "size", "pos"))
     met = spool(dealt.groupBy("key").agg(F.count("*").alias("n"), least.alias("least")).where("n > 1"), "near-keys")
     star = dealt.join(met, "key").where("fp <> least.fp").where(_possible(F.col("size"), F.col("pos"), F.col("least.size"), F.col("least.pos")))
@@ -178,7 +179,8 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", siz
     grouped = linked.join(classes.select("fp", "first"), "fp")
     smallest = grouped.groupBy("root").agg(F.min("first").alias("smallest"))
     named = linked.join(smallest, "root").select("fp", "smallest")
-    placed = classes.select("fp", "first").join(named, "fp", "left").select("fp", F.coalesce("smallest", "first").alias("component_id"))
+    # Written, so that adaptive execution can split a set that a large part of all rows have.
+    placed = spool(classes.select("fp", "first").join(named, "fp", "left").select("fp", F.coalesce("smallest", "first").alias("component_id")), "near-placed")
     return printed.select("doc_id", "fp").join(placed, "fp").select("doc_id", "component_id")
 
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folio.llm.common import components, local_forest, spool, tile_pairs
+from folio.llm.common import components, discard, local_forest, spool, tile_pairs
 
 SEGMENTS, SEGMENT_BITS, MAX_BITS = 16, 4, 3
 #: Rows of one tile of a hot key; a task compares two tiles.
@@ -114,10 +114,11 @@ def _tile_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def links(classes: DataFrame) -> DataFrame:
     """Edges (a, b) that connect the distinct fingerprints ``fp`` exactly as all pairs of at most 3 differing bits do.
 
-    A key with two fingerprints is one pair, found in the aggregate itself. A key with more goes through tiles, whose
+    ``classes`` is read twice. A key with two fingerprints is one pair, found in the aggregate itself. A key with more goes through tiles, whose
     tasks return spanning forests instead of pairs.
     """
-    dealt = classes.select("fp", F.explode(chain_keys(F.col("fp"))).alias("key"))
+    tasks = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # small rows, 32 keys each: too few tasks by size
+    dealt = classes.repartition(tasks, "fp").select("fp", F.explode(chain_keys(F.col("fp"))).alias("key"))
     met = spool(dealt.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1"), "simhash-keys")
     pairs = met.where("n = 2").where(_within(F.col("a").bitwiseXOR(F.col("b")), F.shiftright("key", 31).cast("int"))).select("a", "b")
     tiled = tile_pairs(dealt, met.where("n > 2").select("key", "n"), "key", F.col("fp"), TILE_ROWS)
@@ -133,12 +134,14 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     Repeated rows come back as often as they came; other columns are ignored; an empty table gives an empty table.
     """
     printed = spool(fingerprints(docs, doc_id, text, size), "simhash-fingerprints")
-    classes = printed.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    classes = spool(printed.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-classes")
     linked = components(links(classes), "simhash-components").withColumnRenamed("node", "fp")
     grouped = linked.join(classes, "fp")
     smallest = grouped.groupBy("root").agg(F.min("first").alias("smallest"))
     named = linked.join(smallest, "root").select("fp", "smallest")
-    placed = classes.join(named, "fp", "left").select("fp", F.coalesce("smallest", "first").alias("component_id"))
+    # Written, so that adaptive execution can split a fingerprint that a large part of all rows have.
+    placed = spool(classes.join(named, "fp", "left").select("fp", F.coalesce("smallest", "first").alias("component_id")), "simhash-placed")
+    discard(classes)
     return printed.join(placed, "fp").select("doc_id", "fp", "component_id")
 
 
