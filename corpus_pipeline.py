@@ -1,7 +1,8 @@
 """The corpus pipeline: documents through five stages, each stage's result written and read again by the next.
 
 Quality filter, line dedup, near-dedup, PII surrogates, packing. All but the last return the columns of ``documents``.
-Near-dedup is an exact similarity join (``near_copies``), not op10_simhash, whose 3 bits find almost equal texts only.
+Near-dedup takes the groups of the SimHash operator, whose 3 bits find almost equal texts only, and completes them by an
+exact similarity join (``near_copies``): at a similarity of 0.8 some 10 bits differ.
 No stage can be put in SQL as a whole (a fitted model, connected components, keyed hashes, a tokenizer), so the tests
 hold the stages against brute-force versions and ``ORACLE_SQL`` is None.
 """
@@ -11,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm import line_dedup, near_copies, packing, pii, quality
+from folio.llm import line_dedup, near_copies, packing, pii, quality, simhash
 from folio.llm.common import spool, table
 
 ORACLE_SQL = None
@@ -33,8 +34,8 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near copies: sets of five-word shingles with a Jaccard similarity of 0.8 or more, exactly."""
-    return near_copies.keep_one(docs)
+    """One row of each group: fingerprints of five-word shingles within 3 bits, or shingle sets with a Jaccard similarity of 0.8 or more."""
+    return near_copies.keep_one(docs, also=simhash.near_duplicates(docs, size=near_copies.SIZE))
 
 
 def replace_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -93,15 +93,15 @@ def alignments(prints: DataFrame) -> DataFrame:
     """
     place = F.min(F.struct("doc", "row", "pos"))
     first = spool(prints.groupBy("hash").agg(place.alias("anchor"), F.max(F.struct("doc", "row", "pos")).alias("latest")).where("anchor <> latest").select("hash", "anchor"), "line-anchors")
-    repeats = prints.where("before IS NOT NULL").select("row", "pos", F.explode(F.array_distinct(F.array_compact(F.array("before", "same")))).alias("at"))
-    inside = spool(repeats.select("row", F.col("row").alias("other"), (F.col("pos") - F.col("at")).alias("shift")).distinct(), "line-inside")
+    back = [prints.where(F.col(at).isNotNull()).select("row", F.col("row").alias("other"), (F.col("pos") - F.col(at)).alias("shift")) for at in ("before", "same")]
+    inside = spool(back[0].unionByName(back[1]).distinct(), "line-inside")
     across = spool(prints.where("same IS NULL").drop("before", "same").join(first, "hash"), "line-met")
     discard(prints)
     discard(first)
     like = spool(across.groupBy("hash", "around").agg(place.alias("like")), "line-like")
-    pairs = across.join(like, ["hash", "around"]).select("row", "pos", F.explode(F.array_distinct(F.array("anchor", "like"))).alias("at"))
-    outside = pairs.where(F.col("row") != F.col("at.row")).select("row", F.col("at.row").alias("other"), (F.col("pos") - F.col("at.pos")).alias("shift"))
-    aligned = spool(inside.unionByName(outside).distinct(), "line-alignments")
+    met = {"anchor": across, "like": across.drop("anchor").join(like, ["hash", "around"])}
+    ahead = [rows.where(F.col("row") != F.col(f"{at}.row")).select("row", F.col(f"{at}.row").alias("other"), (F.col("pos") - F.col(f"{at}.pos")).alias("shift")) for at, rows in met.items()]
+    aligned = spool(inside.unionByName(ahead[0]).unionByName(ahead[1]).distinct(), "line-alignments")
     for done in (inside, across, like):
         discard(done)
     return aligned

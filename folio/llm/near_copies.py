@@ -149,19 +149,21 @@ def links(classes: DataFrame, docs: DataFrame, doc_id: str, text: str, size: int
     dealt = classes.repartition(tasks, "fp").select("fp", "size", F.posexplode("keys").alias("pos", "key"))
     least = F.min(F.struct("fp", "size", "pos"))
     met = spool(dealt.groupBy("key").agg(F.count("*").alias("n"), least.alias("least")).where("n > 1"), "near-keys")
-    star = dealt.join(met, "key").where("fp <> least.fp").where(_possible(F.col("size"), F.col("pos"), F.col("least.size"), F.col("least.pos")))
+    shared = spool(dealt.join(met, "key"), "near-shared")  # what other sets have too: the only part that goes on
+    discard(met)
+    star = shared.where("fp <> least.fp").where(_possible(F.col("size"), F.col("pos"), F.col("least.size"), F.col("least.pos")))
     star = spool(star.select(F.col("least.fp").alias("a"), F.col("fp").alias("b")).distinct(), "near-star")
     first = similar(star, classes, docs, doc_id, text, size)
     roots = components(first, "near-first").withColumnRenamed("node", "fp")
-    rest = dealt.join(met.where("n > 2").select("key"), "key").join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    rest = shared.where("n > 2").join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     rest = spool(rest.select("key", "fp", "root", "size", "pos"), "near-rest")
+    discard(shared)
     split = rest.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key", "n")
     tiled = tile_pairs(rest, split, "key", F.col("fp"), TILE_ROWS)
     groups = tiled.groupBy("key", "tile_a", "tile_b").agg(F.collect_list(F.struct("tile", "fp", "root", "size", F.col("pos").cast("long").alias("pos"))).alias("members"))
     crossing = groups.select("tile_a", "tile_b", "members").mapInArrow(_crossing, "a long, b long").distinct().join(star, ["a", "b"], "left_anti")
     second = similar(spool(crossing, "near-crossing"), classes, docs, doc_id, text, size)
     discard(rest)
-    discard(met)
     return first.unionByName(second)
 
 
@@ -175,22 +177,30 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", siz
     printed = spool(prefixes(docs, doc_id, text, size), "near-prefixes")
     least = printed.groupBy("fp").agg(F.min("doc_id").alias("first"), F.min("text_key").alias("text_key"), F.first("size").alias("size"), F.first("keys").alias("keys"))
     classes = spool(least, "near-classes")
+    with_keys, printed = printed, spool(printed.select("doc_id", "fp"), "near-printed")
+    discard(with_keys)
     linked = components(links(classes, docs, doc_id, text, size), "near-components").withColumnRenamed("node", "fp")
     grouped = linked.join(classes.select("fp", "first"), "fp")
     smallest = grouped.groupBy("root").agg(F.min("first").alias("smallest"))
     named = linked.join(smallest, "root").select("fp", "smallest")
     # Written, so that adaptive execution can split a set that a large part of all rows have.
     placed = spool(classes.select("fp", "first").join(named, "fp", "left").select("fp", F.coalesce("smallest", "first").alias("component_id")), "near-placed")
-    return printed.select("doc_id", "fp").join(placed, "fp").select("doc_id", "component_id")
+    return printed.join(placed, "fp").select("doc_id", "component_id")
 
 
-def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SIZE) -> DataFrame:
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SIZE, also: DataFrame | None = None) -> DataFrame:
     """``docs`` with one row of each group of near copies: that of the smallest doc_id.
 
     Columns stay as they were. Rows that repeat the kept doc_id are one group and leave one row; of a group without any
-    doc_id one row stays.
+    doc_id one row stays. ``also``: rows (doc_id, component_id) of another grouping, whose links count as well.
     """
-    marks = near_copies(docs, doc_id, text, size).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    marks = near_copies(docs, doc_id, text, size)
+    if also is not None:
+        marks = spool(marks, "near-marks")
+        edges = marks.unionByName(also.select("doc_id", "component_id")).where("doc_id <> component_id").toDF("a", "b")
+        roots = components(edges, "near-groups").withColumnRenamed("node", "component_id")
+        marks = marks.join(roots, "component_id", "left").select("doc_id", F.coalesce("root", "component_id").alias("component_id"))
+    marks = marks.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     marks = marks.groupBy(F.col("doc_id").alias("folio_id")).agg(F.count("*").alias("folio_n"))
     kept = docs.join(marks, F.col(doc_id).cast("long").eqNullSafe(F.col("folio_id")))
     once = kept.where("folio_n = 1").drop("folio_id", "folio_n")

@@ -143,16 +143,3 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     placed = spool(classes.join(named, "fp", "left").select("fp", F.coalesce("smallest", "first").alias("component_id")), "simhash-placed")
     discard(classes)
     return printed.join(placed, "fp").select("doc_id", "fp", "component_id")
-
-
-def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5) -> DataFrame:
-    """``docs`` with one row of each group of near duplicates: that of the smallest doc_id.
-
-    Columns stay as they were. Rows that repeat the kept doc_id are one group and leave one row; of a group without any
-    doc_id one row stays. Shingles take ``size`` words.
-    """
-    marks = near_duplicates(docs, doc_id, text, size).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    marks = marks.groupBy(F.col("doc_id").alias("folio_id")).agg(F.count("*").alias("folio_n"))
-    kept = docs.join(marks, F.col(doc_id).cast("long").eqNullSafe(F.col("folio_id")))
-    once = kept.where("folio_n = 1").drop("folio_id", "folio_n")
-    return once.unionByName(kept.where("folio_n > 1").drop("folio_id", "folio_n").dropDuplicates([doc_id]))

@@ -121,7 +121,7 @@ def test_junk_of_one_word_shrinks(spark):
 def test_a_text_with_very_many_alignments_goes_out_in_copies(spark, monkeypatch):
     monkeypatch.setattr(L, "SHARE", 7)
     passage = " ".join(f"p{k}" for k in range(30)) + "."
-    rows = [(i, f"Own {i} line {i}.\n{passage}\nEnd {i} of {i}.") for i in range(80)]
+    rows = [(i, f"Own {i} line {i}.\n{passage}\n{i} ends {i}.") for i in range(80)]
     out = removed(spark, rows)
     assert [out[i].n_removed for i in range(80)] == [0] + [30] * 79
 

@@ -69,3 +69,12 @@ def test_small_tiles_and_a_poor_sketch(spark, monkeypatch):
     rows = corpus(3)
     docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], DOCS)
     assert sorted(r.doc_id for r in near_copies.keep_one(docs).collect()) == kept(rows)
+
+
+def test_groups_of_another_operator_count_as_well(spark):
+    """2 goes with 1 by shingles, 3 with 2 and 5 with null by the other grouping; 4 is alone."""
+    base = [f"w{i}" for i in range(40)]
+    rows = [(1, " ".join(base)), (2, " ".join([*base, "more"])), (3, "other words here and there are few"), (4, "alone"), (5, "fifth"), (None, "no id")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    also = spark.createDataFrame([(1, 1), (2, 2), (3, 2), (4, 4), (5, 5), (None, None)], "doc_id long, component_id long")
+    assert sorted((r.doc_id for r in near_copies.keep_one(docs, also=also).collect()), key=str) == [1, 4, 5, None]
