@@ -9,10 +9,10 @@ while only the selected lines are joined.
 
 The first place of a selected line in the corpus is its anchor, and so is the first place where it was selected by an
 equal window. Each later text is aligned with the anchors' texts (and a repetition inside one text with the place
-before it), and the match is extended both ways word by word, into the lines that are equal in part. What stands there
-for at least ``min_words`` words goes: words are compared themselves, not by hashes, and each that goes stands at an
-earlier place, so its first occurrence always stays. A selected line makes at most four alignments for each window that
-selects it: two with anchors, two inside its text.
+before it), the match is extended both ways line by line, and at its ends word by word into the lines that are equal in
+part. What stands there for at least ``min_words`` words goes. A word goes only if an equal run stands at an earlier
+place, so first occurrences always stay. A selected line makes at most four alignments for each window that selects it:
+two with anchors, two inside its text.
 
 What may stay: the words at a run's end that fill no window, where the window before them was first seen in a text that
 goes on differently (fewer than ``min_words`` words); and passages pasted into the middle of lines whose whole lines
@@ -26,26 +26,23 @@ from pyspark.sql import functions as F
 
 from folio.llm.common import discard, spool
 
-#: Words of a repeated run that is deleted.
-MIN_WORDS = 20
+#: Words of a repeated run that is deleted, and of whole lines that it must hold at least.
+MIN_WORDS, WHOLE = 20, 8
 
-#: Where a text is cut: behind line breaks, and behind the white space after a mark.
-CUT = r"(?<=\n)(?=[^\n])|(?<=[.!?,;:] )(?=\S)"
-#: A line of more words than ``LONG`` is cut behind each word that ends in one of ``ENDS``, after ``MOST`` words at the latest.
-LONG, MOST, ENDS = 16, 12, "ndND05нйνςの"
-PART = rf"(?:\S++ ){{0,{MOST - 1}}}?\S*[{ENDS}](?: |$)|(?:\S++ ?+){{1,{MOST}}}"
-#: Alignments with one text that share a copy of it when they are compared.
-SHARE = 1000
-
-
-def words_of(text: Column) -> Column:
-    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"\S+"), F.lit(0))
+#: Where a text is cut: behind line breaks, and behind the space that ends a sentence.
+CUT = r"(?<=\n)(?=[^\n])|(?<=[.!?] )(?=\S)"
+#: A line of more words than ``LONG`` is cut behind words with one of ``ENDS`` as their last sign, into parts of ``LEAST`` to ``MOST`` words.
+LONG, LEAST, MOST, ENDS = 16, 4, 12, ",;:ndND05нйνςの"
+PART = rf"(?:\S++ ){{{LEAST - 1},{MOST - 1}}}?\S*[{ENDS}](?: |$)|(?:\S++ ?+){{1,{MOST}}}"
+#: Lines on either side of a match whose words are compared.
+NEXT = 3
 
 
 def lines_of(text: Column | str) -> Column:
     """The lines of a text, single spaces between their words."""
-    tidy = F.transform(F.split(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")), CUT, -1), lambda line: F.trim(F.regexp_replace(line, r"\s+", " ")))
-    cut = F.transform(tidy, lambda line: F.when(_size(line) > LONG, F.regexp_extract_all(line, F.lit(PART), F.lit(0))).otherwise(F.array(line)))
+    whole = F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
+    lines = F.transform(F.split(F.regexp_replace(whole, r"[^\S\n]+", " "), CUT, -1), lambda line: F.regexp_replace(F.trim(line), r"^\s+|\s+$", ""))
+    cut = F.transform(lines, lambda line: F.when(_size(line) > LONG, F.regexp_extract_all(line, F.lit(PART), F.lit(0))).otherwise(F.array(line)))
     return F.transform(F.flatten(cut), lambda line: F.trim(line))
 
 
@@ -68,24 +65,24 @@ def sequences(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 def selected(sequence: DataFrame, min_words: int) -> DataFrame:
     """(row, doc, pos, hash, around, before, same): for each window of at least ``min_words`` words the line that it selects.
 
-    ``pos`` is the line's first word. ``around`` is a hash of the window's lines in order, ``before`` the place of the
+    ``around`` is a hash of the window's lines in order, ``before`` the place of the
     same line before it in the text, ``same`` that before it in an equal window. A line is there once for each of its
     windows: the first may begin in front of a run that texts share, and so differ between them. Whole sequences are
     dealt by row once; all windows go by row and keep to that.
     """
-    lines = sequence.repartition("row").select("row", "doc", F.posexplode(F.arrays_zip("h", "w")).alias("line_pos", "line")).select("row", "doc", "line_pos", "line.h", "line.w")
+    lines = sequence.repartition("row").select("row", "doc", F.posexplode(F.arrays_zip("h", "w")).alias("pos", "line")).select("row", "doc", "pos", "line.h", "line.w")
     by_row = Window.partitionBy("row")
-    placed = lines.withColumn("pos", F.sum("w").over(by_row.orderBy("line_pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("w")).where("w > 0")
-    window = by_row.orderBy("pos").rangeBetween(0, min_words - 1)
+    placed = lines.withColumn("at", F.sum("w").over(by_row.orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("w")).where("w > 0")
+    window = by_row.orderBy("at").rangeBetween(0, min_words - 1)
     chosen = placed.select("row", "doc", F.min(F.struct("h", "pos")).over(window).alias("least"), F.xxhash64(F.collect_list("h").over(window)).alias("around"), F.sum("w").over(window).alias("words")).where(F.col("words") >= min_words)
-    prints = chosen.select("row", "doc", F.col("least.pos").cast("int").alias("pos"), F.col("least.h").alias("hash"), "around")
+    prints = chosen.select("row", "doc", F.col("least.pos").alias("pos"), F.col("least.h").alias("hash"), "around")
     earlier = Window.partitionBy("row", "hash").orderBy("pos").rangeBetween(Window.unboundedPreceding, -1)
     alike = Window.partitionBy("row", "hash", "around").orderBy("pos")
     return prints.withColumn("before", F.max("pos").over(earlier)).withColumn("same", F.lag("pos").over(alike))
 
 
 def alignments(prints: DataFrame) -> DataFrame:
-    """(row, other, shift): texts to align; word pos of ``row`` meets word pos - shift of ``other``, an earlier place.
+    """(row, other, shift): texts to align; line pos of ``row`` meets line pos - shift of ``other``, an earlier place.
 
     Anchors are aggregated and written before prints are joined with them, so that adaptive execution can split the
     partition of a hash that a large part of all texts share. ``prints`` is a spooled table, deleted once it is used up;
@@ -107,42 +104,69 @@ def alignments(prints: DataFrame) -> DataFrame:
     return aligned
 
 
-def _runs(min_words: int) -> Column:
-    """Runs (first, last) of at least ``min_words`` equal words, from the columns words, other_words and shift."""
+def _runs(least: int) -> Column:
+    """Runs (first, last, begin, words) of equal lines with at least ``least`` words, from h, w, other_h and shift; ``begin`` counts words."""
     first = F.greatest(F.lit(0), F.col("shift"))
-    many = F.greatest(F.lit(0), F.least(F.size("words"), F.size("other_words") + F.col("shift")) - first)
-    equal = F.zip_with(F.slice("words", first + 1, many), F.slice("other_words", first - F.col("shift") + 1, many), lambda a, b: F.when(a == b, "1").otherwise("0"))
+    many = F.greatest(F.lit(0), F.least(F.size("h"), F.size("other_h") + F.col("shift")) - first)
+    equal = F.zip_with(F.slice("h", first + 1, many), F.slice("other_h", first - F.col("shift") + 1, many), lambda a, b: F.when(a == b, "1").otherwise("0"))
     stretches = F.transform(F.regexp_extract_all(F.array_join(equal, ""), F.lit("1+|0+"), F.lit(0)), lambda s: F.struct(F.length(s).alias("n"), s.startswith("1").alias("equal")))
-    start = F.struct(first.alias("at"), F.expr("CAST(array() AS array<struct<first: int, last: int>>)").alias("runs"))
+    words = lambda at, n: F.aggregate(F.slice("w", at + 1, n), F.lit(0), lambda x, y: x + y)
+    none = "CAST(array() AS array<struct<first: int, last: int, begin: int, words: int>>)"
+    start = F.struct(first.alias("at"), words(F.lit(0), first).alias("begin"), F.expr(none).alias("runs"))
 
     def step(acc: Column, s: Column) -> Column:
-        run = F.array(F.struct(acc["at"].alias("first"), (acc["at"] + s["n"] - 1).alias("last")))
-        return F.struct((acc["at"] + s["n"]).alias("at"), F.when(s["equal"] & (s["n"] >= min_words), F.concat(acc["runs"], run)).otherwise(acc["runs"]).alias("runs"))
+        n = words(acc["at"], s["n"])
+        run = F.array(F.struct(acc["at"].alias("first"), (acc["at"] + s["n"] - 1).alias("last"), acc["begin"].alias("begin"), n.alias("words")))
+        return F.struct((acc["at"] + s["n"]).alias("at"), (acc["begin"] + n).alias("begin"), F.when(s["equal"] & (n >= least), F.concat(acc["runs"], run)).otherwise(acc["runs"]).alias("runs"))
 
     return F.aggregate(stretches, start, step, lambda acc: acc["runs"])
 
 
-def repeated_runs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """(row, doc, runs): for each distinct (doc_id, text) with repeats, the runs (first word, last word) to delete.
+def _words(lines: Column) -> Column:
+    return F.filter(F.split(F.array_join(lines, " "), " "), lambda w: w != "")
+
+
+def _alike(one: Column, two: Column) -> Column:
+    """How many words two lists have in common at their beginning."""
+    end = F.array_position(F.zip_with(one, two, lambda a, b: F.coalesce(a == b, F.lit(False))), F.lit(False))
+    return F.when(end > 0, end - 1).otherwise(F.least(F.size(one), F.size(two))).cast("int")
+
+
+def _ends(found: DataFrame, docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(row, first, last, before, after) of all line ranges that runs have in either text: the words on either side.
 
-    A text that very many others are aligned with goes out in copies, one for each ``SHARE`` of its alignments.
+    Ranges are gathered by text first, each once, so that a text goes through the join once however many meet it.
     """
+    ranges = found.select("row", "first", "last").unionByName(found.select(F.col("other").alias("row"), (F.col("first") - F.col("shift")).alias("first"), (F.col("last") - F.col("shift")).alias("last")))
+    asked = ranges.groupBy("row").agg(F.collect_set(F.struct("first", "last")).alias("ranges"))
+    texts = docs.select(_row_key(F.col(doc_id), F.col(text)).alias("row"), F.col(text).alias("text")).join(asked, "row").withColumn("lines", lines_of("text"))
+    each = texts.select("row", "lines", F.explode("ranges").alias("range")).select("row", "lines", "range.first", "range.last")
+    low = F.greatest(F.lit(0), F.col("first") - NEXT)
+    before = _words(F.slice("lines", low + 1, F.col("first") - low))
+    return each.select("row", "first", "last", before.alias("before"), _words(F.slice("lines", F.col("last") + 2, F.lit(NEXT))).alias("after"))
+
+
+def repeated_runs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+    """(row, doc, runs): for each distinct (doc_id, text) with repeats, the runs (first word, last word) to delete."""
     sequence = spool(sequences(docs, doc_id, text), "line-sequences")
     if not sequence.groupBy("row").count().where("count > 1").isEmpty():  # repeated rows are one document
         whole, sequence = sequence, spool(sequence.dropDuplicates(["row"]), "line-sequences")
         discard(whole)
     aligned = alignments(spool(selected(sequence, min_words), "line-prints"))
-    discard(sequence)
-    asked = aligned.groupBy(F.col("other").alias("row")).agg(F.ceil(F.count("*") / F.lit(SHARE)).cast("int").alias("copies"))
-    needed = aligned.select("row").distinct().join(asked, "row", "full")
-    keyed = docs.select(_row_key(F.col(doc_id), F.col(text)).alias("row"), F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text"))
-    texts = spool(keyed.join(needed, "row").dropDuplicates(["row"]).select("row", "doc", "copies", words_of(F.col("text")).alias("words")), "line-words")
-    other = texts.where("copies IS NOT NULL").select(F.col("row").alias("other"), F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"), F.col("words").alias("other_words"))
-    dealt = aligned.join(asked.withColumnRenamed("row", "other"), "other").withColumn("copy", F.pmod(F.xxhash64("row"), F.col("copies")).cast("int")).drop("copies")
-    found = dealt.join(texts.select("row", "doc", "words"), "row").join(other, ["other", "copy"]).select("row", "doc", F.explode(_runs(min_words)).alias("run"))
-    runs = spool(found.groupBy("row", "doc").agg(F.array_sort(F.collect_set("run")).alias("runs")), "line-runs")
-    discard(texts)
+    own = aligned.join(sequence, "row")
+    other = sequence.select(F.col("row").alias("other"), F.col("h").alias("other_h"))
+    found = own.join(other, "other").select("row", "doc", "other", "shift", F.explode(_runs(min(WHOLE, min_words))).alias("run")).select("row", "doc", "other", "shift", "run.*")
+    found = spool(found, "line-found")
     discard(aligned)
+    discard(sequence)
+    ends = spool(_ends(found, docs, doc_id, text).dropDuplicates(["row", "first", "last"]), "line-ends")
+    theirs = ends.select(F.col("row").alias("other"), (F.col("first")).alias("other_first"), F.col("last").alias("other_last"), F.col("before").alias("other_before"), F.col("after").alias("other_after"))
+    met = found.withColumns({"other_first": F.col("first") - F.col("shift"), "other_last": F.col("last") - F.col("shift")}).join(theirs, ["other", "other_first", "other_last"]).join(ends, ["row", "first", "last"])
+    left, right = _alike(F.reverse("before"), F.reverse("other_before")), _alike(F.col("after"), F.col("other_after"))
+    grown = met.select("row", "doc", (F.col("begin") - left).alias("first"), (F.col("begin") + F.col("words") - 1 + right).alias("last")).where(F.col("last") - F.col("first") + 1 >= min_words)
+    runs = spool(grown.groupBy("row", "doc").agg(F.array_sort(F.collect_set(F.struct("first", "last"))).alias("runs")), "line-runs")
+    for done in (found, ends):
+        discard(done)
     return runs
 
 

@@ -55,7 +55,7 @@ def test_only_repeats_go_and_first_places_stay(spark):
             assert out[i].n_words == len(text.split()) and out[i].n_removed == len(text.split()) - len(out[i].text.split())
             assert out[i].n_removed <= sum(may)
             words += out[i].n_removed
-        assert words > 0.97 * sum(map(sum, allowed)) > 500
+        assert words > 0.93 * sum(map(sum, allowed)) > 500
         again = naive([(i, out[i].text) for i, _ in rows], 24)  # texts that now meet may be alike by chance
         assert sum(map(sum, again)) < 0.02 * sum(map(sum, allowed))
         assert all(not out[100 + i].text for i in range(10) if len(rows[i][1].split()) >= 12)
@@ -118,8 +118,7 @@ def test_junk_of_one_word_shrinks(spark):
     assert 470 <= out[1].n_removed <= 499 and out[1].text.startswith("Start here. and ") and out[1].text.endswith("then stop.")
 
 
-def test_a_text_with_very_many_alignments_goes_out_in_copies(spark, monkeypatch):
-    monkeypatch.setattr(L, "SHARE", 7)
+def test_a_text_that_very_many_are_aligned_with(spark):
     passage = " ".join(f"p{k}" for k in range(30)) + "."
     rows = [(i, f"Own {i} line {i}.\n{passage}\n{i} ends {i}.") for i in range(80)]
     out = removed(spark, rows)
@@ -140,8 +139,8 @@ def test_odd_rows(spark):
     assert L.remove_repeats(frame.limit(0)).collect() == []
 
 
-def test_lines_are_cut_at_marks_breaks_and_certain_words(spark):
+def test_lines_are_cut_at_breaks_sentences_and_certain_words(spark):
     text = "One two. Three, four\nfive  six;\n" + " ".join(map(str, range(20)))
     got = spark.createDataFrame([(text,)], "t string").select(L.lines_of("t").alias("l")).first().l
-    assert got == ["One two.", "Three,", "four", "five six;", "0", "1 2 3 4 5", "6 7 8 9 10", "11 12 13 14 15", "16 17 18 19"]
+    assert got == ["One two.", "Three, four", "five six;", "0 1 2 3 4 5", "6 7 8 9 10", "11 12 13 14 15", "16 17 18 19"]
     assert re.sub(r"\s+", " ", text) == " ".join(got)
