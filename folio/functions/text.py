@@ -199,3 +199,124 @@ def paged(text: Column) -> Column:
     """Form feeds as page marks, counted from 1."""
     pages = F.transform(F.split(text, "\f"), lambda page, i: F.concat(F.lit("<!-- page "), (i + 1).cast("string"), F.lit(" -->\n"), page))
     return F.array_join(pages, "\n\n")
+
+
+# How prose names the document it was made from, names no file may have, and JSON's escapes.
+NARRATION = "源材料|源文档|源文本|源文(?=[中里所的提指写给说表最])|原文(?=[中里所的提指写给说表最明])|文档中(?=对此|有|的描述|描述|提到|给出|写道|指出|说明)|书中(?=提到|描述|写道|指出|给出|有清晰|清晰)|教材中|课本中|原书(?=[中里的指提写给])|如(?:源材料|源文|原文)所(?:述|示|说|写)|根据(?:源材料|源文|原文|教材|课本|原书)|源中(?=对此|有|提到|描述|给出)"
+RESERVED_NAMES = ["con", "prn", "aux", "nul", *(f"com{i}" for i in range(1, 10)), *(f"lpt{i}" for i in range(1, 10))]
+JSON_ESCAPE = r"\\(?![\"\\/bfnrtu])"
+
+
+def path_segment(name: Column, fallback: str = "item", most: int = 80) -> Column:
+    """One safe segment of a path: long ones end in 8 hex digits of their hash, empty and reserved ones are named by it.
+
+    Names that look alike must already be composed (NFC); nothing in SQL composes them.
+    """
+    digest = F.substring(F.sha2(name, 256), 1, 8)
+    bare = F.regexp_replace(F.regexp_replace(F.trim(name), r"(?U)[^\w.-]+", "-"), "-{2,}", "-")
+    bare = F.regexp_replace(bare, r"^[-.]+|[-.]+$", "")
+    cut = F.concat(F.regexp_replace(F.substring(bare, 1, most - 9), r"^[-.]+|[-.]+$", ""), F.lit("-"), digest)
+    fits = F.when(F.length(bare) > most, cut).otherwise(bare)
+    return F.when((fits == "") | F.lower(fits).isin(RESERVED_NAMES), F.concat(F.lit(f"{fallback}-"), digest)).otherwise(fits)
+
+
+def narrations(text: Column) -> Column:
+    """Sentences that speak of the document they were made from, each once."""
+    sentences = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("[^。！？；\n（）]+[。！？]?"), F.lit(0))
+    return F.array_distinct(F.filter(F.transform(sentences, lambda s: F.trim(s)), lambda s: s.rlike(NARRATION)))
+
+
+def same_segment(segment: Column, raw: Column) -> Column:
+    """Whether a path segment and a raw slug are one, decoded or encoded either way."""
+    encoded = lambda t: F.replace(F.url_encode(t), F.lit("+"), F.lit("%20"))
+    return (segment == raw) | (segment == decoded(raw)) | (decoded(segment) == raw) | (decoded(segment) == decoded(raw)) | (encoded(segment) == raw) | (encoded(decoded(segment)) == raw)
+
+
+def within_budget(text: Column, tokens: Column) -> Column:
+    """The longest beginning of a text within a number of tokens, CJK characters one each, others a quarter."""
+    head = F.substring(text, F.lit(1), F.greatest(tokens * 4, F.lit(0)).cast("int"))
+    start = F.struct(F.lit(0).alias("quarters"), F.lit(0).alias("n"), F.lit(False).alias("full"))
+
+    def step(acc: Column, c: Column) -> Column:
+        more = acc["quarters"] + F.when(c.rlike(CJK), 4).otherwise(1)
+        over = acc["full"] | (more > tokens * 4)
+        return F.struct(more.cast("int").alias("quarters"), (acc["n"] + F.when(over, 0).otherwise(1)).alias("n"), over.alias("full"))
+
+    n = F.aggregate(F.filter(F.split(head, ""), lambda c: c != ""), start, step, lambda acc: acc["n"])
+    return F.when(tokens <= 0, "").when(estimated_tokens(text) <= tokens, text).otherwise(F.substring(text, F.lit(1), n))
+
+
+def anchored(text: Column, quote: Column, start: Column) -> Column:
+    """(start, end) of a quote in a text: where it was, else its nearest exact place, else its first with other white space; null without any."""
+    size = F.length(quote)
+    loose = F.regexp_replace(F.regexp_replace(F.trim(quote), r"([\\\[\](){}.*+?^$|])", r"\\$1"), r"\s+", r"\\s+")
+    parts = F.split(text, F.concat(F.lit(r"\Q"), quote, F.lit(r"\E")), -1)
+    ends = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.aggregate(F.slice(parts, 1, i), F.lit(0), lambda a, p: a + F.length(p)) + (i - 1) * size)
+    nearest = F.get(F.array_sort(F.transform(ends, lambda at: F.struct(F.abs(at - start).alias("far"), at.alias("at")))), F.lit(0))["at"]
+    there = F.regexp_instr(text, loose) - 1
+    found = lambda at, n: F.struct(at.cast("int").alias("start"), (at + n).cast("int").alias("end"))
+    return (
+        F.when((quote != "") & (F.substring(text, start + 1, size) == quote), found(start, size))
+        .when((quote != "") & F.contains(text, quote), found(nearest, size))
+        .when((F.trim(quote) != "") & (there >= 0), found(there, F.length(F.regexp_substr(text, loose))))
+    )
+
+
+def repaired_json(text: Column) -> Column:
+    """A JSON text whose lone backslashes are doubled; pairs that mean something stay."""
+    pairs = r"\\[\"\\/bfnrtu]"
+    gaps = F.transform(F.split(text, pairs, -1), lambda g: F.replace(g, F.lit("\\"), F.lit("\\\\")))
+    return F.array_join(F.zip_with(gaps, F.regexp_extract_all(text, F.lit(pairs), F.lit(0)), lambda g, m: F.concat(g, F.coalesce(m, F.lit("")))), "")
+
+
+def first_heading(text: Column, otherwise: Column) -> Column:
+    return F.coalesce(F.nullif(F.trim(F.regexp_extract(text, r"(?m)^#[ \t]+(\S.*?)[ \t]*$", 1)), F.lit("")), otherwise)
+
+
+def replaced_once(text: Column, old: Column, new: Column) -> Column:
+    """(text, error): a replacement where the old text stands exactly once; otherwise the text as it was and why."""
+    n = F.when(old == "", -1).otherwise((F.length(text) - F.length(F.replace(text, old, F.lit("")))) / F.length(old)).cast("int")
+    error = F.when(n < 0, "empty").when(n == 0, "missing").when(n > 1, F.concat(n.cast("string"), F.lit(" matches")))
+    return F.struct(F.when(n == 1, F.replace(text, old, new)).otherwise(text).alias("text"), error.alias("error"))
+
+
+def line_view(text: Column, first: Column, last: Column, most: int = 400) -> Column:
+    """Numbered lines first to last of a text, ``most`` at most; null where the range is empty."""
+    lines = F.split(text, "\n", -1)
+    low = F.greatest(first, F.lit(1))
+    high = F.least(last, F.size(lines), low + most - 1)
+    shown = F.transform(F.slice(lines, low, F.greatest(high - low + 1, F.lit(0))), lambda line, i: F.concat((i + low).cast("string"), F.lit(": "), line))
+    return F.when(high >= low, F.array_join(shown, "\n"))
+
+
+def xml_chunks(text: Column) -> Column:
+    """A text as chunks by reference marks, with what stands before the first mark in the first; null without marks."""
+    escape = lambda t: F.replace(F.replace(F.replace(t, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    parts, refs = F.split(text, SOURCE_REF, -1), F.regexp_extract_all(text, F.lit(SOURCE_REF), F.lit(1))
+    bodies = F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(1))), lambda p, i: strip(F.when(i == 0, F.concat(strip(F.get(parts, F.lit(0))), F.lit("\n\n"), strip(p))).otherwise(p)))
+    chunks = F.zip_with(refs, bodies, lambda r, b: F.concat(F.lit('  <chunk ref="'), escape(r), F.lit('">'), escape(b), F.lit("</chunk>")))
+    return F.when(F.size(refs) > 0, F.concat(F.lit("<document>\n"), F.array_join(chunks, "\n"), F.lit("\n</document>")))
+
+
+def owner_file(owner: Column) -> Column:
+    """The page that a check's owner stands for."""
+    concept = F.concat(F.lit("concepts/"), F.regexp_replace(owner, "^concept-mdx:", ""), F.lit(".mdx"))
+    return F.when(owner.startswith("concept-mdx:"), concept).otherwise(F.concat(F.lit("chapters/"), F.regexp_replace(owner, ":[^:]*$", ""), F.lit(".mdx")))
+
+
+def chunk_budget(cap: Column, factor: Column, overhead: int = 8000) -> Column:
+    """Tokens of a chunk: a share of what the prompt leaves, at least one; null where it would not stay below the cap."""
+    usable = cap - overhead
+    budget = F.floor(usable * factor)
+    fits = F.when(budget >= 1, budget).otherwise(F.greatest(F.lit(1), usable)).cast("long")
+    return F.when(fits < cap, fits)
+
+
+def config_hash(*fields: str) -> Column:
+    """16 hex digits over the JSON of settings in order of name."""
+    return F.substring(F.sha2(F.to_json(F.struct(*sorted(fields))), 256), 1, 16)
+
+
+def without_files(parts: Column) -> Column:
+    """Parts of a message but for files."""
+    return F.filter(parts, lambda p: p["type"] != "file")
