@@ -11,8 +11,8 @@ The first place of a selected line in the corpus is its anchor, and so is the fi
 equal window. Each later text is aligned with the anchors' texts (and a repetition inside one text with the place
 before it), the match is extended both ways line by line, and at its ends word by word into the lines that are equal in
 part. What stands there for at least ``min_words`` words goes. A word goes only if an equal run stands at an earlier
-place, so first occurrences always stay. A selected line makes at most four alignments for each window that selects it:
-two with anchors, two inside its text.
+place, so first occurrences always stay. A selected line makes at most three alignments for each window that selects it:
+two with anchors, one with the equal window before it in its own text.
 
 What may stay: the words at a run's end that fill no window, where the window before them was first seen in a text that
 goes on differently (fewer than ``min_words`` words); and passages pasted into the middle of lines whose whole lines
@@ -29,8 +29,8 @@ from folio.llm.common import discard, spool
 #: Words of a repeated run that is deleted, and of whole lines that it must hold at least.
 MIN_WORDS, WHOLE = 20, 8
 
-#: Where a text is cut: behind line breaks, and behind the space that ends a sentence.
-CUT = r"(?<=\n)(?=[^\n])|(?<=[.!?] )(?=\S)"
+#: Between lines: line breaks, and the space that ends a sentence.
+CUT = r"\n+|(?<=[.!?]) +"
 #: A line of more words than ``LONG`` is cut behind words with one of ``ENDS`` as their last sign, into parts of ``LEAST`` to ``MOST`` words.
 LONG, LEAST, MOST, ENDS = 16, 4, 12, ",;:ndND05нйνςの"
 PART = rf"(?:\S++ ){{{LEAST - 1},{MOST - 1}}}?\S*[{ENDS}](?: |$)|(?:\S++ ?+){{1,{MOST}}}"
@@ -40,10 +40,11 @@ NEXT = 3
 
 def lines_of(text: Column | str) -> Column:
     """The lines of a text, single spaces between their words."""
-    whole = F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
-    lines = F.transform(F.split(F.regexp_replace(whole, r"[^\S\n]+", " "), CUT, -1), lambda line: F.regexp_replace(F.trim(line), r"^\s+|\s+$", ""))
+    whole = F.translate(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")), "\t\r\f\x0b", "    ")
+    single = F.when(F.contains(whole, F.lit("  ")), F.regexp_replace(whole, " +", " ")).otherwise(whole)
+    lines = F.transform(F.split(single, CUT, -1), lambda line: F.trim(line))
     cut = F.transform(lines, lambda line: F.when(_size(line) > LONG, F.regexp_extract_all(line, F.lit(PART), F.lit(0))).otherwise(F.array(line)))
-    return F.transform(F.flatten(cut), lambda line: F.trim(line))
+    return F.transform(F.filter(F.flatten(cut), lambda line: line != ""), lambda line: F.rtrim(line))
 
 
 def _size(line: Column) -> Column:
@@ -63,22 +64,19 @@ def sequences(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 
 def selected(sequence: DataFrame, min_words: int) -> DataFrame:
-    """(row, doc, pos, hash, around, before, same): for each window of at least ``min_words`` words the line that it selects.
+    """(row, doc, pos, hash, around, same): for each window of at least ``min_words`` words the line that it selects.
 
-    ``around`` is a hash of the window's lines in order, ``before`` the place of the
-    same line before it in the text, ``same`` that before it in an equal window. A line is there once for each of its
-    windows: the first may begin in front of a run that texts share, and so differ between them. Whole sequences are
-    dealt by row once; all windows go by row and keep to that.
+    ``around`` is a hash of the window's lines in order, ``same`` the place of the equal window before it in the text. A
+    line is there once for each of its windows: the first may begin in front of a run that texts share, and so differ
+    between them. Whole sequences are dealt by row once; all windows go by row and keep to that.
     """
     lines = sequence.repartition("row").select("row", "doc", F.posexplode(F.arrays_zip("h", "w")).alias("pos", "line")).select("row", "doc", "pos", "line.h", "line.w")
     by_row = Window.partitionBy("row")
-    placed = lines.withColumn("at", F.sum("w").over(by_row.orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("w")).where("w > 0")
+    placed = lines.withColumn("at", F.sum("w").over(by_row.orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("w"))
     window = by_row.orderBy("at").rangeBetween(0, min_words - 1)
     chosen = placed.select("row", "doc", F.min(F.struct("h", "pos")).over(window).alias("least"), F.xxhash64(F.collect_list("h").over(window)).alias("around"), F.sum("w").over(window).alias("words")).where(F.col("words") >= min_words)
     prints = chosen.select("row", "doc", F.col("least.pos").alias("pos"), F.col("least.h").alias("hash"), "around")
-    earlier = Window.partitionBy("row", "hash").orderBy("pos").rangeBetween(Window.unboundedPreceding, -1)
-    alike = Window.partitionBy("row", "hash", "around").orderBy("pos")
-    return prints.withColumn("before", F.max("pos").over(earlier)).withColumn("same", F.lag("pos").over(alike))
+    return prints.withColumn("same", F.lag("pos").over(Window.partitionBy("row", "around").orderBy("pos")))
 
 
 def alignments(prints: DataFrame) -> DataFrame:
@@ -88,16 +86,16 @@ def alignments(prints: DataFrame) -> DataFrame:
     partition of a hash that a large part of all texts share. ``prints`` is a spooled table, deleted once it is used up;
     the result is spooled.
     """
-    place = F.min(F.struct("doc", "row", "pos"))
-    first = spool(prints.groupBy("hash").agg(place.alias("anchor"), F.max(F.struct("doc", "row", "pos")).alias("latest")).where("anchor <> latest").select("hash", "anchor"), "line-anchors")
-    back = [prints.where(F.col(at).isNotNull()).select("row", F.col("row").alias("other"), (F.col("pos") - F.col(at)).alias("shift")) for at in ("before", "same")]
-    inside = spool(back[0].unionByName(back[1]).distinct(), "line-inside")
-    across = spool(prints.where("same IS NULL").drop("before", "same").join(first, "hash"), "line-met")
-    discard(prints)
+    inside = spool(prints.where("same IS NOT NULL").select("row", F.col("row").alias("other"), (F.col("pos") - F.col("same")).alias("shift")).where("shift > 0").distinct(), "line-inside")
+    prints, given = prints.where("same IS NULL").drop("same"), prints
+    place, latest = F.min(F.struct("doc", "row", "pos")), F.max(F.struct("doc", "row", "pos")).alias("latest")
+    first = spool(prints.groupBy("hash").agg(place.alias("anchor"), latest).where("anchor <> latest").select("hash", "anchor"), "line-anchors")
+    across = spool(prints.join(first, "hash").drop("hash"), "line-met")
+    discard(given)
     discard(first)
-    like = spool(across.groupBy("hash", "around").agg(place.alias("like")), "line-like")
-    met = {"anchor": across, "like": across.drop("anchor").join(like, ["hash", "around"])}
-    ahead = [rows.where(F.col("row") != F.col(f"{at}.row")).select("row", F.col(f"{at}.row").alias("other"), (F.col("pos") - F.col(f"{at}.pos")).alias("shift")) for at, rows in met.items()]
+    like = spool(across.groupBy("around").agg(place.alias("like"), latest).where("like <> latest").drop("latest"), "line-like")
+    met = {"anchor": across, "like": across.drop("anchor").join(like, "around")}
+    ahead = [rows.where(F.col("row") != F.col(f"{at}.row")).select("row", F.col(f"{at}.row").alias("other"), (F.col("pos") - F.col(f"{at}.pos")).alias("shift")).distinct() for at, rows in met.items()]
     aligned = spool(inside.unionByName(ahead[0]).unionByName(ahead[1]).distinct(), "line-alignments")
     for done in (inside, across, like):
         discard(done)
