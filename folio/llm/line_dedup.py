@@ -3,16 +3,16 @@
 A text is cut into lines: at line breaks, behind the marks that end sentences and clauses, and in long stretches without
 marks behind words with certain last letters, since passages are often copied without their line breaks and pasted
 into the middle of other lines: wherever they stand, they are cut alike. A window is the shortest run of lines
-with at least ``min_words`` words; each window selects its line of minimum hash, the leftmost of equal ones. Two texts
+with at least ``WINDOW`` words; each window selects its line of minimum hash, the leftmost of equal ones. Two texts
 that share a run of so many words in whole lines share a window and thus a selected line: every such run is found,
 while only the selected lines are joined.
 
-The first place of a selected line in the corpus is its anchor, and so is the first place where it was selected by an
-equal window. Each later text is aligned with the anchors' texts (and a repetition inside one text with the place
-before it), the match is extended both ways line by line, and at its ends word by word into the lines that are equal in
-part. What stands there for at least ``min_words`` words goes. A word goes only if an equal run stands at an earlier
-place, so first occurrences always stay. A selected line makes at most three alignments for each window that selects it:
-two with anchors, one with the equal window before it in its own text.
+A fingerprint is a selected line with a hash of the window that selected it, so that common short lines join nothing by
+themselves. Its first place in the corpus is its anchor. Each later text is aligned with the anchors' texts (and a
+repetition inside one text with the place before it), the match is extended both ways line by line, and at its ends word
+by word into the lines that are equal in part. What stands there for at least ``min_words`` words goes. A word goes only
+if an equal run stands at an earlier place, so first occurrences always stay. A fingerprint makes at most two alignments
+at each of its places: one with its anchor, one with the place before it in its own text.
 
 What may stay: the words at a run's end that fill no window, where the window before them was first seen in a text that
 goes on differently (fewer than ``min_words`` words); and passages pasted into the middle of lines whose whole lines
@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 
 from folio.llm.common import discard, spool
 
-#: Words of a repeated run that is deleted, and of whole lines that it must hold at least.
-MIN_WORDS, WHOLE = 20, 8
+#: Words of a repeated run that is deleted, and of a window, the whole lines that it must hold.
+MIN_WORDS, WINDOW = 20, 12
 
 #: Between lines: line breaks, and the space that ends a sentence.
 CUT = r"\n+|(?<=[.!?]) +"
@@ -59,7 +59,7 @@ def _row_key(doc_id: Column, text: Column) -> Column:
 def sequences(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """(row, doc, h, w): hashes and words of the lines of each row; ``row`` tells rows apart that differ in doc_id or text."""
     return docs.select(_row_key(F.col(doc_id), F.col(text)).alias("row"), F.col(doc_id).cast("long").alias("doc"), lines_of(F.col(text)).alias("lines")).select(
-        "row", "doc", F.transform("lines", lambda line: F.xxhash64(line)).alias("h"), F.transform("lines", _size).alias("w")
+        "row", "doc", F.transform("lines", lambda line: F.xxhash64(line)).alias("h"), F.transform("lines", lambda line: _size(line).cast("short")).alias("w")
     )
 
 
@@ -89,15 +89,10 @@ def alignments(prints: DataFrame) -> DataFrame:
     inside = spool(prints.where("same IS NOT NULL").select("row", F.col("row").alias("other"), (F.col("pos") - F.col("same")).alias("shift")).where("shift > 0").distinct(), "line-inside")
     prints, given = prints.where("same IS NULL").drop("same"), prints
     place, latest = F.min(F.struct("doc", "row", "pos")), F.max(F.struct("doc", "row", "pos")).alias("latest")
-    first = spool(prints.groupBy("hash").agg(place.alias("anchor"), latest).where("anchor <> latest").select("hash", "anchor"), "line-anchors")
-    across = spool(prints.join(first, "hash").drop("hash"), "line-met")
-    discard(given)
-    discard(first)
-    like = spool(across.groupBy("around").agg(place.alias("like"), latest).where("like <> latest").drop("latest"), "line-like")
-    met = {"anchor": across, "like": across.drop("anchor").join(like, "around")}
-    ahead = [rows.where(F.col("row") != F.col(f"{at}.row")).select("row", F.col(f"{at}.row").alias("other"), (F.col("pos") - F.col(f"{at}.pos")).alias("shift")).distinct() for at, rows in met.items()]
-    aligned = spool(inside.unionByName(ahead[0]).unionByName(ahead[1]).distinct(), "line-alignments")
-    for done in (inside, across, like):
+    first = spool(prints.groupBy("hash", "around").agg(place.alias("at"), latest).where("at <> latest").drop("latest"), "line-anchors")
+    ahead = prints.join(first, ["hash", "around"]).where(F.col("row") != F.col("at.row")).select("row", F.col("at.row").alias("other"), (F.col("pos") - F.col("at.pos")).alias("shift"))
+    aligned = spool(inside.unionByName(ahead.distinct()).distinct(), "line-alignments")
+    for done in (inside, given, first):
         discard(done)
     return aligned
 
@@ -108,7 +103,7 @@ def _runs(least: int) -> Column:
     many = F.greatest(F.lit(0), F.least(F.size("h"), F.size("other_h") + F.col("shift")) - first)
     equal = F.zip_with(F.slice("h", first + 1, many), F.slice("other_h", first - F.col("shift") + 1, many), lambda a, b: F.when(a == b, "1").otherwise("0"))
     stretches = F.transform(F.regexp_extract_all(F.array_join(equal, ""), F.lit("1+|0+"), F.lit(0)), lambda s: F.struct(F.length(s).alias("n"), s.startswith("1").alias("equal")))
-    words = lambda at, n: F.aggregate(F.slice("w", at + 1, n), F.lit(0), lambda x, y: x + y)
+    words = lambda at, n: F.aggregate(F.slice("w", at + 1, n), F.lit(0), lambda x, y: x + y.cast("int"))
     none = "CAST(array() AS array<struct<first: int, last: int, begin: int, words: int>>)"
     start = F.struct(first.alias("at"), words(F.lit(0), first).alias("begin"), F.expr(none).alias("runs"))
 
@@ -150,10 +145,10 @@ def repeated_runs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", m
     if not sequence.groupBy("row").count().where("count > 1").isEmpty():  # repeated rows are one document
         whole, sequence = sequence, spool(sequence.dropDuplicates(["row"]), "line-sequences")
         discard(whole)
-    aligned = alignments(spool(selected(sequence, min_words), "line-prints"))
+    aligned = alignments(spool(selected(sequence, min(WINDOW, min_words)), "line-prints"))
     own = aligned.join(sequence, "row")
     other = sequence.select(F.col("row").alias("other"), F.col("h").alias("other_h"))
-    found = own.join(other, "other").select("row", "doc", "other", "shift", F.explode(_runs(min(WHOLE, min_words))).alias("run")).select("row", "doc", "other", "shift", "run.*")
+    found = own.join(other, "other").select("row", "doc", "other", "shift", F.explode(_runs(min(WINDOW, min_words))).alias("run")).select("row", "doc", "other", "shift", "run.*")
     found = spool(found, "line-found")
     discard(aligned)
     discard(sequence)
