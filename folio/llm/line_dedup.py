@@ -15,8 +15,8 @@ if an equal run stands at an earlier place, so first occurrences always stay. A
 at each of its places: one with its anchor, one with the place before it in its own text.
 
 What may stay: the words at a run's end that fill no window, where the window before them was first seen in a text that
-goes on differently (fewer than ``min_words`` words); and passages pasted into the middle of lines whose whole lines
-have fewer words. Words are what white space divides, so scripts without spaces are matched by whole sentences.
+goes on differently (fewer than ``min_words`` words); passages pasted into the middle of lines whose whole lines fill no
+window; and copies with other line breaks, where their whole sentences fill none. Words are what white space divides, so scripts without spaces are matched by whole sentences.
 """
 
 from __future__ import annotations
