@@ -13,8 +13,8 @@ CJK = r"[\x{2E80}-\x{9FFF}\x{AC00}-\x{D7AF}\x{F900}-\x{FAFF}\x{FF00}-\x{FFEF}]"
 
 
 def concept_key(name: Column) -> Column:
-    """Lower-cased letters, digits and marks of a name; '' for names without any."""
-    return F.regexp_replace(F.lower(name), r"(?U)[\W_]+", "")
+    """Letters and digits of a name without their case; '' for names without any."""
+    return F.regexp_replace(F.translate(F.replace(F.lower(name), F.lit("ß"), F.lit("ss")), "ς", "σ"), r"[^\p{L}\p{N}]+", "")
 
 
 def clean_markdown(text: Column) -> Column:
@@ -151,7 +151,9 @@ def fingerprint(*fields: Column) -> Column:
 
 def string_array(json: Column) -> Column:
     """The strings of a JSON array; anything else is an empty array."""
-    return F.coalesce(F.from_json(json, "array<string>"), F.array().cast("array<string>"))
+    items = F.try_parse_json(json).try_cast("array<variant>")
+    texts = F.transform(F.filter(items, lambda v: F.schema_of_variant(v) == "STRING"), lambda v: v.cast("string"))
+    return F.coalesce(texts, F.array().cast("array<string>"))
 
 
 def match_query(text: Column) -> Column:

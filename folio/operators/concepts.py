@@ -55,14 +55,13 @@ class _Book:
         return next((k for k, c in reversed(self.concepts.items()) if key in map(_key, c["aliases"])), None)
 
     def own(self, name: str, chapter: str) -> None:
-        held = self.owners.get(_key(name))
-        if held is None or self.age(chapter) < self.age(held):
-            self.owners[_key(name)] = chapter
+        if _key(name) and chapter:
+            self.owners[_key(name)] = chapter  # the latest edit that names a spelling says whose it is
 
     def call(self, concept: dict, alias: str | None, chapter: str) -> None:
         alias = (alias or "").strip()
-        if alias and _key(alias) != _key(concept["canonical"]) and alias not in concept["aliases"]:
-            concept["aliases"].append(alias)
+        if alias and _key(alias) != _key(concept["canonical"]):
+            concept["aliases"] += [] if alias in concept["aliases"] else [alias]
             self.own(alias, chapter)
 
     def put(self, name: str, aliases: list[str], chapter: str) -> dict:

@@ -110,3 +110,13 @@ def filled_slots(items: DataFrame, slots: DataFrame, slot: str) -> DataFrame:
     joined = items.join(slots.withColumn("_slot", F.lit(True)), slot, "left")
     known = F.when(F.col("_slot").isNull(), F.raise_error(F.lit("an item has no slot")).cast("boolean")).otherwise(True)
     return joined.where(known).drop("_slot")
+
+
+def backbone(edges: DataFrame, strength: Column, most: int) -> DataFrame:
+    """The ``most`` strongest edges (a, b, weight), and of each node without one its strongest.
+
+    ``edges`` are those among a graph's top nodes: at most as many as pairs of these, so one task may rank them.
+    """
+    numbered = edges.select("a", "b", "weight", F.row_number().over(Window.orderBy(F.desc(strength), "a", "b")).alias("n"))
+    first = numbered.select(F.explode(F.array("a", "b")).alias("node"), "n").groupBy("node").agg(F.min("n").alias("n")).select("n").distinct()
+    return numbered.join(first.withColumn("first", F.lit(True)), "n", "left").where((F.col("n") <= most) | F.col("first")).select("a", "b", "weight")

@@ -49,8 +49,9 @@ def bm25(chunks: DataFrame, query: str, row_id: str, text: str, heading: str | N
 
 def gram_index(chunks: DataFrame, row_id: str, text: str) -> DataFrame:
     """(gram, row_id, tf): inverted index of character trigrams, for candidate rows where a scan would be too wide."""
-    low = F.lower(F.col(text))
-    grams = F.transform(F.sequence(F.lit(1), F.length(low) - 2), lambda i: F.substring(low, i, F.lit(3)))
+    signs = F.filter(F.split(F.lower(F.col(text)), ""), lambda c: c != "")
+    pairs = F.zip_with(signs, F.slice(signs, F.lit(2), F.size(signs)), lambda a, b: F.concat(a, b))
+    grams = F.array_compact(F.zip_with(pairs, F.slice(signs, F.lit(3), F.size(signs)), lambda a, b: F.concat(a, b)))
     exploded = chunks.where(F.length(text) >= 3).select(row_id, F.explode(grams).alias("gram"))
     return exploded.groupBy("gram", row_id).agg(F.count("*").alias("tf"))
 

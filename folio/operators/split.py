@@ -6,7 +6,9 @@ joined by prefix and number range, and only the fragments' keys are shuffled for
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -60,6 +62,7 @@ def by_reference(rows: DataFrame, ref: str, specs: DataFrame) -> DataFrame:
     """(ref, chapter_id): the first chapter whose references name the row's or hold it in a range; each ref once."""
     refs = rows.select(F.col(ref).alias("ref")).distinct().select("ref", T.ref_prefix(F.col("ref")).alias("p"), T.ref_number(F.col("ref")).alias("n"))
     ranges = reference_ranges(specs)
+    ranges = F.broadcast(ranges)  # one row per reference of the approved structure, which the driver holds
     exact = refs.join(ranges.select("chapter_id", "ord", "exact"), F.col("ref") == F.col("exact")).select("ref", "chapter_id", "ord")
     within = refs.join(ranges.where("prefix IS NOT NULL").select("chapter_id", "ord", "prefix", "low", "high"), (F.col("p") == F.col("prefix")) & F.col("n").between(F.col("low"), F.col("high")))
     return exact.unionByName(within.select("ref", "chapter_id", "ord")).groupBy("ref").agg(F.min_by("chapter_id", "ord").alias("chapter_id"))
@@ -77,12 +80,23 @@ def by_keywords(body: Column, chapters: list[Chapter]) -> Column:
     return F.when(best.isNotNull(), F.struct(best["chapter_id"].alias("chapter_id"), best["confidence"].alias("confidence")))
 
 
+def referenced(ref: Column, chapters: list[Chapter]) -> Column:
+    """The first chapter whose references name a reference or hold it in a range; null for none. The structure is small: literals of the plan."""
+    prefix, number = T.ref_prefix(ref), T.ref_number(ref)
+    found = F.lit(None).cast("string")
+    for c in reversed(chapters):
+        parts = [[x.strip() for x in r.split("..")] for r in c.source_refs]
+        ranges = [(re.fullmatch(r"(.*?)(\d+)", x[0]), re.fullmatch(r"(.*?)(\d+)", x[1])) for x in parts if len(x) == 2]
+        within = [(prefix == low[1]) & number.between(int(low[2]), int(high[2])) for low, high in ranges if low and high and low[1] == high[1]]
+        named = ref.isin([r.strip() for r in c.source_refs]) if c.source_refs else F.lit(False)
+        found = F.when(reduce(Column.__or__, within, named), F.lit(c.chapter_id)).otherwise(found)
+    return found
+
+
 def assign(parts: DataFrame, chapters: list[Chapter]) -> DataFrame:
-    """Adds chapter_id, confidence and reason: by reference, else by keywords, else the appendix."""
-    spark = parts.sparkSession
-    specs = spark.createDataFrame([(c.chapter_id, i, list(c.source_refs)) for i, c in enumerate(chapters)], "chapter_id string, ord int, source_refs array<string>")
-    named = by_reference(parts, "source_ref", specs).select(F.col("ref").alias("source_ref"), F.col("chapter_id").alias("by_ref"))
-    joined = parts.join(named, "source_ref", "left").withColumn("kw", F.when(F.col("by_ref").isNull(), by_keywords(F.col("body"), chapters)))
+    """Adds chapter_id, confidence and reason: by reference, else by keywords, else the appendix. A map over rows: no text is shuffled."""
+    joined = parts.withColumn("by_ref", referenced(F.col("source_ref"), chapters))
+    joined = joined.withColumn("kw", F.when(F.col("by_ref").isNull(), by_keywords(F.col("body"), chapters)))
     return joined.select(
         *parts.columns,
         F.coalesce("by_ref", F.col("kw.chapter_id"), F.lit("appendix")).alias("chapter_id"),
@@ -93,8 +107,8 @@ def assign(parts: DataFrame, chapters: list[Chapter]) -> DataFrame:
 
 def is_boundary(body: Column) -> Column:
     """Whether a chapter's heading stands in the body with text before it."""
-    before = F.regexp_extract(body, rf"(?s)^(.*?)(?={CHAPTER_HEADING})", 1)
-    return body.rlike(CHAPTER_HEADING) & (T.strip(before) != "")
+    at = F.regexp_instr(body, F.lit(CHAPTER_HEADING))
+    return (at > 1) & (T.strip(F.substring(body, F.lit(1), at - 1)) != "")
 
 
 def carry(assigned: DataFrame, chapters: list[Chapter]) -> DataFrame:
@@ -110,8 +124,13 @@ def carry(assigned: DataFrame, chapters: list[Chapter]) -> DataFrame:
 
 
 def chapter_texts(assigned: DataFrame, chapters: list[Chapter]) -> DataFrame:
-    """(chapter_id, markdown): a chapter's heading and its fragments in order, each behind its reference mark."""
-    titles = F.create_map(*(F.lit(x) for c in chapters for x in (c.chapter_id, c.title)), F.lit("appendix"), F.lit("Appendix"))
+    """(chapter_id, path, pos, block): the parts of all chapters' texts, each behind its reference mark, a heading before all of them.
+
+    A chapter is its blocks in order of path and place. They stay rows: an appendix may hold most of a corpus, so files
+    are written part by part (``write.partitionBy("chapter_id")``, sorted within partitions), never in one cell.
+    """
+    spark = assigned.sparkSession
+    titles = [(c.chapter_id, "", -1, f"# {c.title}") for c in chapters] + [("appendix", "", -1, "# Appendix")]
+    heads = spark.createDataFrame(titles, "chapter_id string, path string, pos int, block string")
     block = F.concat(F.lit("<!-- source_ref: "), "source_ref", F.lit(" -->\n\n"), "body")
-    parts = assigned.groupBy("chapter_id").agg(F.array_sort(F.collect_list(F.struct("path", "pos", block.alias("block")))).alias("parts"))
-    return parts.select("chapter_id", F.concat(F.lit("# "), F.element_at(titles, F.col("chapter_id")), F.lit("\n\n"), F.array_join(F.transform("parts", lambda p: p["block"]), "\n\n")).alias("markdown"))
+    return heads.unionByName(assigned.select("chapter_id", "path", "pos", block.alias("block")))

@@ -72,8 +72,8 @@ def _(spark, sf):
     return K.term_drift(_linked(spark, sf), "doc_id", "text", variants)
 
 
-@query("XD02_unresolved_links", """SELECT doc_id, source AS target FROM documents WHERE source NOT IN (SELECT source FROM documents WHERE doc_id < 7) UNION ALL SELECT doc_id, lang FROM documents WHERE lang <> 'de'
+@query("XD02_unresolved_links", """SELECT doc_id, source AS target FROM documents WHERE source NOT IN (SELECT 'src' || r_regionkey FROM region) UNION ALL SELECT doc_id, lang FROM documents WHERE lang <> 'de'
 UNION ALL SELECT doc_id, '[[' || upper(lang) || ']]' FROM documents UNION ALL SELECT doc_id, '[[German]]' FROM documents""")
 def _(spark, sf):
-    known = table(spark, sf, "documents").where("doc_id < 7").select(C("source").alias("slug")).distinct()
+    known = table(spark, sf, "region").select(F.concat(F.lit("src"), C("r_regionkey").cast("string")).alias("slug"))
     return K.unresolved_links(_linked(spark, sf), "doc_id", "text", known, spark.createDataFrame([("de",)], "slug string"))

@@ -55,10 +55,9 @@ def _(spark, sf):
 
 
 @query("RT03_gram_index", """
-SELECT gram, count(*) AS docs, CAST(sum(tf) AS BIGINT) AS places FROM (SELECT doc_id, gram, count(*) AS tf FROM (SELECT doc_id, unnest(list_transform(range(1, length(text) - 1), lambda i: substr(lower(text), i, 3))) AS gram FROM documents WHERE length(text) >= 3 AND doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)) GROUP BY ALL) GROUP BY gram""")
+SELECT gram, count(*) AS docs, CAST(sum(tf) AS BIGINT) AS places FROM (SELECT doc_id, gram, count(*) AS tf FROM (SELECT doc_id, unnest(list_transform(range(1, length(text) - 1), lambda i: substr(lower(text), i, 3))) AS gram FROM documents WHERE length(text) >= 3) GROUP BY ALL) GROUP BY gram""")
 def _(spark, sf):
-    toxic = table(spark, sf, "labels").where("toxic = 1").select(C("doc_id").alias("row_id"))
-    index = R.gram_index(_docs(spark, sf).join(toxic, "row_id", "left_semi"), "row_id", "text")
+    index = R.gram_index(_docs(spark, sf), "row_id", "text")
     return index.groupBy("gram").agg(F.count("*").alias("docs"), F.sum("tf").alias("places"))
 
 

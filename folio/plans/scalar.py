@@ -28,7 +28,7 @@ _EITHER = lambda: F.concat(C("source"), F.when(C("doc_id") % 2 == 0, "-p").other
 _MARKED = lambda: F.concat(F.lit("<!-- source_ref: "), _REF(), F.lit(" -->\n- `note-"), C("lang"), F.lit("`: see <SourceRef id=\"src0-p1\" />\n"), C("text"))
 #"'<!-- source_ref: ' || source || '-p' || doc_id || ' -->' || chr(10) || '- `note-' || lang || '`: see <SourceRef id=\"src0-p1\" />' || chr(10) || text"
 
-_project("FN01_concept_key", "documents", "doc_id", lambda: {"key": T.concept_key(F.substring("text", 1, 200))}, r"SELECT doc_id, regexp_replace(lower(substr(text, 1, 200)), '[^\p{L}\p{N}\p{M}]+', '', 'g') AS key FROM documents")
+_project("FN01_concept_key", "documents", "doc_id", lambda: {"key": T.concept_key(C("text"))}, r"SELECT doc_id, regexp_replace(replace(lower(text), 'ß', 'ss'), '[^\p{L}\p{N}]+', '', 'g') AS key FROM documents")
 _project("FN02_brief", "part", "p_partkey", lambda: {"brief": T.brief(C("p_name"), F.split("p_type", " "))}, "SELECT p_partkey, substr(p_name || '：' || array_to_string(list_slice(string_split(p_type, ' '), 1, 3), '、'), 1, 80) AS brief FROM part")
 _project("FN04_clean_markdown", "documents", "doc_id", lambda: {"clean": T.clean_markdown(F.replace("text", F.lit("\n"), F.lit(" \r\n\n\n")))}, r"SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(replace(replace(text, chr(10), ' ' || chr(10) || chr(10) || chr(10)), chr(13), chr(10)), '[ \t]+\n', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') AS clean FROM documents")
 _project("FN05_source_id", "pages", "page_id", lambda: {"source_id": T.source_id_from_stem(C("url"))}, r"SELECT page_id, coalesce(nullif(regexp_replace(regexp_replace(url, '[^A-Za-z0-9_.-]+', '-', 'g'), '^[-.]+|[-.]+$', '', 'g'), ''), 'source') AS source_id FROM pages")
@@ -47,7 +47,7 @@ _project("FN41_fingerprint", "documents", "doc_id", lambda: {"print": T.fingerpr
 _project("FN42_decode", "pages", "page_id", lambda: {"slug": T.decoded(C("url"))}, "SELECT page_id, url_decode(url) AS slug FROM pages")
 _project("FN43_page_slug", "pages", "page_id", lambda: {"slug": F.regexp_replace(F.regexp_replace(F.regexp_replace("url", r"^https?://[^/]+", ""), r"[?#].*$", ""), r"^/+|/+$", "")}, r"SELECT page_id, regexp_replace(regexp_replace(regexp_replace(url, '^https?://[^/]+', ''), '[?#].*$', ''), '^/+|/+$', '', 'g') AS slug FROM pages")
 _project("FN45_csv_field", "benchmark", "item_id", lambda: {"field": T.csv_field(C("text"))}, "SELECT item_id, CASE WHEN regexp_matches(text, '[\",\\r\\n]') THEN '\"' || replace(text, '\"', '\"\"') || '\"' ELSE text END AS field FROM benchmark")
-_project("FN46_string_array", "documents", "doc_id", lambda: {"items": F.array_join(T.string_array(F.concat(F.lit('["'), C("lang"), F.lit('", "'), C("source"), F.when(C("doc_id") % 7 == 0, F.lit('"')).otherwise(F.lit('"]')))), "|")}, "SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN '' ELSE lang || '|' || source END AS items FROM documents")
+_project("FN46_string_array", "documents", "doc_id", lambda: {"items": F.array_join(T.string_array(F.concat(F.lit('["'), C("lang"), F.lit('", 7, null, {"a": "b"}, "'), C("source"), F.when(C("doc_id") % 7 == 0, F.lit('"')).otherwise(F.lit('"]')))), "|")}, "SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN '' ELSE lang || '|' || source END AS items FROM documents")
 _project("FN47_blank_answer", "part", "p_partkey", lambda: {"answer": T.blank_answer(F.concat(F.lit(" Ａ１ "), C("p_name")))}, "SELECT p_partkey, 'a1' || replace(lower(p_name), ' ', '') AS answer FROM part")
 _project("FN55_body_blocks", "documents", "doc_id", lambda: {"blocks": F.size(F.filter(F.split(F.replace("text", F.lit("\n"), F.lit("\n\n")), r"\n\s*\n"), lambda b: T.strip(b) != "")).cast("long")}, r"SELECT doc_id, CAST(len(list_filter(string_split(text, chr(10)), lambda b: regexp_replace(b, '^\s+|\s+$', '', 'g') <> '')) AS BIGINT) AS blocks FROM documents")
 _project("FN53_chapter_heading", "lineitem", "l_orderkey l_linenumber", lambda: {"chapter": F.transform(F.regexp_extract_all(F.concat(F.lit("Chapter "), C("l_linenumber").cast("string"), F.lit(" Parts\n")), F.lit(r"(?i)chapter\s+(\d+)"), F.lit(1)), lambda n: F.concat(F.lit("ch"), F.lpad(n, 2, "0")))[0]}, "SELECT l_orderkey, l_linenumber, 'ch' || lpad(CAST(l_linenumber AS VARCHAR), 2, '0') AS chapter FROM lineitem")

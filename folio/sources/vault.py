@@ -86,14 +86,19 @@ def snapshot(rows: DataFrame) -> DataFrame:
 
 
 def replace_table(rows: DataFrame, root: str, name: str) -> str:
-    """Write a full new version of a table, then move the pointer to it: readers see the old one or the new one, whole."""
+    """Write a full new version of a table, then add a pointer to it: readers see the old one or the new one, whole.
+
+    Pointers are only ever added, one file each, and a file appears at once or not at all; the latest one holds.
+    """
+    import time
     import uuid
 
     version = f"{root}/{name}/version-{uuid.uuid4().hex}"
     rows.write.parquet(version)
-    rows.sparkSession.createDataFrame([(version,)], "path string").coalesce(1).write.mode("overwrite").json(f"{root}/{name}/current")
+    rows.sparkSession.createDataFrame([(time.time_ns(), version)], "at long, path string").coalesce(1).write.mode("append").json(f"{root}/{name}/pointers")
     return version
 
 
 def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
-    return spark.read.parquet(spark.read.json(f"{root}/{name}/current").first().path)
+    pointers = spark.read.schema("at long, path string").json(f"{root}/{name}/pointers")
+    return spark.read.parquet(pointers.orderBy(F.desc("at"), "path").first().path)

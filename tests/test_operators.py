@@ -66,8 +66,9 @@ def test_fragments_and_boundaries(spark):
     chapters = [split.Chapter("c1", "First", (), ("a-p1..a-p9",)), split.Chapter("c2", "Second plain")]
     found = split.carry(split.assign(parts, chapters), chapters)
     assert sorted((r.source_ref, r.chapter_id, r.reason) for r in found.collect()) == [("a-p1", "c1", "source_ref"), ("a-p3", "c1", "source_ref"), ("a-p3", "c2", "boundary"), ("b-text", "c2", "keyword")]
-    text = {r.chapter_id: r.markdown for r in split.chapter_texts(found, chapters).collect()}
-    assert text["c1"].startswith("# First\n\n<!-- source_ref: a-p1 -->\n\nx") and set(text) == {"c1", "c2"}
+    rows = sorted(split.chapter_texts(found, chapters).collect(), key=lambda r: (r.chapter_id, r.path, r.pos))
+    assert [r.block for r in rows if r.chapter_id == "c1"] == ["# First", "<!-- source_ref: a-p1 -->\n\nx", "<!-- source_ref: a-p3 -->\n\ntail\nChapter 2\nmore"]
+    assert [r.block for r in rows if r.chapter_id == "c2"][0] == "# Second plain" and [r.block for r in rows if r.chapter_id == "appendix"] == ["# Appendix"]
 
 
 EDITS = "book string, chapter string, chapter_ord int, op_ord int, op string, name string, other string, aliases array<string>, into array<struct<canonical: string, aliases: array<string>>>"
