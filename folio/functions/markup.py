@@ -326,3 +326,23 @@ def concept_links(text: Column, terms: Column, suppressed: Column) -> Column:
         return F.when((m["start"] < acc["end"]) | F.array_contains(acc["linked"], m["canonical"]), acc).otherwise(grown)
 
     return F.aggregate(F.array_sort(found), start, step, lambda acc: F.concat(acc["text"], F.substring(text, acc["end"] + 1, F.length(text))))
+
+
+def resolved_figures(text: Column, index: Column) -> Column:
+    """Figure elements as the map ``index`` of ids has them; elements of unknown ids go."""
+    return replaced(_text(text), rf"<BookFigure\b{ATTRIBUTES}>", lambda tag: F.try_element_at(index, F.coalesce(prop(tag, "id"), F.lit(""))))
+
+
+def features(text: Column | str) -> Column:
+    """What a page has: frontmatter, quiz, cards, sources, a source reference."""
+    text = _text(text)
+    return F.struct(
+        text.startswith("---\n").alias("frontmatter"), F.contains(text, F.lit("<QuizBlock")).alias("quiz"), F.contains(text, F.lit("<AnkiDeck")).alias("cards"),
+        text.rlike(r"(?m)^##\s+Sources\b").alias("sources"), (F.contains(text, F.lit("<SourceRef")) | text.rlike(r"<!--\s*source_ref:")).alias("refs"),
+    )
+
+
+def first_paragraph(text: Column | str) -> Column:
+    """The first paragraph that is no heading, on one line."""
+    parts = F.filter(F.split(_text(text), r"\n\s*\n"), lambda p: p.rlike(r"\S") & ~p.rlike(r"^\s*#"))
+    return F.regexp_replace(F.regexp_replace(F.coalesce(F.get(parts, F.lit(0)), F.lit("")), r"\s+", " "), r"^ | $", "")

@@ -124,3 +124,13 @@ def answers_unknown(items: DataFrame, page: str) -> DataFrame:
 def stacked_refs(value: Column) -> Column:
     """All ref_id values at any depth of a JSON text, each once, in order."""
     return F.array_distinct(M.matches(value, r"\"ref_id\"\s*:\s*\"((?:\\.|[^\"\\])*)\"", 1))
+
+
+def distinct_citations(citations: Column) -> Column:
+    """Citations in order, each (ref_id, quote) once."""
+    return F.array_distinct(F.transform(citations, lambda c: F.struct(F.trim(c["ref_id"]).alias("ref_id"), F.trim(c["quote"]).alias("quote"))))
+
+
+def highlights(rows: DataFrame, page: str, time: str, text: str) -> DataFrame:
+    """(page, texts): a page's highlights in order of time; a reader's highlights of one page are few."""
+    return rows.groupBy(page).agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col(time), F.col(text)))), lambda h: h[text]).alias("texts"))

@@ -1,9 +1,9 @@
 """Hybrid retrieval: BM25 over substrings, exact vector similarity, reciprocal rank fusion."""
 
-from __future__ import annotations
-
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -142,3 +142,22 @@ def citations(text: Column) -> Column:
     entries = lambda g: F.filter(F.transform(F.split(F.regexp_replace(g, r"^\[\^?|\]$", ""), ","), lambda e: F.trim(F.regexp_replace(F.trim(e), r"^\^", ""))), lambda e: e != "")
     tokens = F.transform(groups, lambda g: F.transform(entries(g), token))
     return F.flatten(F.filter(tokens, lambda ts: ~F.exists(ts, lambda t: t.isNull())))
+
+
+def packed(vector: Column) -> Column:
+    """A vector as bytes, four for each component, little-endian; bytes have no expression in SQL, so batches go through numpy."""
+
+    @F.pandas_udf("binary")
+    def pack(vectors: pd.Series) -> pd.Series:
+        return vectors.map(lambda v: None if v is None else np.asarray(v, "<f4").tobytes())
+
+    return pack(vector)
+
+
+def unpacked(blob: Column) -> Column:
+
+    @F.pandas_udf("array<float>")
+    def unpack(blobs: pd.Series) -> pd.Series:
+        return blobs.map(lambda b: None if b is None else np.frombuffer(b, "<f4"))
+
+    return unpack(blob)
