@@ -40,8 +40,8 @@ NEXT = 3
 
 def lines_of(text: Column | str) -> Column:
     """The lines of a text, single spaces between their words."""
-    whole = F.translate(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")), "\t\r\f\x0b", "    ")
-    single = F.when(F.contains(whole, F.lit("  ")), F.regexp_replace(whole, " +", " ")).otherwise(whole)
+    whole = F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
+    single = F.when(whole.rlike(r"[\t\r\f\x0b]|  "), F.regexp_replace(whole, r"[^\S\n]+", " ")).otherwise(whole)
     lines = F.transform(F.split(single, CUT, -1), lambda line: F.trim(line))
     cut = F.transform(lines, lambda line: F.when(_size(line) > LONG, F.regexp_extract_all(line, F.lit(PART), F.lit(0))).otherwise(F.array(line)))
     return F.transform(F.filter(F.flatten(cut), lambda line: line != ""), lambda line: F.rtrim(line))
@@ -168,19 +168,18 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     Earlier and later go by doc_id (nulls first), then by text. White space does not count, but goes with the word before
     it. Rows equal in doc_id and text are one document and come back alike; texts under ``min_words`` words never change;
-    null texts stay null; a text that is a repeat from end to end becomes empty. ``counts`` adds n_words and n_removed.
+    null texts stay null; a text that is a repeat from end to end becomes empty. ``counts`` adds n_removed, in words.
     """
     runs = repeated_runs(docs, doc_id, text, min_words)
     keyed = docs.select(F.struct("*").alias("folio_row"), _row_key(F.col(doc_id), F.col(text)).alias("row"), F.col(doc_id).cast("long").alias("doc"))
     same = (keyed["row"] == runs["row"]) & keyed["doc"].eqNullSafe(runs["doc"])
     joined = keyed.join(runs.hint("shuffle_hash"), same, "left").select("folio_row", "runs")
     body = F.col("folio_row")[text]
-    pieces = F.regexp_extract_all(body, F.lit(r"\S+\s*"), F.lit(0))
-    kept = F.filter(pieces, lambda _, i: ~F.exists(F.col("runs"), lambda run: (run["first"] <= i) & (i <= run["last"])))
-    lead = F.when(F.size(kept) > 0, F.regexp_extract(body, r"^\s*", 0)).otherwise("")
-    shorter = F.when(F.col("runs").isNull(), body).otherwise(F.concat(lead, F.array_join(kept, "")))
+    joined = joined.withColumn("pieces", F.when(F.col("runs").isNotNull(), F.regexp_extract_all(body, F.lit(r"\S+\s*"), F.lit(0))))
+    joined = joined.withColumn("kept", F.filter("pieces", lambda _, i: ~F.exists(F.col("runs"), lambda run: (run["first"] <= i) & (i <= run["last"]))))
+    lead = F.when(F.size("kept") > 0, F.regexp_extract(body, r"^\s*", 0)).otherwise("")
+    shorter = F.when(F.col("runs").isNull(), body).otherwise(F.concat(lead, F.array_join("kept", "")))
     columns = [shorter.alias(c) if c == text else F.col("folio_row")[c].alias(c) for c in docs.columns]
     if counts:
-        count = lambda t: F.regexp_count(F.coalesce(t, F.lit("")), F.lit(r"\S+")).cast("long")
-        columns += [count(body).alias("n_words"), F.when(F.col("runs").isNull(), F.lit(0).cast("long")).otherwise(count(body) - count(shorter)).alias("n_removed")]
+        columns.append(F.when(F.col("runs").isNull(), 0).otherwise(F.size("pieces") - F.size("kept")).cast("long").alias("n_removed"))
     return joined.select(*columns)

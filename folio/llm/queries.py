@@ -48,7 +48,7 @@ def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.remove_repeats(table(spark, sf_dir, "documents"), counts=True).select("doc_id", "n_words", "n_removed", "text")
+    return line_dedup.remove_repeats(table(spark, sf_dir, "documents"), counts=True).select("doc_id", "n_removed", "text")
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
