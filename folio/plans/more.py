@@ -32,43 +32,40 @@ def _folded(spark, sf, *edits):
     return found.select(C("book").cast("long").alias("p_partkey"), "ord", "canonical", F.array_join("aliases", "|").alias("aliases"), "first_chapter")
 
 
-NAME, TYPE, BRAND = C("p_name"), C("p_type"), C("p_brand")
-
-
 @query("XA01_add_concept", "SELECT p_partkey, CAST(0 AS INTEGER) AS ord, p_name AS canonical, p_brand AS aliases, 'c1' AS first_chapter FROM part")
 def _(spark, sf):
-    return _folded(spark, sf, _edit("c1", "add_concept", NAME), _edit("c2", "add_concept", F.upper(NAME), aliases=[BRAND, NAME]))
+    return _folded(spark, sf, _edit("c1", "add_concept", C("p_name")), _edit("c2", "add_concept", F.upper(C("p_name")), aliases=[C("p_brand"), C("p_name")]))
 
 
 @query("XA02_add_alias", "SELECT p_partkey, CAST(0 AS INTEGER) AS ord, p_name AS canonical, p_brand AS aliases, 'c1' AS first_chapter FROM part")
 def _(spark, sf):
-    return _folded(spark, sf, _edit("c1", "add_concept", NAME), _edit("c1", "add_alias", NAME, BRAND), _edit("c1", "add_alias", L("nowhere"), L("x")), _edit("c2", "add_alias", NAME, L("  ")))
+    return _folded(spark, sf, _edit("c1", "add_concept", C("p_name")), _edit("c1", "add_alias", C("p_name"), C("p_brand")), _edit("c1", "add_alias", L("nowhere"), L("x")), _edit("c2", "add_alias", C("p_name"), L("  ")))
 
 
 @query("XA03_rename", "SELECT p_partkey, CAST(0 AS INTEGER) AS ord, p_brand AS canonical, p_name AS aliases, 'c1' AS first_chapter FROM part")
 def _(spark, sf):
-    return _folded(spark, sf, _edit("c1", "add_concept", NAME), _edit("c2", "add_concept", BRAND), _edit("c3", "rename_canonical", NAME, BRAND))
+    return _folded(spark, sf, _edit("c1", "add_concept", C("p_name")), _edit("c2", "add_concept", C("p_brand")), _edit("c3", "rename_canonical", C("p_name"), C("p_brand")))
 
 
 @query("XA04_merge", "SELECT p_partkey, CAST(0 AS INTEGER) AS ord, p_brand AS canonical, p_name || '|old' AS aliases, 'c1' AS first_chapter FROM part")
 def _(spark, sf):
-    return _folded(spark, sf, _edit("c1", "add_concept", NAME, aliases=[L("old")]), _edit("c2", "add_concept", BRAND), _edit("c3", "merge", BRAND, NAME))
+    return _folded(spark, sf, _edit("c1", "add_concept", C("p_name"), aliases=[L("old")]), _edit("c2", "add_concept", C("p_brand")), _edit("c3", "merge", C("p_brand"), C("p_name")))
 
 
 @query("XA05_split", """
 SELECT p_partkey, CAST(0 AS INTEGER) AS ord, 'half' AS canonical, 'old' AS aliases, 'c1' AS first_chapter FROM part UNION ALL SELECT p_partkey, 1, p_brand, '', 'c2' FROM part""")
 def _(spark, sf):
-    return _folded(spark, sf, _edit("c1", "add_concept", NAME, aliases=[L("old")]), _edit("c2", "add_concept", BRAND), _edit("c3", "split", NAME, into=[(L("half"), [L("old")])]))
+    return _folded(spark, sf, _edit("c1", "add_concept", C("p_name"), aliases=[L("old")]), _edit("c2", "add_concept", C("p_brand")), _edit("c3", "split", C("p_name"), into=[(L("half"), [L("old")])]))
 
 
 @query("XA06_resolve_by_alias", "SELECT p_partkey, CAST(0 AS INTEGER) AS ord, p_name AS canonical, 'old|' || p_brand AS aliases, 'c1' AS first_chapter FROM part")
 def _(spark, sf):
-    return _folded(spark, sf, _edit("c1", "add_concept", NAME, aliases=[L("old")]), _edit("c1", "add_alias", L("O-L-D"), BRAND))
+    return _folded(spark, sf, _edit("c1", "add_concept", C("p_name"), aliases=[L("old")]), _edit("c1", "add_alias", L("O-L-D"), C("p_brand")))
 
 
 @query("JN08_resolved_figures", """SELECT p_partkey, 'a <BookFigure id="f1" src="/' || p_brand || '.png" />  b' AS body FROM part""")
 def _(spark, sf):
-    index = F.create_map(L("f1"), F.concat(L('<BookFigure id="f1" src="/'), BRAND, L('.png" />')))
+    index = F.create_map(L("f1"), F.concat(L('<BookFigure id="f1" src="/'), C("p_brand"), L('.png" />')))
     return table(spark, sf, "part").select("p_partkey", M.resolved_figures(L('a <BookFigure id="f1" /> <BookFigure id="made-up" src="x" /> b'), index).alias("body"))
 
 
@@ -91,7 +88,7 @@ def _(spark, sf):
 
 @query("SO10_distinct_citations", "SELECT p_partkey, 'a:q|a:' || p_brand || '|b:q' AS cited FROM part")
 def _(spark, sf):
-    cited = F.from_json(F.concat(L('[{"ref_id": "a", "quote": "q"}, {"ref_id": " a ", "quote": "'), BRAND, L('"}, {"ref_id": "a", "quote": "q "}, {"ref_id": "b", "quote": "q"}]')), I.CITATIONS)
+    cited = F.from_json(F.concat(L('[{"ref_id": "a", "quote": "q"}, {"ref_id": " a ", "quote": "'), C("p_brand"), L('"}, {"ref_id": "a", "quote": "q "}, {"ref_id": "b", "quote": "q"}]')), I.CITATIONS)
     return table(spark, sf, "part").select("p_partkey", F.array_join(F.transform(I.distinct_citations(cited), lambda c: F.concat(c["ref_id"], L(":"), c["quote"])), "|").alias("cited"))
 
 
