@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm import ann, byte_bpe, embedding_dedup, license_scan, line_dedup, packing, pii, quality, simhash, warc
+from folio.llm import ann, byte_bpe, embedding_dedup, filter_audit, license_scan, line_dedup, packing, pii, quality, simhash, sql, warc
 from folio.llm.common import table
 
 
@@ -60,9 +60,13 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict:
-    return {"op1_license_scan": op1_license_scan, "op2_ann": op2_ann, "op3_warc": op3_warc, "op4_quality": op4_quality, "op5_byte_bpe": op5_byte_bpe, "op6_packing": op6_packing, "op7_embedding_dedup": op7_embedding_dedup, "op8_line_dedup": op8_line_dedup, "op9_pii": op9_pii, "op10_simhash": op10_simhash}
+    return {"op1_license_scan": op1_license_scan, "op2_ann": op2_ann, "op3_warc": op3_warc, "op4_quality": op4_quality, "op5_byte_bpe": op5_byte_bpe, "op6_packing": op6_packing, "op7_embedding_dedup": op7_embedding_dedup, "op8_line_dedup": op8_line_dedup, "op9_pii": op9_pii, "op10_simhash": op10_simhash, "op13_filter_audit": op13_filter_audit}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {"op13_filter_audit": sql.FILTER_AUDIT}
