@@ -110,3 +110,8 @@ def local_forest(n: int, left, right):
             break
     moved = np.flatnonzero(label != np.arange(n))
     return moved, label[moved]
+
+
+def join_small(rows: DataFrame, side: DataFrame, on: list[str], most: int = 100_000, how: str = "inner") -> DataFrame:
+    """``rows`` joined with a written ``side``, broadcast if it has ``most`` rows at most, else by a shuffle."""
+    return rows.join(F.broadcast(side) if side.limit(most + 1).count() <= most else side, on, how)

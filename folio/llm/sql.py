@@ -38,3 +38,38 @@ SELECT part, filter_order, step::INT AS step, kept, removed, redundant, unique_f
   (sum(removed) OVER (PARTITION BY part, l))::BIGINT AS shapley
 FROM counted
 """
+
+SOURCE_DIVERGENCE = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS k, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+spread AS (SELECT k, lang, source, unnest(w) AS term FROM docs),
+counts AS (SELECT lang, source, term, count(*) AS n FROM spread GROUP BY ALL),
+kept AS (SELECT lang, term FROM (SELECT DISTINCT k, lang, term FROM spread) GROUP BY ALL HAVING count(*) >= 3),
+langs AS (SELECT lang, count(*) AS v FROM kept GROUP BY ALL),
+groups AS (SELECT DISTINCT lang, source FROM docs),
+given AS (SELECT g.lang, g.source, term, coalesce(n, 0) AS n FROM groups g JOIN kept USING (lang) LEFT JOIN counts USING (lang, source, term)),
+shares AS (
+  SELECT lang, source, term, n, (1 + (1000000000::HUGEINT * (n + 1)) // (sum(n) OVER (PARTITION BY lang, source) + v))::BIGINT AS p
+  FROM given JOIN langs USING (lang)),
+whole AS (SELECT lang, term, sum(n) AS n FROM given GROUP BY ALL),
+base AS (
+  SELECT lang, term, (1 + (1000000000::HUGEINT * (n + 1)) // (sum(n) OVER (PARTITION BY lang) + v))::BIGINT AS q
+  FROM whole JOIN langs USING (lang)),
+summed AS (
+  SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) AS value
+  FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pairs AS (
+  SELECT a.lang, a.source, b.source AS item, coalesce(value, 0)::BIGINT AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN summed s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+terms AS (
+  SELECT lang, source, term AS item, (((p - q) * (p - q)) // q)::BIGINT AS value
+  FROM shares JOIN base USING (lang, term) WHERE n > 0 AND p > q),
+ranked AS (
+  SELECT lang, source, 'pair' AS part, item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS rank FROM pairs
+  UNION ALL
+  SELECT lang, source, 'term', item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) FROM terms)
+SELECT lang, source, part, item, value, rank::INT AS rank FROM ranked WHERE part = 'pair' OR rank <= 200
+"""

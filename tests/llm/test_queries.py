@@ -17,9 +17,10 @@ COLUMNS = {
     "op8_line_dedup": "doc_id n_removed text",
     "op9_pii": "doc_id n_entities text",
     "op10_simhash": "doc_id fingerprint component_id",
+    "op12_source_divergence": "lang source part item value rank",
     "op13_filter_audit": "part filter_order step kept removed redundant unique_fails good_lost toxic_lost shapley",
 }
-TABLE = {"op2_ann": None, "op3_warc": "pages", "op6_packing": None, "op7_embedding_dedup": "embeddings", "op13_filter_audit": None}
+TABLE = {"op2_ann": None, "op3_warc": "pages", "op6_packing": None, "op7_embedding_dedup": "embeddings", "op12_source_divergence": None, "op13_filter_audit": None}
 
 
 @pytest.mark.parametrize("name", sorted(COLUMNS))
