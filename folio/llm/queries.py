@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm import ann, byte_bpe, embedding_dedup, filter_audit, license_scan, line_dedup, packing, pii, quality, simhash, source_divergence, sql, warc
+from folio.llm import ann, byte_bpe, embedding_dedup, filter_audit, license_scan, line_dedup, packing, pii, quality, sharding, simhash, source_divergence, sql, warc
 from folio.llm.common import table
 
 
@@ -60,6 +60,10 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(table(spark, sf_dir, "documents"))
+
+
 def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_divergence.audit(table(spark, sf_dir, "documents"))
 
@@ -69,7 +73,7 @@ def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_license_scan": op1_license_scan, "op2_ann": op2_ann, "op3_warc": op3_warc, "op4_quality": op4_quality, "op5_byte_bpe": op5_byte_bpe, "op6_packing": op6_packing, "op7_embedding_dedup": op7_embedding_dedup, "op8_line_dedup": op8_line_dedup, "op9_pii": op9_pii, "op10_simhash": op10_simhash, "op12_source_divergence": op12_source_divergence, "op13_filter_audit": op13_filter_audit}
+    return {"op1_license_scan": op1_license_scan, "op2_ann": op2_ann, "op3_warc": op3_warc, "op4_quality": op4_quality, "op5_byte_bpe": op5_byte_bpe, "op6_packing": op6_packing, "op7_embedding_dedup": op7_embedding_dedup, "op8_line_dedup": op8_line_dedup, "op9_pii": op9_pii, "op10_simhash": op10_simhash, "op11_sharding": op11_sharding, "op12_source_divergence": op12_source_divergence, "op13_filter_audit": op13_filter_audit}
 
 
 def oracle_sql() -> dict:

@@ -17,6 +17,7 @@ COLUMNS = {
     "op8_line_dedup": "doc_id n_removed text",
     "op9_pii": "doc_id n_entities text",
     "op10_simhash": "doc_id fingerprint component_id",
+    "op11_sharding": "doc_id size text_crc32 law shard slot grown_shard",
     "op12_source_divergence": "lang source part item value rank",
     "op13_filter_audit": "part filter_order step kept removed redundant unique_fails good_lost toxic_lost shapley",
 }
