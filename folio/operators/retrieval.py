@@ -47,22 +47,6 @@ def bm25(chunks: DataFrame, query: str, row_id: str, text: str, heading: str | N
     return rows.where(" OR ".join(f"tf{i} > 0" for i in range(len(terms))) if terms else "false").select(row_id, score.alias("score"))
 
 
-def gram_index(chunks: DataFrame, row_id: str, text: str) -> DataFrame:
-    """(gram, row_id, tf): inverted index of character trigrams, for candidate rows where a scan would be too wide."""
-    signs = F.filter(F.split(F.lower(F.col(text)), ""), lambda c: c != "")
-    pairs = F.zip_with(signs, F.slice(signs, F.lit(2), F.size(signs)), lambda a, b: F.concat(a, b))
-    grams = F.array_compact(F.zip_with(pairs, F.slice(signs, F.lit(3), F.size(signs)), lambda a, b: F.concat(a, b)))
-    exploded = chunks.where(F.length(text) >= 3).select(row_id, F.explode(grams).alias("gram"))
-    return exploded.groupBy("gram", row_id).agg(F.count("*").alias("tf"))
-
-
-def candidates(index: DataFrame, phrase: str, row_id: str) -> DataFrame:
-    """Rows that hold every trigram of a phrase; a superset of the rows that hold the phrase."""
-    grams = sorted({phrase.lower()[i : i + 3] for i in range(len(phrase) - 2)})
-    found = index.where(F.col("gram").isin(grams)).groupBy(row_id).agg(F.count("*").alias("n"))
-    return found.where(F.col("n") == len(grams)).select(row_id)
-
-
 def like(chunks: DataFrame, query: str, row_id: str, text: str) -> DataFrame:
     """(row_id, score) of the chunks that hold the query, letters A-Z without case, signs literally; in row order."""
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -103,15 +87,23 @@ def fuse(rankings: list[DataFrame], row_id: str, k: int = RRF_K) -> DataFrame:
     return every.groupBy(row_id).agg(F.sum("part").alias("score"), F.min("place").alias("first"))
 
 
-def hybrid(chunks: DataFrame, vectors: DataFrame | None, query: str, query_vector: list[float] | None, limit: int = 8, row_id: str = "row_id", text: str = "text", vector: str = "embedding", where: Column | None = None) -> DataFrame:
+def hybrid(chunks: DataFrame, vectors: DataFrame | None, query: str, query_vector: list[float] | None, limit: int = 8, row_id: str = "row_id", text: str = "text", vector: str = "embedding", where: Column | None = None, index=None) -> DataFrame:
     """The chunks of the first ``limit`` answers with place and score.
 
     The keyword branch is BM25, or a substring scan if the query has no phrase; the vector branch is left out without a
     vector. A filter holds in both branches, but BM25's frequencies are those of all chunks. A blank query has no answer.
+    With an ``index`` of the chunks' trigrams the keyword branch reads its postings, without one all texts.
     """
+    from folio.operators import gram_index
+
     if not query.strip():
         return chunks.limit(0).withColumn("place", F.lit(1)).withColumn("score", F.lit(0.0))
-    found = bm25(chunks, query, row_id, text) if phrases(query) else like(chunks, query.strip(), row_id, text)
+    if index is None:
+        found = bm25(chunks, query, row_id, text) if phrases(query) else like(chunks, query.strip(), row_id, text)
+    elif phrases(query):
+        found = gram_index.bm25(index, query).withColumnRenamed("row_id", row_id)
+    else:
+        found = gram_index.holding(index, chunks, query.strip(), row_id, text)
     if where is not None:
         allowed = chunks.where(where).select(row_id)
         found = found.join(allowed, row_id, "left_semi")

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
+from folio.operators import gram_index as G
 from folio.operators import retrieval as R
 from folio.plans.registry import query
-from folio.session import table
+from folio.session import shared_folder, table, version_of
 
 C = F.col
 QUERY = "ation ering"
@@ -20,6 +22,16 @@ def _docs(spark, sf):
     return table(spark, sf, "documents").withColumnRenamed("doc_id", "row_id")
 
 
+def _index(spark, sf):
+    """The trigram index of documents: written at its first use, then opened as long as the table's files stay the same."""
+    docs = _docs(spark, sf)
+    folder = f"{shared_folder(spark)}/folio/gram-index-{version_of(spark, f'{sf}/documents.parquet')}"
+    try:
+        return G.opened(spark, folder)
+    except AnalysisException:  # there is none yet
+        return G.build(docs, folder)
+
+
 def _vectors(spark, sf):
     return table(spark, sf, "embeddings").select(C("vec_id").alias("row_id"), "embedding")
 
@@ -46,19 +58,18 @@ def _rank_sql(name: str, source: str, n: int) -> str:
 
 @query("RT03_bm25", f"WITH {_bm25_sql(['ation', 'ering'])} SELECT row_id, score FROM bm")
 def _(spark, sf):
-    return R.bm25(_docs(spark, sf), QUERY, "row_id", "text")
+    return G.bm25(_index(spark, sf), QUERY)
 
 
 @query("TK02_bm25_top", f"WITH {_bm25_sql(['ation', 'ering'])}, {_rank_sql('r', 'bm', 32)} SELECT row_id, CAST(rank AS INTEGER) AS rank FROM r")
 def _(spark, sf):
-    return R.ranked(R.bm25(_docs(spark, sf), QUERY, "row_id", "text"), "row_id", 32)
+    return R.ranked(G.bm25(_index(spark, sf), QUERY), "row_id", 32)
 
 
 @query("RT03_gram_index", """
 SELECT gram, count(*) AS docs, CAST(sum(tf) AS BIGINT) AS places FROM (SELECT doc_id, gram, count(*) AS tf FROM (SELECT doc_id, unnest(list_transform(range(1, length(text) - 1), lambda i: substr(lower(text), i, 3))) AS gram FROM documents WHERE length(text) >= 3) GROUP BY ALL) GROUP BY gram""")
 def _(spark, sf):
-    index = R.gram_index(_docs(spark, sf), "row_id", "text")
-    return index.groupBy("gram").agg(F.count("*").alias("docs"), F.sum("tf").alias("places"))
+    return G.dictionary(_index(spark, sf)).withColumn("gram", G.gram_text(C("gram")))
 
 
 @query("RT04_like_fallback", "SELECT doc_id AS row_id, CAST(0 AS DOUBLE) AS score FROM documents WHERE contains(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), 'é ')")
@@ -66,9 +77,14 @@ def _(spark, sf):
     return R.like(_docs(spark, sf), "é ", "row_id", "text")
 
 
+@query("RT04_short_query_by_index", "SELECT doc_id AS row_id, CAST(0 AS DOUBLE) AS score FROM documents WHERE contains(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '%')")
+def _(spark, sf):
+    return G.holding(_index(spark, sf), _docs(spark, sf), "%")
+
+
 @query("PF02_like_scan", "SELECT doc_id AS row_id FROM documents WHERE contains(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), 'licensed under') ORDER BY doc_id LIMIT 32")
 def _(spark, sf):
-    return R.like(_docs(spark, sf), "LICENSED under", "row_id", "text").orderBy("row_id").limit(32).select("row_id")
+    return G.holding(_index(spark, sf), _docs(spark, sf), "LICENSED under").orderBy("row_id").limit(32).select("row_id")
 
 
 @query("RT06_dot", f"WITH {_DOTS} SELECT row_id, score FROM dots")
@@ -94,33 +110,33 @@ f AS (SELECT row_id, sum(1 / (60::DOUBLE + rank)) AS score, min(l * 1000 + rank)
 
 @query("RT05_rrf", _FUSED + " SELECT row_id, score FROM f")
 def _(spark, sf):
-    lists = [R.ranked(R.bm25(_docs(spark, sf), QUERY, "row_id", "text"), "row_id", 32), R.ranked(R.nearest(_vectors(spark, sf), _vector(spark, sf), "row_id", "embedding"), "row_id", 32)]
+    lists = [R.ranked(G.bm25(_index(spark, sf), QUERY), "row_id", 32), R.ranked(R.nearest(_vectors(spark, sf), _vector(spark, sf), "row_id", "embedding"), "row_id", 32)]
     return R.fuse(lists, "row_id").select("row_id", "score")
 
 
 @query("RT01_hybrid_search", _FUSED + """, t AS (SELECT row_id, score, row_number() OVER (ORDER BY score DESC, first) AS place FROM f QUALIFY place <= 8)
 SELECT CAST(place AS INTEGER) AS place, row_id, score, lang, source, text FROM t JOIN documents ON row_id = doc_id""")
 def _(spark, sf):
-    found = R.hybrid(_docs(spark, sf), _vectors(spark, sf), QUERY, _vector(spark, sf))
+    found = R.hybrid(_docs(spark, sf), _vectors(spark, sf), QUERY, _vector(spark, sf), index=_index(spark, sf))
     return found.select("place", "row_id", "score", "lang", "source", "text")
 
 
 @query("PF01_chapter_filter", f"""WITH {_bm25_sql(['ation', 'ering'])}, a AS (SELECT doc_id AS row_id FROM documents WHERE source = 'src1'), b AS (SELECT * FROM bm SEMI JOIN a USING (row_id)), {_rank_sql('k', 'b', 32)}
 SELECT CAST(rank AS INTEGER) AS place, row_id, 1 / (60::DOUBLE + rank) AS score FROM k WHERE rank <= 8""")
 def _(spark, sf):
-    return R.hybrid(_docs(spark, sf), None, QUERY, None, where=C("source") == "src1").select("place", "row_id", "score")
+    return R.hybrid(_docs(spark, sf), None, QUERY, None, where=C("source") == "src1", index=_index(spark, sf)).select("place", "row_id", "score")
 
 
 @query("RT12_search_api", _FUSED + """, t AS (SELECT row_id, row_number() OVER (ORDER BY score DESC, first) AS place FROM f QUALIFY place <= 8), s AS (SELECT place, source FROM t JOIN documents ON row_id = doc_id)
 SELECT CAST(min(place) AS INTEGER) AS place, 'page' AS kind, source FROM s GROUP BY source UNION ALL SELECT CAST(place AS INTEGER), 'text', source FROM s""")
 def _(spark, sf):
-    return R.search_results(R.hybrid(_docs(spark, sf), _vectors(spark, sf), QUERY, _vector(spark, sf)), "source")
+    return R.search_results(R.hybrid(_docs(spark, sf), _vectors(spark, sf), QUERY, _vector(spark, sf), index=_index(spark, sf)), "source")
 
 
 @query("RT13_grounding", _FUSED + """, t AS (SELECT row_id, row_number() OVER (ORDER BY score DESC, first) AS place FROM f QUALIFY place <= 4)
 SELECT string_agg(text, chr(10) || '---' || chr(10) ORDER BY place) AS body FROM t JOIN documents ON row_id = doc_id""")
 def _(spark, sf):
-    found = R.hybrid(_docs(spark, sf), _vectors(spark, sf), QUERY, _vector(spark, sf), limit=8).where("place <= 4")
+    found = R.hybrid(_docs(spark, sf), _vectors(spark, sf), QUERY, _vector(spark, sf), index=_index(spark, sf), limit=8).where("place <= 4")
     parts = F.array_sort(F.collect_list(F.struct("place", "text")))
     return found.agg(F.array_join(F.transform(parts, lambda p: p["text"]), "\n---\n").alias("body"))
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -22,3 +26,29 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, app: str =
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; one of our own only on a local master."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    given = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if given.isDefined():
+        return re.sub("^file:/(?!/)", "file:///", given.get().rstrip("/"))
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    own = f"file://{tempfile.mkdtemp(prefix='folio-shared-')}"
+    spark.sparkContext.setCheckpointDir(own)
+    return own
+
+
+def version_of(spark: SparkSession, path: str) -> str:
+    """A name for what lies under a path now: of its files' paths, sizes and times, as the file system lists them."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(at, True)
+    found = []
+    while files.hasNext():
+        file = files.next()
+        found.append(f"{file.getPath()}|{file.getLen()}|{file.getModificationTime()}")
+    return hashlib.sha256("\n".join(sorted(found)).encode()).hexdigest()[:24]
