@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -52,3 +53,10 @@ def version_of(spark: SparkSession, path: str) -> str:
         file = files.next()
         found.append(f"{file.getPath()}|{file.getLen()}|{file.getModificationTime()}")
     return hashlib.sha256("\n".join(sorted(found)).encode()).hexdigest()[:24]
+
+
+def written(rows: DataFrame, name: str) -> DataFrame:
+    """A table written to the shared folder and read again: work that several consumers need is done once, and survives lost executors."""
+    to = f"{shared_folder(rows.sparkSession)}/folio/{name}-{uuid.uuid4().hex}"
+    rows.write.parquet(to)
+    return rows.sparkSession.read.schema(rows.schema).parquet(to)
