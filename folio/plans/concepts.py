@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from folio.operators import concepts as K
+from folio.operators import reconcile as R
 from folio.plans.registry import query
 from folio.session import table
 
@@ -48,6 +49,56 @@ def _(spark, sf):
     return K.known_and_new(candidates, "name", _variants(spark, sf)).select("c_custkey", F.coalesce("canonical", F.lit("+")).alias("canonical"))
 
 
+_CANDIDATES = """r AS (SELECT p_brand AS book, p_type, p_partkey % 5 AS k, (CASE p_partkey % 5 WHEN 3 THEN 1 WHEN 4 THEN 2 ELSE 0 END) * 1000000000 + p_partkey AS ord,
+  CASE p_partkey % 5 WHEN 3 THEN 'b ' || p_type WHEN 4 THEN 'c ' || p_type ELSE CASE WHEN p_partkey % 2 = 0 THEN lower(p_type) ELSE p_type END END AS name,
+  CASE p_partkey % 5 WHEN 3 THEN [p_type] WHEN 4 THEN ['b ' || p_type] ELSE [] END AS aliases, 'ch' || p_size % 5 AS chapter FROM part)"""
+_MERGED = f"""s AS (SELECT book, g, name, min(ord * 100 + i) AS o FROM (SELECT book, g, ord, unnest([name] || aliases) AS name, unnest(range(0, 1 + len(aliases))) AS i FROM grouped) GROUP BY ALL),
+f AS (SELECT book, g, arg_min(name, ord) AS canonical FROM grouped GROUP BY ALL),
+h AS (SELECT book, g, string_agg(chapter, ',' ORDER BY o) AS chapters FROM (SELECT book, g, chapter, min(ord) AS o FROM grouped WHERE chapter <> '' GROUP BY ALL) GROUP BY ALL),
+merged AS (SELECT book, {_KEY.format('canonical')} AS key, canonical, coalesce((SELECT string_agg(s.name, ',' ORDER BY o) FROM s WHERE s.book = f.book AND s.g = f.g AND s.name <> canonical), '') AS aliases, chapters FROM f JOIN h USING (book, g))"""
+
+
+def _candidates(spark, sf):
+    k = C("p_partkey") % 5
+    name = F.when(k == 3, F.concat(F.lit("b "), "p_type")).when(k == 4, F.concat(F.lit("c "), "p_type")).when(C("p_partkey") % 2 == 0, F.lower("p_type")).otherwise(C("p_type"))
+    aliases = F.when(k == 3, F.array("p_type")).when(k == 4, F.array(F.concat(F.lit("b "), "p_type"))).otherwise(F.array().cast("array<string>"))
+    late = F.when(k == 3, 1).when(k == 4, 2).otherwise(0).cast("long")
+    return table(spark, sf, "part").select(C("p_brand").alias("book"), (late * 1_000_000_000 + C("p_partkey")).alias("ord"), name.alias("name"), aliases.alias("aliases"), F.concat(F.lit("ch"), C("p_size") % 5).alias("chapter"))
+
+
+def _listed(concepts):
+    return concepts.select("book", "key", "canonical", F.array_join("aliases", ",").alias("aliases"), F.array_join("chapters", ",").alias("chapters"))
+
+
+@query("CH17_reconciled", f"""WITH {_CANDIDATES}, grouped AS (SELECT *, p_type || CASE WHEN k = 4 AND NOT bool_or(k = 3) OVER (PARTITION BY book, p_type) THEN ' c' ELSE '' END AS g FROM r), {_MERGED}
+SELECT book, key, canonical, aliases, chapters FROM merged""")
+def _(spark, sf):
+    """Chains of names (c knows b, b knows the type) are folded; types that no other name leads to are grouped."""
+    return _listed(R.reconciled(_candidates(spark, sf)))
+
+
+def _glossary(spark, sf):
+    types = table(spark, sf, "part").where("p_type LIKE 'S%'").groupBy(C("p_brand").alias("book"), "p_type").agg(F.min("p_partkey").alias("ord"))
+    canonical = F.concat(F.lit("Glossary "), "p_type")
+    return types.select("book", "ord", canonical.alias("canonical"), F.array("p_type").alias("aliases"), F.lit("g").alias("first_chapter")), types.select("book", F.concat(F.lit("c "), "p_type").alias("variant"), canonical.alias("canonical"))
+
+
+_BASED = _CANDIDATES + """, n AS (SELECT book, ord, name, aliases, chapter, p_type || CASE WHEN k = 4 AND p_type NOT LIKE 'S%' AND NOT bool_or(k = 3) OVER (PARTITION BY book, p_type) THEN ' c' ELSE '' END AS g FROM r),
+grouped AS (SELECT book, ord, name, aliases, chapter, g FROM n UNION ALL SELECT DISTINCT p_brand, -1, 'Glossary ' || p_type, [p_type], 'g', p_type FROM part WHERE p_type LIKE 'S%'), """ + _MERGED
+
+
+@query("CH16_merged_candidates", f"WITH {_BASED} SELECT book, key, canonical, aliases, chapters FROM merged")
+def _(spark, sf):
+    return _listed(R.reconciled(_candidates(spark, sf), *_glossary(spark, sf)))
+
+
+@query("CH16_alias_map", f"""WITH {_BASED}, every AS (SELECT book, canonical, unnest([canonical] || CASE WHEN aliases = '' THEN [] ELSE string_split(aliases, ',') END) AS name FROM merged)
+SELECT book, name AS variant, canonical FROM every UNION SELECT book, {_KEY.format('name')}, canonical FROM every UNION SELECT DISTINCT p_brand, 'c ' || p_type, 'Glossary ' || p_type FROM part WHERE p_type LIKE 'S%'""")
+def _(spark, sf):
+    entries, variants = _glossary(spark, sf)
+    return R.alias_map(R.reconciled(_candidates(spark, sf), entries, variants), variants)
+
+
 @query("CH13_registry_fold")
 def _(spark, sf):
     parts = table(spark, sf, "part")

@@ -44,9 +44,9 @@ WITH p AS (SELECT p_partkey, p_size % 2 AS k, length(p_name) + 1 AS s, length(p_
 q AS (SELECT *, i + w + c + 12 AS e FROM p)
 SELECT p_partkey, CAST(s AS INTEGER) AS block_start, CAST(e AS INTEGER) AS block_end, 'item' AS kind, 'QuizItem' AS name, CAST(i AS INTEGER) AS start, CAST(i + w AS INTEGER) AS "end" FROM q
 UNION ALL SELECT p_partkey, CAST(s AS INTEGER), CAST(e AS INTEGER), CASE WHEN k = 0 THEN 'slot' ELSE 'unknown' END, CASE WHEN k = 0 THEN 'QuizItemSlot' ELSE 'Odd' END, CAST(i + w AS INTEGER), CAST(i + w + c AS INTEGER) FROM q
-UNION ALL SELECT p_partkey, NULL, NULL, 'stray', 'QuizItemSlot', CAST(e + 1 AS INTEGER), CAST(e + 24 AS INTEGER) FROM q""")
+UNION ALL SELECT p_partkey, -1, -1, 'stray', 'QuizItemSlot', CAST(e + 1 AS INTEGER), CAST(e + 24 AS INTEGER) FROM q""")
 def _(spark, sf):
-    return mdx.quiz_children(mdx.tokens(_pages(spark, sf, _LAYOUT), "p_partkey", "body"), "p_partkey")
+    return mdx.quiz_children(mdx.tokens(_pages(spark, sf, _LAYOUT), "p_partkey", "body"), "p_partkey").fillna(-1)
 
 
 def _written_slot(i):
