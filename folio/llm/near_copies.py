@@ -12,7 +12,7 @@ different components are then compared with each other, in tiles. Every candidat
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -188,20 +188,27 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", siz
     return printed.join(placed, "fp").select("doc_id", "component_id")
 
 
-def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SIZE, also: DataFrame | None = None) -> DataFrame:
-    """``docs`` with one row of each group of near copies: that of the smallest doc_id.
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SIZE, also: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """``docs`` with one row of each group of near copies: that of the smallest doc_id, a null one last.
 
-    Columns stay as they were. Rows that repeat the kept doc_id are one group and leave one row; of a group without any
-    doc_id one row stays. ``also``: rows (doc_id, component_id) of another grouping, whose links count as well.
+    Groups are groups of texts: rows without a doc_id stay as long as their texts are no copies, and so do rows of one
+    doc_id with different texts. Of repeated rows one stays. Columns stay as they were. ``also``: another grouping, a
+    function from rows (doc_id, text) to (doc_id, component_id), whose links count as well.
     """
-    marks = near_copies(docs, doc_id, text, size)
+    keyed = docs.select(F.col(doc_id).cast("long").alias("id"), F.xxhash64(F.col(text).cast("string")).alias("folio_key"), F.col(text).cast("string").alias("text"))
+    texts = keyed.select(F.col("folio_key").alias("doc_id"), "text")
+    marks = near_copies(texts, size=size)
     if also is not None:
-        marks = spool(marks, "near-marks")
-        edges = marks.unionByName(also.select("doc_id", "component_id")).where("doc_id <> component_id").toDF("a", "b")
-        roots = components(edges, "near-groups").withColumnRenamed("node", "component_id")
-        marks = marks.join(roots, "component_id", "left").select("doc_id", F.coalesce("root", "component_id").alias("component_id"))
-    marks = marks.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    marks = marks.groupBy(F.col("doc_id").alias("folio_id")).agg(F.count("*").alias("folio_n"))
-    kept = docs.join(marks, F.col(doc_id).cast("long").eqNullSafe(F.col("folio_id")))
-    once = kept.where("folio_n = 1").drop("folio_id", "folio_n")
-    return once.unionByName(kept.where("folio_n > 1").drop("folio_id", "folio_n").dropDuplicates([doc_id]))
+        marks = marks.unionByName(also(texts).select("doc_id", "component_id"))
+    edges = spool(marks.where("doc_id <> component_id").distinct().toDF("a", "b"), "near-marks")
+    roots = components(edges, "near-groups").select(F.col("node").alias("folio_key"), "root")
+    discard(edges)
+    # What rows there are, and how often; both sides of the join are small, however many rows a text has.
+    kinds = keyed.groupBy("id", "folio_key").agg(F.count("*").alias("n"))
+    placed = kinds.join(roots, "folio_key", "left").withColumn("root", F.coalesce("root", "folio_key"))
+    first = F.struct(F.col("id").isNull(), "id", "folio_key")
+    kept = placed.groupBy("root").agg(F.min_by(F.struct("id", "folio_key", "n"), first).alias("k"))
+    kept = spool(kept.select(F.col("k.id").alias("folio_id"), F.col("k.folio_key").alias("folio_key"), F.col("k.n").alias("folio_n")), "near-kept")
+    rows = docs.withColumn("folio_key", F.xxhash64(F.col(text).cast("string"))).join(kept, "folio_key").where(F.col(doc_id).cast("long").eqNullSafe(F.col("folio_id")))
+    once = rows.where("folio_n = 1")
+    return once.unionByName(rows.where("folio_n > 1").dropDuplicates(["folio_key"])).select(docs.columns)

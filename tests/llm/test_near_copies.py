@@ -72,9 +72,30 @@ def test_small_tiles_and_a_poor_sketch(spark, monkeypatch):
 
 
 def test_groups_of_another_operator_count_as_well(spark):
-    """2 goes with 1 by shingles, 3 with 2 and 5 with null by the other grouping; 4 is alone."""
+    """2 goes with 1 by shingles, 3 with 2 and the last with 5 by the other grouping; 4 is alone."""
     base = [f"w{i}" for i in range(40)]
     rows = [(1, " ".join(base)), (2, " ".join([*base, "more"])), (3, "other words here and there are few"), (4, "alone"), (5, "fifth"), (None, "no id")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    also = spark.createDataFrame([(1, 1), (2, 2), (3, 2), (4, 4), (5, 5), (None, None)], "doc_id long, component_id long")
-    assert sorted((r.doc_id for r in near_copies.keep_one(docs, also=also).collect()), key=str) == [1, 4, 5, None]
+    same = {3: 2, None: 5}
+    texts = {i: t for i, t in rows}
+
+    def also(texts_):
+        key = {r.text: r.doc_id for r in texts_.collect()}
+        return spark.createDataFrame([(key[t], key[texts[same.get(i, i)]]) for i, t in rows], "doc_id long, component_id long")
+
+    assert sorted((r.doc_id for r in near_copies.keep_one(docs, also=also).collect()), key=str) == [1, 4, 5]
+
+
+def test_rows_without_id_and_rows_of_one_id_are_told_apart_by_their_texts(spark):
+    """Different texts all stay, whatever their ids; copies leave the row of the smallest id; repeated rows leave one."""
+    long = " ".join(f"w{i}" for i in range(50))
+    rows = [(None, "first text without an id", 1), (None, "second one", 2), (None, "third", 3), (5, "one thing", 4), (5, "another matter", 5), (7, long, 6), (None, long + " x", 7), (7, long, 6), (9, long + " y", 8), (None, None, 9), (None, "", 9), (None, "third", 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, folio_n int")
+    got = sorted(((r.doc_id, r.text or "", r.folio_n) for r in near_copies.keep_one(docs.withColumnRenamed("folio_n", "more")).withColumnRenamed("more", "folio_n").collect()), key=str)
+    assert got == sorted([(None, "first text without an id", 1), (None, "second one", 2), (None, "third", 3), (5, "one thing", 4), (5, "another matter", 5), (7, long, 6), (None, "", 9)], key=str)
+
+
+def test_a_third_of_all_rows_is_one_text(spark):
+    rows = [(i, f"text {i} of its own with words a{i} b{i} c{i} d{i} e{i}") for i in range(200)] + [(None if i % 2 else 1000 + i, "hot " * 30) for i in range(100)]
+    got = near_copies.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r.doc_id for r in got) == [*range(200), 1000]
