@@ -35,7 +35,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group: fingerprints of five-word shingles within 3 bits, or shingle sets with a Jaccard similarity of 0.8 or more."""
-    return near_copies.keep_one(docs, also=simhash.near_duplicates(docs, size=near_copies.SIZE))
+    return near_copies.keep_one(docs, also=lambda rows: simhash.near_duplicates(rows, size=near_copies.SIZE))
 
 
 def replace_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
