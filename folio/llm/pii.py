@@ -26,25 +26,29 @@ from folio.llm.common import discard, spool
 FEMALE_TITLES = ["Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Mlle", "Señora", "Sra", "Signora", "Госпожа", "Κυρία"]
 MALE_TITLES = ["Mr", "Mister", "Herr", "Monsieur", "Señor", "Sr", "Signor", "Господин", "Κύριος"]
 OTHER_TITLES = ["Dr", "Prof", "Professor"]
-SECRET_NAMES = ["password", "passwd", "pwd", "secret", "token", "api_key", "apikey", "access_key"]
-KEY_SIGNS = ["AKIA", "ASIA", "ghp_", "gho_", "xoxb-", "xoxp-", "AIza"]
+SECRET_NAMES = ["password", "passwd", "passphrase", "pass", "pwd", "client_secret", "secret", "auth_token", "token", "api_key", "apikey", "access_key", "private_key"]
+KEY_SIGNS = ["AKIA", "ASIA", "ghp_", "gho_", "xoxb-", "xoxp-", "AIza", "sk-", "eyJ"]
+# Words behind a title that name an office, a job or a product; calling codes of two digits.
+NO_NAMES = ["President", "Minister", "Chairman", "Speaker", "Secretary", "Developer", "Engineer", "Manager", "Analyst", "Designer", "Director", "Word", "Office", "Excel", "Windows", "Universe", "World"]
+TWO_DIGIT_CODES = ["20", "27", "30", "31", "32", "33", "34", "36", "39", "40", "41", "43", "44", "45", "46", "47", "48", "49", "51", "52", "53", "54", "55", "56", "57", "58", "60", "61", "62", "63", "64", "65", "66", "81", "82", "84", "86", "90", "91", "92", "93", "94", "95", "98"]
 
 _TITLE = "|".join(sorted(FEMALE_TITLES + MALE_TITLES + OTHER_TITLES, key=len, reverse=True))
 _WORD = r"\p{Lu}[\p{L}\p{M}'’-]++"
+_TITLES = rf"(?:(?:{_TITLE})\.? {{1,2}})++(?!(?:{'|'.join(NO_NAMES)})(?![\p{{L}}\p{{M}}]))"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _HEX = "[0-9A-Fa-f]{1,4}"
 #: Every kind: what no text without it can match (cheap to look for), and its pattern; in order of precedence. Runs are entered at their start only, so matching stays linear.
 KINDS = {
     "email": ("@", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+"),
-    "secret": ("[=:]", r"(?<![A-Za-z0-9])(?i:" + "|".join(SECRET_NAMES) + r")\s{0,3}[=:]\s{0,3}[\"']?(?=[+/_-]*+[A-Za-z0-9])[A-Za-z0-9+/_-]{8,}+"),
-    "access": ("|".join(KEY_SIGNS), r"(?<![A-Za-z0-9])(?:(?:AKIA|ASIA)[0-9A-Z]{16}|gh[po]_[0-9A-Za-z]{36}|xox[bp]-[0-9A-Za-z-]{10,}+|AIza[0-9A-Za-z_-]{35})(?![A-Za-z0-9])"),
+    "secret": ("[=:]", r"(?<![A-Za-z0-9])(?i:" + "|".join(SECRET_NAMES) + r")\s{0,3}[=:]\s{0,3}(?:\"(?=[^\"\s]*\")[^\"\s]{6,}+|'(?=[^'\s]*')[^'\s]{6,}+|[\"']?(?=[+/_!@#$%^*~-]*+[A-Za-z0-9])[A-Za-z0-9+/_!@#$%^*~-]{8,}+)"),
+    "access": ("|".join(KEY_SIGNS), r"(?<![A-Za-z0-9])(?:(?:AKIA|ASIA)[0-9A-Z]{16}|gh[po]_[0-9A-Za-z]{36}|xox[bp]-[0-9A-Za-z-]{10,}+|AIza[0-9A-Za-z_-]{35}|sk-[0-9A-Za-z_-]{20,}+|eyJ[0-9A-Za-z_-]{8,}+\.[0-9A-Za-z_-]{8,}+\.[0-9A-Za-z_-]{8,}+)(?![A-Za-z0-9])"),
     "iban": (r"\d", r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
     "ipv6": (":", rf"(?<![0-9A-Za-z:.])(?=[0-9A-Fa-f:]*\d)(?:(?:{_HEX}:){{7}}{_HEX}|(?:{_HEX}:){{1,6}}(?::{_HEX}){{1,6}})(?![0-9A-Za-z:])"),
     "ip": (r"\d", rf"(?<![\d.vV])(?<!version ){_OCTET}(?:\.{_OCTET}){{3}}(?![\d]|\.\d)"),
     "card": (r"\d", r"(?<![\d.-])(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3}|\d{4}[ -]\d{6}[ -]\d{5})(?![\d]|[.-]\d)"),
     "ssn": (r"\d", r"(?<![\d.-])(?!000|666|9)\d{3}-\d{2}-\d{4}(?![\d]|[.-]\d)"),
-    "phone": (r"\d", r"(?<![\d+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,3}(?!\d)|(?<![\d+(])\(\d{3}\) ?\d{3}[ .-]\d{4}(?![\d]|[.-]\d)|(?<![\d.+-])\d{3}(?:-\d{3}-|\.\d{3}\.)\d{4}(?![\d]|[.-]\d)"),
-    "name": (rf"(?:{_TITLE})\.? ", rf"(?<![\p{{L}}\p{{M}}])(?:{_TITLE})\.? {{1,2}}{_WORD}(?: {_WORD})?"),
+    "phone": (r"\d", r"(?<![\d+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,3}(?!\d)|(?<![\d+(])\(\d{3}\) ?\d{3}[ .-]\d{4}(?![\d]|[.-]\d)|(?<![\d.+-])\d{3}(?:-\d{3}-|\.\d{3}\.)\d{4}(?![\d]|[.-]\d)|(?<![\d.,+/-]|\d )(?=0[1-9](?:[ -]?\d){7,10}(?![ -]?\d))0\d{1,4}(?:[ -]\d{2,4}){2,4}(?![\d]|[.,/-]\d)"),
+    "name": (rf"(?:{_TITLE})\.? ", rf"(?<![\p{{L}}\p{{M}}]){_TITLES}{_WORD}(?: {_WORD})?"),
 }
 PATTERNS = {kind: pattern for kind, (_, pattern) in KINDS.items()}
 PATTERN = "|".join(f"(?:{p})" for p in PATTERNS.values())
@@ -86,11 +90,12 @@ def _kind(mention: Column) -> Column:
 
 
 def _titled(mention: Column) -> tuple[Column, Column, Column]:
-    """Title with the space behind it, gender, and the words of the name."""
-    both = rf"^((?:{_TITLE})\.? +)(.*)$"
+    """All titles with the space behind them, gender, and the words of the name."""
+    both = rf"^((?:(?:{_TITLE})\.? +)++)(.*)$"
     title, names = F.regexp_extract(mention, both, 1), F.split(F.regexp_extract(mention, both, 2), " ")
-    bare = F.regexp_replace(title, r"[. ]", "")
-    return title, F.when(bare.isin(FEMALE_TITLES), "female").when(bare.isin(MALE_TITLES), "male").otherwise("any"), names
+    each = F.split(F.regexp_replace(title, r"\.", ""), " +")
+    of = lambda titles: F.arrays_overlap(each, F.array(*map(F.lit, titles)))
+    return title, F.when(of(FEMALE_TITLES), "female").when(of(MALE_TITLES), "male").otherwise("any"), names
 
 
 def _people(text: Column) -> Column:
@@ -120,7 +125,7 @@ def _parts(kind: Column, mention: Column, people: Column) -> Column:
     piece = lambda fixed, kind, norm, shown: F.struct(F.lit(fixed).alias("fixed"), kind.alias("kind"), norm.alias("norm"), shown.alias("shown"))
     plain = lambda text: piece(True, F.lit(None).cast("string"), F.lit(None).cast("string"), text)
     own = lambda kind, norm, shown: piece(False, kind, norm, shown)
-    setting = r"(?i)^(.*?[=:]\s*[\"']?)([A-Za-z0-9+/_-]+)$"
+    setting = r"^([^=:]*[=:]\s*[\"']?)(.*)$"
     label, value = F.regexp_extract(mention, setting, 1), F.regexp_extract(mention, setting, 2)
     title, gender, names = _titled(mention)
     family = own(F.lit("family"), F.lower(F.element_at(names, -1)), F.element_at(names, -1))
@@ -135,7 +140,7 @@ def _parts(kind: Column, mention: Column, people: Column) -> Column:
         .when(kind == "name", F.array(plain(title), family))
         .when(kind.isin("email", "ipv6"), F.array(own(kind, F.lower(mention), mention)))
         .when(kind == "iban", F.array(own(kind, F.replace(mention, F.lit(" "), F.lit("")), mention)))
-        .when(kind == "phone", F.array(own(kind, F.regexp_replace(digits, r"^1(\d{10})$", "$1"), mention)))
+        .when(kind == "phone", F.array(own(kind, F.when(mention.startswith("+"), F.regexp_replace(F.concat(F.lit("+"), digits), r"^\+1(\d{10})$", "$1")).otherwise(digits), mention)))
         .when(kind.isin("card", "ssn"), F.array(own(kind, digits, mention)))
         .otherwise(F.array(own(kind, mention, mention)))
     )
@@ -209,8 +214,10 @@ def _surrogate(kind: Column, norm: Column, attempt: Column, key: str) -> Column:
     inner = lambda first, last: F.substring(digits, F.lit(first), F.length(norm) - last)
     card = _luhn(F.concat(F.lit("9"), inner(1, 2)))
     ssn = F.concat(F.lit("9"), inner(1, 1))
-    country = F.when(F.length(norm) > 10, F.length(norm) - 10).otherwise(0)
-    phone = F.concat(F.substring(norm, F.lit(1), country), F.substring(digits, F.lit(1), F.length(norm) - country))
+    # A number of another country keeps its code. What follows begins with 0, as no number does behind a code, or with 00.
+    code = F.when(~norm.startswith("+"), 0).when(norm.rlike(r"^\+[17]"), 2).when(F.substring(norm, 2, 2).isin(TWO_DIGIT_CODES), 3).otherwise(4)
+    zeros = F.when(norm.startswith("0"), "00").otherwise("0")
+    phone = F.concat(F.substring(norm, F.lit(1), code), zeros, F.substring(digits, F.lit(1), F.length(norm) - code - F.length(zeros)))
     account = _like(F.substring(norm, F.lit(5), F.length(norm)), seed, F.lit(False))
     check = F.lpad((98 - _iban_rest(F.concat(F.substring(norm, 1, 2), F.lit("00"), account))).cast("string"), 2, "0")
     iban = F.concat(F.substring(norm, 1, 2), check, account)
@@ -262,7 +269,9 @@ def surrogates(entities: DataFrame, key: str) -> DataFrame:
 
 def _shown(kind: Column, surrogate: Column, shown: Column) -> Column:
     """A surrogate in the form of a mention: its separators, its country code and its letter case."""
+    given = surrogate
     signs = F.when(kind == "iban", F.lit("[A-Z0-9]")).otherwise(F.lit(r"\d"))
+    surrogate = F.when(kind == "phone", _digits(surrogate)).otherwise(surrogate)
     spare = F.when(kind == "phone", F.length(_digits(shown)) - F.length(surrogate)).otherwise(0)  # digits of the mention before those of the entity
     filled = F.aggregate(
         _chars(shown),
@@ -274,7 +283,7 @@ def _shown(kind: Column, surrogate: Column, shown: Column) -> Column:
     )
     upper = (F.upper(shown) == shown) & (F.length(shown) > 1)
     return (
-        F.when(surrogate.startswith("["), surrogate)
+        F.when(given.startswith("["), given)
         .when(kind.isin("card", "ssn", "phone", "iban"), filled)
         .when(kind.startswith("given") | (kind == "family"), F.when(upper, F.upper(surrogate)).otherwise(F.initcap(surrogate)))
         .when(kind.isin("email", "ipv6") & upper, F.upper(surrogate))

@@ -164,3 +164,31 @@ def test_keyed_as_hmac(spark):
     assert got == hmac.new(hashlib.sha256(b"k").digest(), "héllo".encode(), "sha256").hexdigest()
     with pytest.raises(ValueError):
         run(spark, [(1, "x")], key="")
+
+
+def test_chains_of_titles_and_words_that_are_no_names(spark):
+    chain, herr, plain = texts(spark, ["Prof. Dr. Anna Weber spoke. Weber left; Anna too.", "Herr Dr. Weber, Frau Prof. Dr. Lena Kurz", "Ms Word 365, Sr Developer, Mr President said so. President of all."])
+    given, family, again, too = re.fullmatch(r"Prof\. Dr\. (\w+) (\w+) spoke\. (\w+) left; (\w+) too\.", chain).groups()
+    assert given == too != "Anna" and family == again != "Weber"
+    weber, lena, kurz = re.fullmatch(r"Herr Dr\. (\w+), Frau Prof\. Dr\. (\w+) (\w+)", herr).groups()
+    assert weber == family and lena.endswith("a") and lena != "Lena" and kurz != "Kurz"
+    assert plain == "Ms Word 365, Sr Developer, Mr President said so. President of all."
+
+
+def test_country_codes_stay_and_numbers_belong_to_nobody(spark):
+    given = ["+49 30 1234567", "+49 (89) 7654321", "+1 (386) 555-3733", "386-555-3733", "+352 123 456", "+44 20 7946 0958", "020 7946 0958", "06 12 34 56 78", "+7 495 123 45 67"]
+    got = texts(spark, [f"tel {g} end" for g in given] + ["on 01 02 2003 at 0.12 34 56 78 99"])
+    bare = lambda s: re.sub(r"\D", "", s)
+    for g, new, code in zip(given, got, ["49", "49", "1", "", "352", "44", "0", "0", "7"]):
+        new = new[4:-4]
+        assert new != g and re.sub(r"\d", "9", new) == re.sub(r"\d", "9", g) and bare(new).startswith(code + "0")
+    assert bare(got[2])[1:] == bare(got[3]) and got[-1] == "on 01 02 2003 at 0.12 34 56 78 99"
+
+
+def test_secrets_with_signs_and_common_keys(spark):
+    key, token = "sk-proj-" + "aB3_" * 8, "eyJhbGciOiJI.eyJzdWIiOiIx.SflKxwRJSMeKKF2"
+    given = ['token: "abc$def%ghi" ok', "secret = 'p@ssw0rd!x9';", "pass=hunter2! x", f"use {key} now", f"Bearer {token}.", 'password = "not closed here', "pass: it on to others"]
+    got = texts(spark, given)
+    assert re.fullmatch(r'token: "[a-z]{3}\$[a-z]{3}%[a-z]{3}" ok', got[0]) and re.fullmatch(r"secret = '[a-z]@[a-z]{3}\d[a-z]{2}![a-z]\d';", got[1]) and re.fullmatch(r"pass=[a-z]{6}\d! x", got[2])
+    assert re.fullmatch(r"use sk-p[\w-]+ now", got[3]) and re.fullmatch(r"Bearer eyJ\w{9}\.\w{12}\.\w{15}\.", got[4])
+    assert all(a != b for a, b in zip(given[:5], got)) and got[5:] == given[5:]
