@@ -248,19 +248,82 @@ def within_budget(text: Column, tokens: Column) -> Column:
     return F.when(tokens <= 0, "").when(estimated_tokens(text) <= tokens, text).otherwise(F.substring(text, F.lit(1), n))
 
 
-def anchored(text: Column, quote: Column, start: Column) -> Column:
-    """(start, end) of a quote in a text: where it was, else its nearest exact place, else its first with other white space; null without any."""
-    size = F.length(quote)
+#: Characters of a quote that are compared at once, characters of context, and how far a place may be off: 1000 / 2.
+FUZZY_BITS, CONTEXT, FUZZY_REACH = 32, 32, 500
+
+
+def fuzzy_place(text: Column, pattern: Column, near: Column) -> Column:
+    """Where a text has a pattern of at most ``FUZZY_BITS`` characters with the fewest errors, near a place; null without any.
+
+    Bit-parallel matching: for each number of errors a word whose bits are the ends of the pattern that the text read so
+    far begins with. The text is read from right to left, so a full word is a place where the pattern begins. An error
+    costs 1000 / length, a character of distance 1, and places up to half the cost of a pattern of errors count; so the
+    window around ``near`` and the number of words are bounded, whatever the text. The lowest cost wins, of equal ones
+    that with more errors, then the first.
+    """
+    size, near = F.length(pattern), F.greatest(F.lit(0), F.least(near, F.length(text)))
+    most = F.floor(size / 2).cast("int")
+    begin = F.greatest(F.lit(0), near - FUZZY_REACH)
+    end = F.least(F.length(text), near + FUZZY_REACH + size + most)
+    signs = F.filter(F.split(F.reverse(F.substring(text, begin + 1, end - begin)), ""), lambda c: c != "")
+    backward = F.filter(F.split(F.reverse(pattern), ""), lambda c: c != "")
+    bit = lambda i: F.call_function("shiftleft", F.lit(1).cast("long"), i.cast("int"))
+    masks = F.map_from_entries(F.transform(F.array_distinct(backward), lambda c: F.struct(c, F.aggregate(F.transform(backward, lambda p, i: F.when(p == c, bit(i)).otherwise(F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda x, y: x + y))))
+    first = F.transform(F.sequence(F.lit(0), most), lambda d: bit(d) - 1)
+    shifted = lambda word: F.shiftleft(word, 1).bitwiseOR(F.lit(1).cast("long"))
+
+    def read(acc: Column, c: Column) -> Column:
+        mask = F.coalesce(F.try_element_at(acc["masks"], c), F.lit(0).cast("long"))
+
+        def level(done: Column, old: Column) -> Column:
+            exact = shifted(old).bitwiseAND(mask)
+            last = F.element_at(done["new"], -1)
+            word = F.when(F.size(done["new"]) == 0, exact).otherwise(exact.bitwiseOR(done["old"]).bitwiseOR(shifted(done["old"])).bitwiseOR(shifted(last)))
+            return F.struct(F.array_append(done["new"], word).alias("new"), old.alias("old"))
+
+        words = F.aggregate(acc["words"], F.struct(F.array().cast("array<bigint>").alias("new"), F.lit(0).cast("long").alias("old")), level, lambda done: done["new"])
+        at = acc["at"] - 1
+        return F.struct(acc["masks"].alias("masks"), words.alias("words"), at.alias("at"), _cheaper(acc["best"], words, at).alias("best"))
+
+    def _cheaper(best: Column, words: Column, at: Column) -> Column:
+        # The last word is full wherever any is; most places end here.
+        errors = F.size(F.filter(words, lambda w: w.bitwiseAND(bit(size - 1)) == 0))
+        cost = errors * 1000 + F.abs(at - near) * size
+        found = F.struct(cost.alias("cost"), (-errors).alias("errors"), at.alias("at"))
+        fits = (F.element_at(words, -1).bitwiseAND(bit(size - 1)) != 0) & (cost <= 500 * size)
+        return F.when(fits & (best.isNull() | (found < best)), found).otherwise(best)
+
+    none = F.lit(None).cast("struct<cost:int,errors:int,at:int>")
+    start = F.struct(masks.alias("masks"), first.alias("words"), end.cast("int").alias("at"), none.alias("best"))
+    return F.when(size > 0, F.aggregate(signs, start, read, lambda acc: acc["best"]["at"]))
+
+
+def _in_common(a: Column, b: Column) -> Column:
+    """Characters that two short texts begin with alike."""
+    return F.size(F.filter(F.sequence(F.lit(1), F.lit(CONTEXT)), lambda i: (F.length(a) >= i) & (F.substring(a, F.lit(1), i) == F.substring(b, F.lit(1), i))))
+
+
+def anchored(text: Column, quote: Column, start: Column, prefix: Column | None = None, suffix: Column | None = None) -> Column:
+    """(start, end) of a quote in a text: where it was, else its exact place of the best context, then the nearest, else its
+    first with other white space, else the place of its head and of its tail with the fewest errors nearby; null without any."""
+    size, prefix, suffix = F.length(quote), F.lit("") if prefix is None else prefix, F.lit("") if suffix is None else suffix
     loose = F.regexp_replace(F.regexp_replace(F.trim(quote), r"([\\\[\](){}.*+?^$|])", r"\\$1"), r"\s+", r"\\s+")
     parts = F.split(text, F.concat(F.lit(r"\Q"), quote, F.lit(r"\E")), -1)
     ends = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.aggregate(F.slice(parts, 1, i), F.lit(0), lambda a, p: a + F.length(p)) + (i - 1) * size)
-    nearest = F.get(F.array_sort(F.transform(ends, lambda at: F.struct(F.abs(at - start).alias("far"), at.alias("at")))), F.lit(0))["at"]
+    before = lambda at: F.reverse(F.substring(text, F.greatest(F.lit(0), at - CONTEXT) + 1, at - F.greatest(F.lit(0), at - CONTEXT)))
+    context = lambda at: _in_common(before(at), F.reverse(prefix)) + _in_common(F.substring(text, at + size + 1, F.lit(CONTEXT)), suffix)
+    nearest = F.get(F.array_sort(F.transform(ends, lambda at: F.struct((-context(at)).alias("context"), F.abs(at - start).alias("far"), at.alias("at")))), F.lit(0))["at"]
     there = F.regexp_instr(text, loose) - 1
     found = lambda at, n: F.struct(at.cast("int").alias("start"), (at + n).cast("int").alias("end"))
+    head = fuzzy_place(text, F.substring(quote, 1, FUZZY_BITS), start)
+    tail = fuzzy_place(text, F.substring(quote, -FUZZY_BITS, FUZZY_BITS), start + size - FUZZY_BITS)
+    upto = F.when(size <= FUZZY_BITS, head + size).otherwise(F.coalesce(tail + FUZZY_BITS, head + size))
+    upto = F.least(F.length(text), F.greatest(upto, head + 1))
     return (
         F.when((quote != "") & (F.substring(text, start + 1, size) == quote), found(start, size))
         .when((quote != "") & F.contains(text, quote), found(nearest, size))
         .when((F.trim(quote) != "") & (there >= 0), found(there, F.length(F.regexp_substr(text, loose))))
+        .when((quote != "") & (upto > head), F.struct(head.cast("int").alias("start"), upto.cast("int").alias("end")))
     )
 
 

@@ -121,11 +121,6 @@ def answers_unknown(items: DataFrame, page: str) -> DataFrame:
     return items.where((F.size("choices") > 0) & ~F.array_contains("choices", F.col("answer"))).select(page, "item_id")
 
 
-def stacked_refs(value: Column) -> Column:
-    """All ref_id values at any depth of a JSON text, each once, in order."""
-    return F.array_distinct(M.matches(value, r"\"ref_id\"\s*:\s*\"((?:\\.|[^\"\\])*)\"", 1))
-
-
 def distinct_citations(citations: Column) -> Column:
     """Citations in order, each (ref_id, quote) once."""
     return F.array_distinct(F.transform(citations, lambda c: F.struct(F.trim(c["ref_id"]).alias("ref_id"), F.trim(c["quote"]).alias("quote"))))

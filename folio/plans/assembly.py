@@ -49,6 +49,17 @@ def _(spark, sf):
     return rows.select("doc_id", first["start"].alias("first_start"), first["end"].alias("first_end"), near["start"].alias("near_start"), loose["start"].alias("loose_start"), loose["end"].alias("loose_end"), T.anchored(C("body"), L("nowhere"), L(0)).isNull().alias("gone"))
 
 
+@query("RT20_fuzzy_anchors", """
+SELECT p_partkey, CASE WHEN p_size % 3 = 2 THEN -1 ELSE 4 END AS start, CASE WHEN p_size % 3 = 2 THEN -1 ELSE CAST(4 + greatest(length(p_type), 5 + p_size % 3) AS INTEGER) END AS "end" FROM part""")
+def _(spark, sf):
+    """A quote whose fifth letter was changed, or whose fifth and sixth; one of other letters is nowhere."""
+    k = C("p_size") % 3
+    spoiled = F.overlay("p_type", F.when(k == 0, L("#")).otherwise(L("#%")), L(5))
+    quote = F.when(k == 2, F.translate(F.lower("p_type"), "abcdefghijklmnopqrstuvwxyz ", "~" * 27)).otherwise(spoiled)
+    found = T.anchored(F.concat(L("in: "), "p_type", L(" :out "), F.repeat(L("and so on "), 50)), quote, L(4))
+    return table(spark, sf, "part").select("p_partkey", F.coalesce(found["start"], L(-1)).alias("start"), F.coalesce(found["end"], L(-1)).alias("end"))
+
+
 @query("FN50_config_hash", """SELECT doc_id, substr(sha256('{"lang":"' || lang || '","source":"' || source || '"}'), 1, 16) AS hash FROM documents""")
 def _(spark, sf):
     return table(spark, sf, "documents").select("doc_id", T.config_hash("source", "lang").alias("hash"))

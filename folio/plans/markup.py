@@ -144,12 +144,6 @@ def _(spark, sf):
     return I.answers_unknown(items, "p_partkey")
 
 
-@query("XB08_citations_at_any_depth", "SELECT doc_id, lang || ',' || source || '-p1' AS refs FROM documents")
-def _(spark, sf):
-    payload = made(spark, sf, "documents", "doc_id", '{"a": [{"b": {"ref_id": "', "@lang", '"}}, {"ref_id" : "', "@source", '-p1"}], "c": {"ref_id": "', "@lang", '"}, "ref": "no"}')
-    return payload.select("doc_id", F.array_join(I.stacked_refs(C("body")), ",").alias("refs"))
-
-
 @query("FN19_escape_text", "SELECT doc_id, 'a&lt;b &#123;' || lang || '&#125; $x<y$ &amp; `c<{d}` &#123;' || source || ' $$' || chr(10) || 'p<q' || chr(10) || '$$' AS safe FROM documents")
 def _(spark, sf):
     return made(spark, sf, "documents", "doc_id", "a<b {", "@lang", "} $x<y$ & `c<{d}` \\{", "@source", " $$\np<q\n$$").select("doc_id", M.escape_text("body").alias("safe"))
