@@ -7,16 +7,18 @@ with at least ``WINDOW`` words; each window selects its line of minimum hash, th
 that share a run of so many words in whole lines share a window and thus a selected line: every such run is found,
 while only the selected lines are joined.
 
-A fingerprint is a selected line with a hash of the window that selected it, so that common short lines join nothing by
-themselves. Its first place in the corpus is its anchor. Each later text is aligned with the anchors' texts (and a
+A fingerprint is a selected line with its window (one hash of the window's lines, which decide the line), so that common
+short lines join nothing by themselves. Its first place in the corpus is its anchor. Each later text is aligned with the anchors' texts (and a
 repetition inside one text with the place before it), the match is extended both ways line by line, and at its ends word
 by word into the lines that are equal in part. What stands there for at least ``min_words`` words goes. A word goes only
 if an equal run stands at an earlier place, so first occurrences always stay. A fingerprint makes at most two alignments
 at each of its places: one with its anchor, one with the place before it in its own text.
 
-What may stay: the words at a run's end that fill no window, where the window before them was first seen in a text that
-goes on differently (fewer than ``min_words`` words); passages pasted into the middle of lines whose whole lines fill no
-window; and copies with other line breaks, where their whole sentences fill none. Words are what white space divides, so scripts without spaces are matched by whole sentences.
+A repeated run of whole lines with ``min_words`` words or more goes entirely: each of its lines is in a window inside the
+run, and that window's anchor has the window's words. What may stay: runs whose ends lie inside lines and whose whole
+lines fill no window, all shorter than a window and two long lines; and copies whose line breaks cut their sentences
+elsewhere, where whole sentences fill none. Words are what white space divides; signs of scripts that write without
+spaces are words of their own.
 """
 
 from __future__ import annotations
@@ -27,12 +29,15 @@ from pyspark.sql import functions as F
 from folio.llm.common import discard, spool
 
 #: Words of a repeated run that is deleted, and of a window, the whole lines that it must hold.
-MIN_WORDS, WINDOW = 20, 12
+MIN_WORDS, WINDOW = 20, 20
 
 #: Between lines: line breaks, and the space that ends a sentence.
-CUT = r"\n+|(?<=[.!?]) +"
+CUT = r"\n+|(?<=[.!?。！？]) +"
+#: Signs of scripts that write without spaces; what a text's words are where it has such signs, with the space behind.
+UNSPACED = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}"
+SIGNS = rf"[{UNSPACED}]\s*|[^\s{UNSPACED}]+\s*"
 #: A line of more words than ``LONG`` is cut behind words with one of ``ENDS`` as their last sign, into parts of ``LEAST`` to ``MOST`` words.
-LONG, LEAST, MOST, ENDS = 16, 4, 12, ",;:ndND05нйνςの"
+LONG, LEAST, MOST, ENDS = 16, 4, 12, ",;:ndND05нйνςの，、；：的了是"
 PART = rf"(?:\S++ ){{{LEAST - 1},{MOST - 1}}}?\S*[{ENDS}](?: |$)|(?:\S++ ?+){{1,{MOST}}}"
 #: Lines on either side of a match whose words are compared.
 NEXT = 3
@@ -41,12 +46,18 @@ NEXT = 3
 def lines_of(text: Column | str) -> Column:
     """The lines of a text, single spaces between their words."""
     whole = F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
+    whole = F.when(unspaced(whole), F.regexp_replace(whole, f"([{UNSPACED}])", " $1 ")).otherwise(whole)
     single = F.when(whole.rlike(r"[\t\r\f\x0b]|  "), F.regexp_replace(whole, r"[^\S\n]+", " ")).otherwise(whole)
     lines = F.transform(F.split(single, CUT, -1), lambda line: F.trim(line))
     cut = F.transform(lines, lambda line: F.when(_size(line) > LONG, F.regexp_extract_all(line, F.lit(PART), F.lit(0))).otherwise(F.array(line)))
     return F.transform(F.filter(F.flatten(cut), lambda line: line != ""), lambda line: F.rtrim(line))
 
 
+def unspaced(text: Column) -> Column:
+    """Whether a text has signs that are words of their own; plain ASCII is told by its size."""
+    return (F.octet_length(text) > F.length(text)) & text.rlike(f"[{UNSPACED}]")
+
+
 def _size(line: Column) -> Column:
     """Words of a tidy line."""
     return F.when(line == "", 0).otherwise(F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1)
@@ -64,7 +75,7 @@ def sequences(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 
 def selected(sequence: DataFrame, min_words: int) -> DataFrame:
-    """(row, doc, pos, hash, around, same): for each window of at least ``min_words`` words the line that it selects.
+    """(row, doc, pos, around, same): for each window of at least ``min_words`` words the line that it selects.
 
     ``around`` is a hash of the window's lines in order, ``same`` the place of the equal window before it in the text. A
     line is there once for each of its windows: the first may begin in front of a run that texts share, and so differ
@@ -75,7 +86,7 @@ def selected(sequence: DataFrame, min_words: int) -> DataFrame:
     placed = lines.withColumn("at", F.sum("w").over(by_row.orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("w"))
     window = by_row.orderBy("at").rangeBetween(0, min_words - 1)
     chosen = placed.select("row", "doc", F.min(F.struct("h", "pos")).over(window).alias("least"), F.xxhash64(F.collect_list("h").over(window)).alias("around"), F.sum("w").over(window).alias("words")).where(F.col("words") >= min_words)
-    prints = chosen.select("row", "doc", F.col("least.pos").alias("pos"), F.col("least.h").alias("hash"), "around")
+    prints = chosen.select("row", "doc", F.col("least.pos").alias("pos"), "around")
     return prints.withColumn("same", F.lag("pos").over(Window.partitionBy("row", "around").orderBy("pos")))
 
 
@@ -87,10 +98,9 @@ def alignments(prints: DataFrame) -> DataFrame:
     the result is spooled.
     """
     inside = spool(prints.where("same IS NOT NULL").select("row", F.col("row").alias("other"), (F.col("pos") - F.col("same")).alias("shift")).where("shift > 0").distinct(), "line-inside")
-    prints, given = prints.where("same IS NULL").drop("same"), prints
-    place, latest = F.min(F.struct("doc", "row", "pos")), F.max(F.struct("doc", "row", "pos")).alias("latest")
-    first = spool(prints.groupBy("hash", "around").agg(place.alias("at"), latest).where("at <> latest").drop("latest"), "line-anchors")
-    ahead = prints.join(first, ["hash", "around"]).where(F.col("row") != F.col("at.row")).select("row", F.col("at.row").alias("other"), (F.col("pos") - F.col("at.pos")).alias("shift"))
+    prints, given = prints.where("same IS NULL").drop("same"), prints  # a window once in each text
+    first = spool(prints.groupBy("around").agg(F.min(F.struct("doc", "row", "pos")).alias("at"), F.count("*").alias("n")).where("n > 1").drop("n"), "line-anchors")
+    ahead = prints.join(first, "around").where(F.col("row") != F.col("at.row")).select("row", F.col("at.row").alias("other"), (F.col("pos") - F.col("at.pos")).alias("shift"))
     aligned = spool(inside.unionByName(ahead.distinct()).distinct(), "line-alignments")
     for done in (inside, given, first):
         discard(done)
@@ -175,7 +185,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     same = (keyed["row"] == runs["row"]) & keyed["doc"].eqNullSafe(runs["doc"])
     joined = keyed.join(runs.hint("shuffle_hash"), same, "left").select("folio_row", "runs")
     body = F.col("folio_row")[text]
-    joined = joined.withColumn("pieces", F.when(F.col("runs").isNotNull(), F.regexp_extract_all(body, F.lit(r"\S+\s*"), F.lit(0))))
+    joined = joined.withColumn("pieces", F.when(F.col("runs").isNull(), None).when(unspaced(body), F.regexp_extract_all(body, F.lit(SIGNS), F.lit(0))).otherwise(F.regexp_extract_all(body, F.lit(r"\S+\s*"), F.lit(0))))
     joined = joined.withColumn("kept", F.filter("pieces", lambda _, i: ~F.exists(F.col("runs"), lambda run: (run["first"] <= i) & (i <= run["last"]))))
     lead = F.when(F.size("kept") > 0, F.regexp_extract(body, r"^\s*", 0)).otherwise("")
     shorter = F.when(F.col("runs").isNull(), body).otherwise(F.concat(lead, F.array_join("kept", "")))

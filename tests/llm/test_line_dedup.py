@@ -144,3 +144,40 @@ def test_lines_are_cut_at_breaks_sentences_and_certain_words(spark):
     got = spark.createDataFrame([(text,)], "t string").select(L.lines_of("t").alias("l")).first().l
     assert got == ["One two.", "Three, four", "five six;", "0 1 2 3 4 5", "6 7 8 9 10", "11 12 13 14 15", "16 17 18 19"]
     assert re.sub(r"\s+", " ", text) == " ".join(got)
+
+
+def test_windows_anchored_in_different_texts(spark):
+    """Short texts hold two lines each of a passage; the first text with all of it stays, the second loses it."""
+    lines = [" ".join(f"l{j}w{k}" for k in range(9)) + "." for j in range(10)]
+    rows = [(j, f"own {j} start.\n{lines[j]}\n{lines[j + 1]}\nown {j} end.") for j in range(9)]
+    rows += [(20, "a begins.\n" + "\n".join(lines) + "\na ends."), (21, "b begins.\n" + "\n".join(lines) + "\nb ends.")]
+    out = removed(spark, rows)
+    assert [out[i].n_removed for i in range(9)] == [0] * 9 and (out[20].n_removed, out[21].n_removed) == (0, 91)  # "begins." too
+    assert out[21].text.split() == "b b ends.".split()
+
+
+def test_runs_of_whole_lines_against_brute_force_without_tolerance(spark):
+    """Pieces of passages of many lengths, each first seen in another text: just the words of naive() go."""
+    rng = random.Random(8)
+    passages = [[" ".join(f"p{p}l{j}w{k}" for k in range(rng.randrange(3, 9))) + "." for j in range(14)] for p in range(5)]
+    rows = []
+    for i in range(80):
+        body = []
+        for n in range(rng.randrange(1, 4)):
+            p, a = rng.choice(passages), rng.randrange(13)
+            body += [f"d{i}n{n}x d{i}n{n}y."] + p[a : a + rng.randrange(1, 9)]
+        rows.append((i, "\n".join(body)))
+    out = removed(spark, rows)
+    want = rest(rows, naive(rows, L.MIN_WORDS))
+    assert sum(out[i].n_removed for i, _ in rows) > 1000
+    assert [out[i].text.split() for i, _ in rows] == [t.split() for t in want]
+
+
+def test_scripts_without_spaces(spark):
+    rng = random.Random(9)
+    han = lambda n: "".join(chr(0x4E00 + rng.randrange(4000)) for _ in range(n))
+    passage = "".join(han(rng.randrange(5, 12)) + mark for mark in "，。，。，。，。")
+    rows = [(1, f"{han(9)}。{passage}{han(8)}。"), (2, f"{han(7)}。{passage}{han(6)}。"), (3, f"{passage}"), (4, f"{han(7)}。{han(30)}。")]
+    out = removed(spark, rows)
+    assert out[1].n_removed == out[4].n_removed == 0 and out[1].text == rows[0][1] and out[4].text == rows[3][1]
+    assert out[3].text == "" and out[2].text == rows[1][1].replace("。" + passage, "")
