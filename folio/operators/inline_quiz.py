@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folio.functions import markup as M
+from folio.functions import maths
 from folio.operators import mdx
 from folio.operators.items import CITATIONS, grounded, item_valid
 from folio.session import written
@@ -61,7 +62,7 @@ def _inner(body: Column, component: str) -> Column:
 
 
 def markdown(text: Column) -> Column:
-    return _trimmed(M.escape_text(M.dollar_delimiters(text)))
+    return _trimmed(M.escape_text(maths.normalised(text)))
 
 
 def citations_json(citations: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from folio.functions import markup as M
+from folio.functions import maths
 from folio.functions import text as T
 from folio.operators import items as I
 from folio.plans.registry import query
@@ -232,3 +233,33 @@ def _(spark, sf):
     prose = F.concat(L("## the heading\n`the` $the$ "), F.regexp_replace("text", "[^A-Za-z]+", " "))
     terms = F.array(_preview("the", "/c/the", "The", "s"), _preview("zzzz never", "/c/z", "Z", "z"))
     return table(spark, sf, "documents").select("doc_id", M.concept_links(prose, terms, F.array(L("OTHER"))).alias("linked"))
+
+
+@query("FN21_normalised_maths", r"""
+SELECT p_partkey, 'of ' || p_name || CASE p_size % 4 WHEN 0 THEN chr(10) || chr(10) || '$$' || chr(10) || 'x_' || p_size || chr(10) || '$$' || chr(10) || chr(10) || ' end'
+  WHEN 1 THEN ' $\tag{3} \text{' || p_brand || '}\theta \mathbf{x}$ ③ `$③$`' WHEN 2 THEN ' $a \\[4pt]' || chr(10) || 'b$ \left| ' ELSE ' q={"\(' || p_type || '\)"} $\left\vert x$' END AS body FROM part""")
+def _(spark, sf):
+    k = C("p_size") % 4
+    tail = (
+        F.when(k == 0, F.concat(L(r" \[ x_"), C("p_size").cast("string"), L(r" \]. end")))
+        .when(k == 1, F.concat(L(r" \(\tag{③} \text{"), "p_brand", L(r"θ} \\mathbf{x}\) ③ `$③$`")))
+        .when(k == 2, L(" $a \\\\\n\n$$\n4pt]\nb$ \\left| "))
+        .otherwise(F.concat(L(r' q={"\('), "p_type", L(r'\)"} $\left| x$')))
+    )
+    return table(spark, sf, "part").select("p_partkey", maths.normalised(F.concat(L("of "), "p_name", tail)).alias("body"))
+
+
+@query("FN22_display_fences", """
+SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN p_name || chr(10) || chr(10) || '$$' || chr(10) || p_brand || chr(10) || '= 1' || chr(10) || '$$' || chr(10) || chr(10) || ' so' WHEN 1 THEN p_name || ' $$' || p_brand || '$$ so' WHEN 2 THEN p_name || ' $$' || p_brand || chr(10) || 'odd' ELSE '$$' || chr(10) || p_name || chr(10) || '$$' || chr(10) || 'so' END AS body FROM part""")
+def _(spark, sf):
+    k = C("p_size") % 4
+    body = F.when(k == 0, F.concat("p_name", L(" $$"), "p_brand", L("\n= 1$$ so"))).when(k == 1, F.concat("p_name", L(" $$"), "p_brand", L("$$ so"))).when(k == 2, F.concat("p_name", L(" $$"), "p_brand", L("\nodd"))).otherwise(F.concat(L("$$\n"), "p_name", L("\n$$\nso")))
+    return table(spark, sf, "part").select("p_partkey", maths.own_lines(body).alias("body"))
+
+
+@query("FN23_quote_formulas", r"""
+SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN '$\frac{1}{' || p_size || '}$.' WHEN 1 THEN 'Sum of ' || p_name || ': $x_{' || p_size || '} + 1$' WHEN 2 THEN '\frac{1}{2} is ' || p_name ELSE p_name || ' $x_{1}$' END AS quote FROM part""")
+def _(spark, sf):
+    k, n = C("p_size") % 4, C("p_size").cast("string")
+    quote = F.when(k == 0, F.concat(L("\\frac{1}{"), n, L("}."))).when(k == 1, F.concat(L("Sum of "), "p_name", L(": x_{"), n, L("} + 1"))).when(k == 2, F.concat(L("\\frac{1}{2} is "), "p_name")).otherwise(F.concat("p_name", L(" $x_{1}$ ")))
+    return table(spark, sf, "part").select("p_partkey", maths.quote_formulas(quote).alias("quote"))
