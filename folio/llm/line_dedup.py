@@ -33,8 +33,9 @@ MIN_WORDS, WINDOW = 20, 20
 
 #: Between lines: line breaks, and the space that ends a sentence.
 CUT = r"\n+|(?<=[.!?。！？]) +"
-#: Signs of scripts that write without spaces; what a text's words are where it has such signs, with the space behind.
-UNSPACED = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}"
+#: Signs of scripts that write without spaces (Thai, Lao, Burmese, Khmer, Kana, Han), by ranges, which are fast to test;
+#: what a text's words are where it has such signs, with the space behind.
+UNSPACED = r"\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u3040-\u30FF\u3400-\u4DBF\u4E00-\u9FFF\uF900-\uFAFF\x{20000}-\x{3FFFF}"
 SIGNS = rf"[{UNSPACED}]\s*|[^\s{UNSPACED}]+\s*"
 #: A line of more words than ``LONG`` is cut behind words with one of ``ENDS`` as their last sign, into parts of ``LEAST`` to ``MOST`` words.
 LONG, LEAST, MOST, ENDS = 16, 4, 12, ",;:ndND05нйνςの，、；：的了是"
@@ -46,8 +47,8 @@ NEXT = 3
 def lines_of(text: Column | str) -> Column:
     """The lines of a text, single spaces between their words."""
     whole = F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
-    whole = F.when(unspaced(whole), F.regexp_replace(whole, f"([{UNSPACED}])", " $1 ")).otherwise(whole)
-    single = F.when(whole.rlike(r"[\t\r\f\x0b]|  "), F.regexp_replace(whole, r"[^\S\n]+", " ")).otherwise(whole)
+    tidy = lambda t: F.regexp_replace(t, r"[^\S\n]+", " ")
+    single = F.when(unspaced(whole), tidy(F.regexp_replace(whole, f"([{UNSPACED}])", " $1 "))).when(whole.rlike(r"[\t\r\f\x0b]|  "), tidy(whole)).otherwise(whole)
     lines = F.transform(F.split(single, CUT, -1), lambda line: F.trim(line))
     cut = F.transform(lines, lambda line: F.when(_size(line) > LONG, F.regexp_extract_all(line, F.lit(PART), F.lit(0))).otherwise(F.array(line)))
     return F.transform(F.filter(F.flatten(cut), lambda line: line != ""), lambda line: F.rtrim(line))
