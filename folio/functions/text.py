@@ -204,7 +204,21 @@ def paged(text: Column) -> Column:
 
 
 # How prose names the document it was made from, names no file may have, and JSON's escapes.
-NARRATION = "源材料|源文档|源文本|源文(?=[中里所的提指写给说表最])|原文(?=[中里所的提指写给说表最明])|文档中(?=对此|有|的描述|描述|提到|给出|写道|指出|说明)|书中(?=提到|描述|写道|指出|给出|有清晰|清晰)|教材中|课本中|原书(?=[中里的指提写给])|如(?:源材料|源文|原文)所(?:述|示|说|写)|根据(?:源材料|源文|原文|教材|课本|原书)|源中(?=对此|有|提到|描述|给出)"
+NARRATION = "|".join([
+    "源材料",
+    "源文档",
+    "源文本",
+    "源文(?=[中里所的提指写给说表最])",
+    "原文(?=[中里所的提指写给说表最明])",
+    "文档中(?=对此|有|的描述|描述|提到|给出|写道|指出|说明)",
+    "书中(?=提到|描述|写道|指出|给出|有清晰|清晰)",
+    "教材中",
+    "课本中",
+    "原书(?=[中里的指提写给])",
+    "如(?:源材料|源文|原文)所(?:述|示|说|写)",
+    "根据(?:源材料|源文|原文|教材|课本|原书)",
+    "源中(?=对此|有|提到|描述|给出)",
+])
 RESERVED_NAMES = ["con", "prn", "aux", "nul", *(f"com{i}" for i in range(1, 10)), *(f"lpt{i}" for i in range(1, 10))]
 JSON_ESCAPE = r"\\(?![\"\\/bfnrtu])"
 
@@ -222,10 +236,30 @@ def path_segment(name: Column, fallback: str = "item", most: int = 80) -> Column
     return F.when((fits == "") | F.lower(fits).isin(RESERVED_NAMES), F.concat(F.lit(f"{fallback}-"), digest)).otherwise(fits)
 
 
+#: Fixed value: how long a passage in round brackets may be to be told as a whole.
+LONGEST_ASIDE = 600
+
+
 def narrations(text: Column) -> Column:
-    """Sentences that speak of the document they were made from, each once."""
-    sentences = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("[^。！？；\n（）]+[。！？]?"), F.lit(0))
-    return F.array_distinct(F.filter(F.transform(sentences, lambda s: F.trim(s)), lambda s: s.rlike(NARRATION)))
+    """What speaks of the document it was made from, each once: the aside （…） around it, else its sentence from the last mark on.
+
+    Each is a piece of the text as it stands, so that a repair finds it.
+    """
+    from folio.functions.markup import places
+
+    def span(found: Column) -> Column:
+        before, end = F.substring(text, F.lit(1), found["start"]), found["start"] + found["size"]
+        back = F.reverse(before)
+        opened, shut = F.instr(back, "（"), F.instr(back, "）")
+        begin, close = found["start"] - opened, F.call_function("locate", F.lit("）"), text, end + 1) - 1
+        aside = (opened > 0) & ((shut == 0) | (shut > opened)) & (close >= 0) & (close - begin <= LONGEST_ASIDE)
+        left = F.regexp_replace(F.regexp_extract(before, "[^。！？\\n；（）]*\\z", 0), r"^[ \t]+", "")
+        right = F.regexp_extract(F.substring(text, end + 1, F.length(text)), "\\A[^。！？\\n]*[。！？\\n]?", 0)
+        sentence = F.concat(left, F.substring(text, found["start"] + 1, found["size"]), right)
+        return F.regexp_replace(F.when(aside, F.substring(text, begin + 1, close - begin + 1)).otherwise(sentence), r"(?U)^\s+|\s+$", "")
+
+    found = F.transform(places(text, F.lit(NARRATION)), span)
+    return F.when(text.isNull(), F.array().cast("array<string>")).otherwise(F.array_distinct(F.filter(found, lambda s: s != "")))
 
 
 def same_segment(segment: Column, raw: Column) -> Column:

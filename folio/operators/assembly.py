@@ -159,15 +159,3 @@ def cited_sources(sources: DataFrame, text: DataFrame, pages: DataFrame, answer:
     cited = sources.join(text, answer).where(F.array_contains("refs", F.col("ref"))).groupBy(answer, "ref").agg(F.min("place").alias("place"))
     linked = text.select(answer, F.explode(F.array_distinct("slugs")).alias("slug")).join(pages.select("slug").distinct(), "slug")
     return cited.select(answer, "ref", F.lit("source").alias("kind")).unionByName(linked.select(answer, F.concat(F.lit("page:"), "slug").alias("ref"), F.lit("page").alias("kind")))
-
-
-def exam_pools(questions: DataFrame, concepts: DataFrame, source: str) -> DataFrame:
-    """``questions`` (question, concepts, is_exam) of exams with the chapter that shares most concepts, the first of equal ones, else 'unmapped'.
-
-    ``concepts``: chapter_id, number, concept. Names count by their keys.
-    """
-    own = questions.where("is_exam").select(source, "question", F.explode_outer("concepts").alias("concept")).select(source, "question", T.concept_key(F.col("concept")).alias("key")).distinct()
-    known = concepts.select("chapter_id", "number", T.concept_key(F.col("concept")).alias("key")).distinct()
-    shared = own.join(known, "key").groupBy(source, "question", "chapter_id", "number").agg(F.count("*").alias("n"))
-    best = shared.groupBy(source, "question").agg(F.min(F.struct(-F.col("n"), "number", "chapter_id")).alias("best"))
-    return own.select(source, "question").distinct().join(best, [source, "question"], "left").select(source, "question", F.coalesce("best.chapter_id", F.lit("unmapped")).alias("chapter_id"))

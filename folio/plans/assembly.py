@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from folio.functions import text as T
 from folio.operators import assembly as A
+from folio.operators import concepts as K
 from folio.plans.markup import made
 from folio.plans.registry import query
 from folio.session import table
@@ -21,11 +22,18 @@ def _(spark, sf):
     return table(spark, sf, "pages").select("page_id", T.path_segment(name).alias("slug"))
 
 
-@query("PF08_narrations", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN '教材中说' || lang || '。|根据原文 ' || source ELSE '' END AS found FROM documents")
+@query("PF08_narrations", """
+SELECT p_partkey, CASE p_size % 5 WHEN 0 THEN '教材中说' || p_brand || '。|根据原文 ' || p_name WHEN 1 THEN '根据原文甲（乙）' || p_name || '。' WHEN 2 THEN '（见源材料第' || p_size || '页；另见' || p_brand || '）' WHEN 3 THEN '源文中有' || p_name || '）。' ELSE '' END AS found FROM part""")
 def _(spark, sf):
-    rows = made(spark, sf, "documents", "doc_id", "普通的话" , "@lang", "。")
-    told = F.when(C("doc_id") % 2 == 0, F.concat(L("教材中说"), "lang", L("。"), L("普通的话。教材中说"), "lang", L("。\n根据原文 "), "source")).otherwise(F.concat(L("原文没有"), "lang", L("。")))
-    return rows.join(table(spark, sf, "documents").select("doc_id", told.alias("told")), "doc_id").select("doc_id", F.array_join(T.narrations(F.concat("body", "told")), "|").alias("found"))
+    k = C("p_size") % 5
+    told = (
+        F.when(k == 0, F.concat(L("教材中说"), "p_brand", L("。普通的话。教材中说"), "p_brand", L("。\n \t根据原文 "), "p_name"))
+        .when(k == 1, F.concat(L("电压很大；根据原文甲（乙）"), "p_name", L("。后面")))
+        .when(k == 2, F.concat(L("前（见源材料第"), "p_size", L("页；另见"), "p_brand", L("）后。")))
+        .when(k == 3, F.concat(L("（"), F.repeat(L("长"), 600), L("；源文中有"), "p_name", L("）。")))
+        .otherwise(F.concat(L("原文没有"), "p_brand", L("。")))
+    )
+    return table(spark, sf, "part").select("p_partkey", F.array_join(T.narrations(told), "|").alias("found"))
 
 
 @query("PF17_same_segment", "SELECT page_id, TRUE AS plain, TRUE AS encoded, FALSE AS other FROM pages")
@@ -227,9 +235,12 @@ def _(spark, sf):
 
 
 @query("CH20_exam_pools", """
-SELECT p_partkey, p_name AS question, CASE WHEN p_size <= 20 THEN 'c' || lpad(CAST(p_size AS VARCHAR), 2, '0') ELSE 'unmapped' END AS chapter_id FROM part WHERE p_size % 2 = 0""")
+SELECT p_partkey, p_name AS question, CASE WHEN p_size <= 20 AND p_size % 4 <> 2 THEN 'c' || lpad(CAST(p_size AS VARCHAR), 2, '0') ELSE '_unmapped' END AS chapter_id FROM part WHERE p_size % 2 = 0""")
 def _(spark, sf):
-    questions = table(spark, sf, "part").select("p_partkey", C("p_name").alias("question"), F.array(F.concat(L("Topic "), "p_size"), F.concat(L("topic-"), "p_size"), L("common")).alias("concepts"), (C("p_size") % 2 == 0).alias("is_exam"))
+    """Names count stripped and without case; "topic-8" is not "topic 8"."""
+    topic = F.when(C("p_size") % 4 == 2, F.concat(L("topic-"), "p_size")).otherwise(F.concat(L(" Topic "), "p_size", L(" ")))
+    questions = table(spark, sf, "part").select("p_partkey", C("p_name").alias("question"), F.array(topic, L("common")).alias("concepts"), (C("p_size") % 2 == 0).alias("is_exam"))
     number = F.col("id").cast("int")
-    chapters = spark.range(1, 21).select(F.concat(L("c"), F.lpad(number.cast("string"), 2, "0")).alias("chapter_id"), number.alias("number"), F.concat(L("TOPIC_"), number.cast("string")).alias("concept"))
-    return A.exam_pools(questions, chapters, "p_partkey")
+    chapters = spark.range(1, 21).select(F.concat(L("c"), F.lpad(number.cast("string"), 2, "0")).alias("chapter_id"), number.alias("ord"), F.array(F.concat(L("TOPIC "), number.cast("string")), L("other")).alias("concepts"))
+    pools = K.exam_pools(questions.where("is_exam"), "p_partkey", C("concepts"), chapters)
+    return pools.join(questions.select("p_partkey", "question"), "p_partkey")
