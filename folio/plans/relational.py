@@ -86,22 +86,6 @@ def _(spark, sf):
     return joined.select("l_orderkey", "l_linenumber", F.least(F.greatest(F.coalesce("earned", F.lit(0.0)) * 100, F.lit(0.0)), "l_quantity").alias("earned"))
 
 
-@query("JN18_patches", """
-SELECT p.doc_id, coalesce(d.lang, '') AS lang, CASE WHEN d.doc_id IS NULL THEN 'unknown block' ELSE '' END AS warning FROM (SELECT doc_id * 2 AS doc_id FROM labels) p LEFT JOIN documents d ON p.doc_id = d.doc_id""")
-def _(spark, sf):
-    patches = table(spark, sf, "labels").select((C("doc_id") * 2).alias("doc_id"))
-    blocks = table(spark, sf, "documents").select("doc_id", "lang", F.lit(True).alias("known"))
-    return patches.join(blocks, "doc_id", "left").select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), F.when(C("known").isNull(), "unknown block").otherwise("").alias("warning"))
-
-
-@query("JN19_continued_tables", """
-WITH t AS (SELECT conv_id, turn, role, lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS after FROM conversations)
-SELECT conv_id, turn, role, after FROM t WHERE role = after""")
-def _(spark, sf):
-    by = Window.partitionBy("conv_id").orderBy("turn")
-    return table(spark, sf, "conversations").select("conv_id", "turn", "role", F.lead("role").over(by).alias("after")).where("role = after")
-
-
 @query("AG01_page_text", "SELECT conv_id, string_agg(text, chr(10) || chr(10) ORDER BY turn) AS body FROM conversations GROUP BY conv_id")
 def _(spark, sf):
     return R.group_text(table(spark, sf, "conversations"), "conv_id", "text", "turn")
