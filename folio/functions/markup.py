@@ -311,7 +311,14 @@ def concept_links(text: Column, terms: Column, suppressed: Column) -> Column:
     text = _text(text)
     prose = masked(text, f"{FENCE}|{PROSE_GUARD}")
     near = F.filter(terms, lambda t: F.contains(F.lower(prose), F.lower(t["term"])))
-    found = F.flatten(F.transform(near, lambda t: F.transform(places(prose, quoted(t["term"])), lambda p: F.struct(p["start"].alias("start"), (-p["size"]).alias("order"), t["canonical"].alias("canonical"), t.alias("of")))))
+    return linked_at(text, F.flatten(F.transform(near, lambda t: F.transform(places(prose, quoted(t["term"])), lambda p: F.struct(p["start"].alias("start"), (-p["size"]).alias("order"), t["canonical"].alias("canonical"), t.alias("of"))))), suppressed)
+
+
+def linked_at(text: Column, found: Column, suppressed: Column) -> Column:
+    """A text with links at the mentions ``found``: (start, order: minus the size, canonical, of: href, title, summary).
+
+    From left to right, of mentions that begin at one place the longest; a concept is linked once.
+    """
     start = F.struct(F.lit(0).alias("end"), F.coalesce(suppressed, F.array()).cast("array<string>").alias("linked"), F.lit("").alias("text"))
 
     def step(acc: Column, m: Column) -> Column:

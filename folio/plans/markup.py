@@ -8,6 +8,7 @@ from folio.functions import markup as M
 from folio.functions import maths
 from folio.functions import text as T
 from folio.operators import items as I
+from folio.operators import linking
 from folio.plans.registry import query
 from folio.session import table
 
@@ -235,6 +236,16 @@ def _(spark, sf):
     return table(spark, sf, "documents").select("doc_id", M.concept_links(prose, terms, F.array(L("OTHER"))).alias("linked"))
 
 
+@query("FN28_links_of_many_terms", r"""SELECT doc_id, '## the heading' || chr(10) || '`the` $the$ ' || regexp_replace(regexp_replace(text, '[^A-Za-z]+', ' ', 'g'), '(?i)(^|[^A-Za-z0-9_])(the)([^A-Za-z0-9_]|$)', '\1<PreviewLink href={"/c/the"} title={"The"} summary={"s"}>\2</PreviewLink>\3') AS linked FROM documents""")
+def _(spark, sf):
+    """Ten thousand terms that stand nowhere, and one that stands in most texts."""
+    prose = F.concat(L("## the heading\n`the` $the$ "), F.regexp_replace("text", "[^A-Za-z]+", " "))
+    shown = lambda term, href, title, summary: F.struct(term.alias("term"), F.upper(term).alias("canonical"), L(href).alias("href"), L(title).alias("title"), L(summary).alias("summary"))
+    number = F.col("id").cast("string")
+    terms = spark.range(10_001).select(F.when(F.col("id") == 0, shown(L("the"), "/c/the", "The", "s")).otherwise(shown(F.concat(L("zzzz never "), number), "/c/z", "Z", "z")).alias("t")).select("t.*")
+    return linking.linked(table(spark, sf, "documents").select("doc_id", prose.alias("linked")), "doc_id", "linked", terms)
+
+
 @query("FN21_normalised_maths", r"""
 SELECT p_partkey, 'of ' || p_name || CASE p_size % 4 WHEN 0 THEN chr(10) || chr(10) || '$$' || chr(10) || 'x_' || p_size || chr(10) || '$$' || chr(10) || chr(10) || ' end'
   WHEN 1 THEN ' $\tag{3} \text{' || p_brand || '}\theta \mathbf{x}$ ③ `$③$`' WHEN 2 THEN ' $a \\[4pt]' || chr(10) || 'b$ \left| ' ELSE ' q={"\(' || p_type || '\)"} $\left\vert x$' END AS body FROM part""")

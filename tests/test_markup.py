@@ -3,6 +3,7 @@ import re
 
 from folio.functions import markup as M
 from folio.operators import assembly as A
+from folio.operators import linking
 from pyspark.sql import functions as F
 
 NAMES = ["term", "canonical", "href", "title", "summary"]
@@ -37,6 +38,10 @@ def test_links_of_overlapping_and_repeated_terms(spark):
     got = {r.i: r.linked for r in frame.select("i", M.concept_links(F.col("text"), column, F.array()).alias("linked")).collect()}
     short = lambda t: re.sub(r'<PreviewLink href=\{"([^"]*)"\}[^>]*>([^<]*)</PreviewLink>', r"<\1|\2>", t)
     assert [short(got[i]) for i in range(60)] == [linked(t, terms) for t in texts]
+    table = spark.createDataFrame([(t, c, c, c, c) for t, c in terms], ", ".join(f"{n} string" for n in NAMES))
+    for most in (100, 2):  # one automaton, and several
+        many = {r.i: r.text for r in linking.linked(frame, "i", "text", table, most=most).collect()}
+        assert many == got
 
 
 def test_links_keep_out_of_code_headings_formulas_and_quizzes(spark):
@@ -59,3 +64,15 @@ def test_slugs_where_a_numbered_title_is_taken(spark):
     rows = spark.createDataFrame([("b", i, t) for i, t in enumerate(titles)], "book string, place int, title string")
     got = {r.place: r.slug for r in A.slugs_of(rows, "book", "place", "title").collect()}
     assert [got[i] for i in range(6)] == ["x-2", "x", "X-3", "x-4", "appendix-2", "x-2-2"]
+
+
+def test_signs_cases_and_bounds_of_many_terms(spark):
+    """The automaton finds what the patterns find: signs, letters beyond A-Z, digits, terms inside words."""
+    terms = ["C++", "é", "École", "电磁", "a b", "x1", "_y", "$", "Ab"]
+    texts = ["C++ c++ xC++ C++y", "é É école ÉCOLE cole École", "电磁感应 x电磁x", "A B a  b a bc", "x1 X1 x12 _x1", "_y z_y _Y", "ab AB aB cab", "", None, "`ab` # ab\n# ab\nab $ab$"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    column = F.array(*(F.struct(*(F.lit(t).alias(n) for n in NAMES)) for t in terms))
+    want = {r.i: r.t for r in frame.where("text IS NOT NULL").select("i", M.concept_links(F.col("text"), column, F.array()).alias("t")).collect()}
+    table = spark.createDataFrame([(t,) * 5 for t in terms], ", ".join(f"{n} string" for n in NAMES))
+    got = {r.i: r.text for r in linking.linked(frame, "i", "text", table).collect()}
+    assert got == want | {8: None}
