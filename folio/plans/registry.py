@@ -24,7 +24,7 @@ def query(name: str, sql: str | None = None):
 
 
 def _load() -> None:
-    from folio.plans import assembly, concepts, drafts, layout, markup, more, nested, quality, quizzes, relational, retrieval, scalar, split  # noqa: F401
+    from folio.plans import assembly, concepts, drafts, layout, markup, more, nested, quality, quizzes, relational, restore, retrieval, scalar, split  # noqa: F401
 
 
 def queries() -> dict:
