@@ -3,29 +3,21 @@
 from __future__ import annotations
 
 import contextlib
-import re
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folio.session import shared_folder
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; one of our own only where it is unset."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    given = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if given.isDefined():
-        return re.sub("^file:/(?!/)", "file:///", given.get().rstrip("/"))
-    own = f"file://{tempfile.mkdtemp(prefix='folio-shared-')}"
-    spark.sparkContext.setCheckpointDir(own)
-    return own
+    """The folder that driver and executors share; an error off a local master where ``spark.checkpoint.dir`` is unset."""
+    return shared_folder(spark)
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
