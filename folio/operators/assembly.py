@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,26 +20,51 @@ EDIT_FIELDS = {
 ALL_FIELDS = ["canonical", "aliases", "alias", "from_canonical", "to_canonical", "winner", "loser", "into"]
 
 
-def unique_slugs(titles: Column, reserved: list[str]) -> Column:
-    """Slugs of a book's titles in order: -2, -3 … where a slug is taken, whatever its case.
+#: What slugs that can meet have in common: all but the numbers at the end.
+FAMILY = r"(?:-\d+)+\z"
 
-    ``titles`` is an array of slugs, one for each chapter of one book: as long as a table of contents.
-    """
-    start = F.struct(F.array(*map(F.lit, [r.lower() for r in reserved])).cast("array<string>").alias("used"), F.array().cast("array<string>").alias("slugs"))
 
-    def step(acc: Column, base: Column) -> Column:
-        tries = F.concat(F.array(base), F.transform(F.sequence(F.lit(2), F.size(acc["used"]) + 2), lambda n: F.concat(base, F.lit("-"), n.cast("string"))))
-        free = F.get(F.filter(tries, lambda t: ~F.array_contains(acc["used"], F.lower(t))), F.lit(0))
-        return F.struct(F.array_append(acc["used"], F.lower(free)).alias("used"), F.array_append(acc["slugs"], free).alias("slugs"))
+def _numbered(rows: DataFrame, taken: DataFrame, book: str, place: str) -> DataFrame:
+    """(book, place, slug) for (book, place, base): -2, -3 … where a slug is taken, whatever its case, in order.
 
-    return F.aggregate(titles, start, step, lambda acc: acc["slugs"])
+    ``taken``: (book, slug) that are not to be had. Slugs meet within their family only. A family whose slugs are all
+    one is numbered by a window; one with numbers of its own, or with more taken than its own name, is gone through once,
+    by a task of its own.
+    """
+    family = lambda c: F.lower(F.regexp_replace(c, FAMILY, ""))
+    given = rows.select(book, place, "base", family(F.col("base")).alias("family"))
+    held = taken.select(book, F.lower("slug").alias("slug")).distinct().withColumn("family", family(F.col("slug"))).groupBy(book, "family").agg(F.collect_set("slug").alias("used"))
+    own = given.groupBy(book, "family").agg(F.max((F.lower("base") != F.col("family")).cast("int")).alias("numbers"))
+    kinds = own.join(held, [book, "family"], "left")
+    plain = (F.col("numbers") == 0) & (F.col("used").isNull() | ((F.size("used") == 1) & (F.get("used", F.lit(0)) == F.col("family"))))
+    told = given.join(kinds.select(book, "family", "used", plain.alias("plain")), [book, "family"])
+    number = F.row_number().over(Window.partitionBy(book, "family").orderBy(place)) + F.when(F.col("used").isNull(), 0).otherwise(1)
+    by_window = told.where("plain").select(book, place, "base", number.alias("n")).select(book, place, F.when(F.col("n") == 1, F.col("base")).otherwise(F.concat("base", F.lit("-"), F.col("n").cast("string"))).alias("slug"))
+
+    def through(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(place)
+        used = set(part["used"].iat[0] if part["used"].iat[0] is not None else ())
+        after: dict[str, int] = {}
+        slugs = []
+        for base in part["base"]:
+            slug, n = base, after.get(base.lower(), 2)
+            while slug.lower() in used:
+                slug, n = f"{base}-{n}", n + 1
+            after[base.lower()] = n
+            used.add(slug.lower())
+            slugs.append(slug)
+        return part[[book, place]].assign(slug=slugs)
+
+    kind = {f.name: f.dataType.simpleString() for f in rows.schema}
+    mended = told.where("NOT plain").select(book, place, "base", "family", "used").groupBy(book, "family").applyInPandas(through, f"`{book}` {kind[book]}, `{place}` {kind[place]}, slug string")
+    return by_window.unionByName(mended)
 
 
 def slugs_of(chapters: DataFrame, book: str, place: str, title: str, reserved: list[str] | None = None) -> DataFrame:
     """(book, place, slug) of each chapter, unique within its book."""
-    rows = chapters.groupBy(book).agg(F.array_sort(F.collect_list(F.struct(F.col(place).alias("place"), T.path_segment(F.col(title), "chapter").alias("base")))).alias("all"))
-    named = rows.withColumn("slugs", unique_slugs(F.transform("all", lambda c: c["base"]), reserved or ["appendix"]))
-    return named.select(book, F.explode(F.arrays_zip(F.transform("all", lambda c: c["place"]).alias("place"), F.col("slugs").alias("slug"))).alias("one")).select(book, F.col("one.place").alias(place), "one.slug")
+    taken = F.explode(F.array(*map(F.lit, reserved or ["appendix"])))
+    rows = chapters.select(book, place, T.path_segment(F.col(title), "chapter").alias("base"))
+    return _numbered(rows, chapters.select(book).distinct().select(book, taken.alias("slug")), book, place)
 
 
 def pinned_slugs(chapters: DataFrame, registry: DataFrame, book: str, place: str) -> DataFrame:
@@ -48,20 +74,9 @@ def pinned_slugs(chapters: DataFrame, registry: DataFrame, book: str, place: str
     """
     first = Window.partitionBy(book, F.lower("pin")).orderBy(place)
     rows = chapters.join(registry, [book, "print"], "left").withColumn("holds", F.col("pin").isNotNull() & (F.row_number().over(first) == 1))
-    whole = rows.groupBy(book).agg(
-        F.array_sort(F.collect_list(F.when(~F.col("holds"), F.struct(F.col(place).alias("place"), F.col("slug").alias("slug"))))).alias("fresh"),
-        F.collect_list(F.when(F.col("holds"), F.lower("pin"))).alias("pins"),
-    )
-    start = F.struct(F.array_append("pins", F.lit("appendix")).alias("used"), F.array().cast("array<string>").alias("slugs"))
-
-    def step(acc: Column, c: Column) -> Column:
-        tries = F.concat(F.array(c["slug"]), F.transform(F.sequence(F.lit(2), F.size(acc["used"]) + 2), lambda n: F.concat(c["slug"], F.lit("-"), n.cast("string"))))
-        free = F.get(F.filter(tries, lambda t: ~F.array_contains(acc["used"], F.lower(t))), F.lit(0))
-        return F.struct(F.array_append(acc["used"], F.lower(free)).alias("used"), F.array_append(acc["slugs"], free).alias("slugs"))
-
-    named = whole.withColumn("slugs", F.aggregate("fresh", start, step, lambda acc: acc["slugs"]))
-    fresh = named.select(book, F.explode(F.arrays_zip(F.transform("fresh", lambda c: c["place"]).alias("place"), F.col("slugs").alias("slug"))).alias("one")).select(book, F.col("one.place").alias(place), "one.slug")
-    return rows.where("holds").select(book, place, F.col("pin").alias("slug")).unionByName(fresh)
+    held = rows.where("holds").select(book, place, F.col("pin").alias("slug"))
+    taken = held.select(book, "slug").unionByName(chapters.select(book).distinct().withColumn("slug", F.lit("appendix")))
+    return held.unionByName(_numbered(rows.where("NOT holds").select(book, place, F.col("slug").alias("base")), taken, book, place))
 
 
 def file_stems(names: DataFrame, group: str, place: str, name: str) -> DataFrame:

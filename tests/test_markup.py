@@ -76,3 +76,36 @@ def test_signs_cases_and_bounds_of_many_terms(spark):
     table = spark.createDataFrame([(t,) * 5 for t in terms], ", ".join(f"{n} string" for n in NAMES))
     got = {r.i: r.text for r in linking.linked(frame, "i", "text", table).collect()}
     assert got == want | {8: None}
+
+
+def test_slugs_of_random_titles_against_a_loop(spark):
+    """Numbers that titles have themselves, the reserved one, pins: each slug is the first that is free."""
+    rng = random.Random(4)
+    rows = [(f"b{i % 8}", i, rng.choice(["Intro", "intro", "Intro 2", "intro-2-2", "Appendix", "appendix-2", "Part", "x", "X-3"])) for i in range(240)]
+    got = {(r.book, r.place): r.slug for r in A.slugs_of(spark.createDataFrame(rows, "book string, place int, title string"), "book", "place", "title").collect()}
+    pins = [(f"b{k}", f"p{k * 10 + j}", rng.choice(["Intro-2", "part", "x-3", "other"])) for k in range(8) for j in range(3)]
+    chapters = [(b, i, f"p{rng.randrange(80)}", t.replace(" ", "-")) for b, i, t in rows]
+    schema = "book string, place int, print string, slug string"
+    made = {(r.book, r.place): r.slug for r in A.pinned_slugs(spark.createDataFrame(chapters, schema), spark.createDataFrame(pins, "book string, print string, pin string"), "book", "place").collect()}
+
+    def free(base, used):
+        slug, n = base, 2
+        while slug.lower() in used:
+            slug, n = f"{base}-{n}", n + 1
+        used.add(slug.lower())
+        return slug
+
+    for book in {b for b, _, _ in rows}:
+        used = {"appendix"}
+        for b, i, title in rows:
+            if b == book:
+                assert got[b, i] == free(title.replace(" ", "-"), used), (title, used)
+        pinned = {p: pin for b, p, pin in pins if b == book}
+        used, hold = {"appendix"}, {}
+        for b, i, p, _ in chapters:
+            if b == book and p in pinned and pinned[p].lower() not in {h.lower() for h in hold.values()}:
+                hold[i] = pinned[p]
+        used |= {h.lower() for h in hold.values()}
+        for b, i, _, slug in chapters:
+            if b == book:
+                assert made[b, i] == (hold[i] if i in hold else free(slug, used))
