@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,6 +16,11 @@ STOP_WORDS = ["and", "the", "with", "from", "chapter", "search"]
 CJK = r"[\x{2E80}-\x{9FFF}\x{AC00}-\x{D7AF}\x{F900}-\x{FAFF}\x{FF00}-\x{FFEF}]"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often ``body`` names it: lambdas share no common expressions."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def concept_key(name: Column) -> Column:
     """Letters and digits of a name without their case; '' for names without any."""
     return F.regexp_replace(F.translate(F.replace(F.lower(name), F.lit("ß"), F.lit("ss")), "ς", "σ"), r"[^\p{L}\p{N}]+", "")
@@ -247,19 +256,24 @@ def narrations(text: Column) -> Column:
     """
     from folio.functions.markup import places
 
-    def span(found: Column) -> Column:
-        before, end = F.substring(text, F.lit(1), found["start"]), found["start"] + found["size"]
-        back = F.reverse(before)
+    def span(text: Column, found: Column, back: Column) -> Column:
+        end = found["start"] + found["size"]
         opened, shut = F.instr(back, "（"), F.instr(back, "）")
-        begin, close = found["start"] - opened, F.call_function("locate", F.lit("）"), text, end + 1) - 1
-        aside = (opened > 0) & ((shut == 0) | (shut > opened)) & (close >= 0) & (close - begin <= LONGEST_ASIDE)
-        left = F.regexp_replace(F.regexp_extract(before, "[^。！？\\n；（）]*\\z", 0), r"^[ \t]+", "")
+        begin = found["start"] - opened
+        # An aside is no longer than LONGEST_ASIDE, so its end is sought no farther.
+        close = end + F.instr(F.substring(text, end + 1, F.greatest(F.lit(0), begin + LONGEST_ASIDE + 1 - end)), "）") - 1
+        aside = (opened > 0) & ((shut == 0) | (shut > opened)) & (close >= end)
+        # The text before is read backwards: a pattern that must end at its end would be tried from each of its places.
+        left = F.regexp_replace(F.reverse(F.regexp_extract(back, "\\A[^。！？\\n；（）]*", 0)), r"^[ \t]+", "")
         right = F.regexp_extract(F.substring(text, end + 1, F.length(text)), "\\A[^。！？\\n]*[。！？\\n]?", 0)
         sentence = F.concat(left, F.substring(text, found["start"] + 1, found["size"]), right)
         return F.regexp_replace(F.when(aside, F.substring(text, begin + 1, close - begin + 1)).otherwise(sentence), r"(?U)^\s+|\s+$", "")
 
-    found = F.transform(places(text, F.lit(NARRATION)), span)
-    return F.when(text.isNull(), F.array().cast("array<string>")).otherwise(F.array_distinct(F.filter(found, lambda s: s != "")))
+    def told(text: Column) -> Column:
+        here = lambda f: let(F.reverse(F.substring(text, F.lit(1), f["start"])), lambda back: span(text, f, back))
+        return F.array_distinct(F.filter(F.transform(places(text, F.lit(NARRATION)), here), lambda s: s != ""))
+
+    return F.when(text.isNull(), F.array().cast("array<string>")).otherwise(let(text, told))
 
 
 def same_segment(segment: Column, raw: Column) -> Column:
