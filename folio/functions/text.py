@@ -300,6 +300,43 @@ def within_budget(text: Column, tokens: Column) -> Column:
 FUZZY_BITS, CONTEXT, FUZZY_REACH = 32, 32, 500
 
 
+#: Rows whose windows are read side by side.
+FUZZY_ROWS = 2048
+
+
+def _read_backward(texts: list[str], patterns: list[str], near: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """``fuzzy_place`` of some rows with windows ``texts`` that start at ``begin``; -1 without any. One word a row and number of errors."""
+    n = len(texts)
+    sizes, lengths = np.array([len(p) for p in patterns]), np.array([len(t) for t in texts])
+    points = lambda t: np.frombuffer(t.encode("utf-32-le"), np.uint32)[::-1]
+    signs, backward = np.full((max(lengths.max(), 1), n), 0xFFFFFFFE, np.uint32), np.full((sizes.max(), n), 0xFFFFFFFF, np.uint32)
+    for i, (t, p) in enumerate(zip(texts, patterns)):
+        signs[: len(t), i], backward[: len(p), i] = points(t), points(p)
+    masks = np.zeros(signs.shape, np.uint64)
+    for i, p in enumerate(backward):
+        masks |= (signs == p).astype(np.uint64) << np.uint64(i)
+    one, most = np.uint64(1), sizes // 2
+    words = np.repeat(((one << np.arange(most.max() + 1, dtype=np.uint64)) - one)[:, None], n, 1)
+    top, all_rows = one << (sizes - 1).astype(np.uint64), np.arange(n)
+    # In order: cost, then more errors, then the first place; one number for all three.
+    best, none = np.full(n, np.iinfo(np.int64).max), np.iinfo(np.int64).max
+    for j in range(lengths.max()):
+        ahead = words << one | one
+        new = ahead & masks[j]
+        new[1:] |= words[:-1] | ahead[:-1]
+        for d in range(1, len(new)):
+            new[d] |= new[d - 1] << one | one
+        words = new
+        rows = np.flatnonzero((words[most, all_rows] & top != 0) & (j < lengths))
+        if len(rows):
+            errors = (words[:, rows] & top[rows] != 0).argmax(0)
+            at = lengths[rows] - 1 - j
+            cost = errors * 1000 + np.abs(begin[rows] + at - near[rows]) * sizes[rows]
+            told = (cost * 64 + (63 - errors)) << 20 | at
+            best[rows] = np.minimum(best[rows], np.where(cost <= 500 * sizes[rows], told, none))
+    return np.where(best == none, -1, begin + (best & (1 << 20) - 1))
+
+
 def fuzzy_place(text: Column, pattern: Column, near: Column) -> Column:
     """Where a text has a pattern of at most ``FUZZY_BITS`` characters with the fewest errors, near a place; null without any.
 
@@ -307,43 +344,24 @@ def fuzzy_place(text: Column, pattern: Column, near: Column) -> Column:
     far begins with. The text is read from right to left, so a full word is a place where the pattern begins. An error
     costs 1000 / length, a character of distance 1, and places up to half the cost of a pattern of errors count; so the
     window around ``near`` and the number of words are bounded, whatever the text. The lowest cost wins, of equal ones
-    that with more errors, then the first.
+    that with more errors, then the first. Batches of rows are read side by side, a sign of each at a time; rows without
+    a pattern cost nothing.
     """
     size, near = F.length(pattern), F.greatest(F.lit(0), F.least(near, F.length(text)))
-    most = F.floor(size / 2).cast("int")
     begin = F.greatest(F.lit(0), near - FUZZY_REACH)
-    end = F.least(F.length(text), near + FUZZY_REACH + size + most)
-    signs = F.filter(F.split(F.reverse(F.substring(text, begin + 1, end - begin)), ""), lambda c: c != "")
-    backward = F.filter(F.split(F.reverse(pattern), ""), lambda c: c != "")
-    bit = lambda i: F.call_function("shiftleft", F.lit(1).cast("long"), i.cast("int"))
-    masks = F.map_from_entries(F.transform(F.array_distinct(backward), lambda c: F.struct(c, F.aggregate(F.transform(backward, lambda p, i: F.when(p == c, bit(i)).otherwise(F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda x, y: x + y))))
-    first = F.transform(F.sequence(F.lit(0), most), lambda d: bit(d) - 1)
-    shifted = lambda word: F.shiftleft(word, 1).bitwiseOR(F.lit(1).cast("long"))
-
-    def read(acc: Column, c: Column) -> Column:
-        mask = F.coalesce(F.try_element_at(acc["masks"], c), F.lit(0).cast("long"))
-
-        def level(done: Column, old: Column) -> Column:
-            exact = shifted(old).bitwiseAND(mask)
-            last = F.element_at(done["new"], -1)
-            word = F.when(F.size(done["new"]) == 0, exact).otherwise(exact.bitwiseOR(done["old"]).bitwiseOR(shifted(done["old"])).bitwiseOR(shifted(last)))
-            return F.struct(F.array_append(done["new"], word).alias("new"), old.alias("old"))
-
-        words = F.aggregate(acc["words"], F.struct(F.array().cast("array<bigint>").alias("new"), F.lit(0).cast("long").alias("old")), level, lambda done: done["new"])
-        at = acc["at"] - 1
-        return F.struct(acc["masks"].alias("masks"), words.alias("words"), at.alias("at"), _cheaper(acc["best"], words, at).alias("best"))
-
-    def _cheaper(best: Column, words: Column, at: Column) -> Column:
-        # The last word is full wherever any is; most places end here.
-        errors = F.size(F.filter(words, lambda w: w.bitwiseAND(bit(size - 1)) == 0))
-        cost = errors * 1000 + F.abs(at - near) * size
-        found = F.struct(cost.alias("cost"), (-errors).alias("errors"), at.alias("at"))
-        fits = (F.element_at(words, -1).bitwiseAND(bit(size - 1)) != 0) & (cost <= 500 * size)
-        return F.when(fits & (best.isNull() | (found < best)), found).otherwise(best)
-
-    none = F.lit(None).cast("struct<cost:int,errors:int,at:int>")
-    start = F.struct(masks.alias("masks"), first.alias("words"), end.cast("int").alias("at"), none.alias("best"))
-    return F.when(size > 0, F.aggregate(signs, start, read, lambda acc: acc["best"]["at"]))
+    end = F.least(F.length(text), near + FUZZY_REACH + size + F.floor(size / 2).cast("int"))
+
+    @F.pandas_udf("int")
+    def found(window: pd.Series, pattern: pd.Series, near: pd.Series, begin: pd.Series) -> pd.Series:
+        out = np.full(len(window), -1)
+        rows = np.flatnonzero((window.notna() & pattern.notna()).to_numpy())
+        for i in range(0, len(rows), FUZZY_ROWS):
+            some = rows[i : i + FUZZY_ROWS]
+            out[some] = _read_backward(window.iloc[some].tolist(), pattern.iloc[some].tolist(), near.iloc[some].to_numpy(np.int64), begin.iloc[some].to_numpy(np.int64))
+        return pd.Series(out, dtype="Int64").where(out >= 0)
+
+    wanted = lambda c: F.when(size > 0, c)
+    return found(wanted(F.substring(text, begin + 1, end - begin)), wanted(pattern), near, begin)
 
 
 def _in_common(a: Column, b: Column) -> Column:
@@ -363,8 +381,11 @@ def anchored(text: Column, quote: Column, start: Column, prefix: Column | None =
     nearest = F.get(F.array_sort(F.transform(ends, lambda at: F.struct((-context(at)).alias("context"), F.abs(at - start).alias("far"), at.alias("at")))), F.lit(0))["at"]
     there = F.regexp_instr(text, loose) - 1
     found = lambda at, n: F.struct(at.cast("int").alias("start"), (at + n).cast("int").alias("end"))
-    head = fuzzy_place(text, F.substring(quote, 1, FUZZY_BITS), start)
-    tail = fuzzy_place(text, F.substring(quote, -FUZZY_BITS, FUZZY_BITS), start + size - FUZZY_BITS)
+    # Errors are counted only where nothing else is left, those of a tail only where the head isn't all.
+    exact = (F.substring(text, start + 1, size) == quote) | F.contains(text, quote) | ((F.trim(quote) != "") & (there >= 0))
+    inexact = lambda part, when: F.when((quote != "") & when & ~exact, part)
+    head = fuzzy_place(text, inexact(F.substring(quote, 1, FUZZY_BITS), F.lit(True)), start)
+    tail = fuzzy_place(text, inexact(F.substring(quote, -FUZZY_BITS, FUZZY_BITS), size > FUZZY_BITS), start + size - FUZZY_BITS)
     upto = F.when(size <= FUZZY_BITS, head + size).otherwise(F.coalesce(tail + FUZZY_BITS, head + size))
     upto = F.least(F.length(text), F.greatest(upto, head + 1))
     return (
