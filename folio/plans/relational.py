@@ -106,7 +106,9 @@ def _(spark, sf):
 
 @query("AG04_ref_registry", "SELECT l_partkey, arg_min(l_shipdate, l_orderkey * 100 + l_linenumber) AS l_shipdate FROM lineitem GROUP BY l_partkey")
 def _(spark, sf):
-    return R.first_writer(table(spark, sf, "lineitem"), "l_partkey", ["l_orderkey", "l_linenumber"], "l_shipdate")
+    """Of rows with one place the first in the file writes."""
+    lines = table(spark, sf, "lineitem").select("l_partkey", "l_shipdate", (C("l_orderkey") * 100 + C("l_linenumber")).alias("place"), C("_metadata.file_path").alias("file"), C("_metadata.row_index").alias("row"))
+    return R.first_writer(lines, "l_partkey", ["place", "file", "row"], "l_shipdate")
 
 
 @query("AG05_coverage", """
