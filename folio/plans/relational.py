@@ -226,7 +226,7 @@ WITH s AS (SELECT user_id, event_id // 40 AS low, event_id // 40 + 2 AS high FRO
 i AS (SELECT *, sum(CASE WHEN before IS NULL OR low > before + 1 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY low, high ROWS UNBOUNDED PRECEDING) AS island FROM p)
 SELECT user_id, min(low) AS low, max(high) AS high, count(*) AS n FROM i GROUP BY user_id, island""")
 def _(spark, sf):
-    low = F.floor(C("event_id") / 40)
+    low = F.expr("event_id DIV 40")  # exact and towards zero, as in SQL
     return R.islands(table(spark, sf, "events"), "user_id", low, low + 2)
 
 
