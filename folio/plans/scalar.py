@@ -59,7 +59,7 @@ _project("PF07_suspicious", "documents", "doc_id", lambda: {"found": F.array_joi
 _project("PF09_exam", "documents", "doc_id", lambda: {"exam": F.lower(F.substring("text", 1, 800)).rlike("rights reserved|licen[sc]e|version [0-9]")}, "SELECT doc_id, regexp_matches(lower(substr(text, 1, 800)), 'rights reserved|licen[sc]e|version [0-9]') AS exam FROM documents")
 _project("PF10_boundary", "documents", "doc_id", lambda: {"boundary": F.coalesce(T.strip(F.substring("text", F.lit(1), F.regexp_instr("text", F.lit("Licensed|Released")) - 1)) != "", F.lit(False)) & (F.regexp_instr("text", F.lit("Licensed|Released")) > 0)}, r"SELECT doc_id, regexp_matches(text, '^[\s\S]*?\S[\s\S]*?(Licensed|Released)') AND NOT regexp_matches(text, '^\s*(Licensed|Released)') AS boundary FROM documents")
 _project("PF12_presence", "pages", "page_id", lambda: {"quiz": F.contains("html", F.lit("<table")), "cards": F.contains("html", F.lit("<pre")), "sources": F.contains("html", F.lit("<a href"))}, "SELECT page_id, contains(html, '<table') AS quiz, contains(html, '<pre') AS cards, contains(html, '<a href') AS sources FROM pages")
-_project("PF14_truncated", "documents", "doc_id", lambda: {"short": (F.length(F.regexp_extract("text", r"^[^\n]*", 0)) < 0.34 * F.length("text")) & (F.length("text") > 0)}, "SELECT doc_id, length(split_part(text, chr(10), 1)) < 0.34 * length(text) AND length(text) > 0 AS short FROM documents")
+_project("PF14_truncated", "documents", "doc_id", lambda: {"short": (F.length(F.regexp_extract("text", r"^[^\n]*", 0)) * 100 < 34 * F.length("text")) & (F.length("text") > 0)}, "SELECT doc_id, length(split_part(text, chr(10), 1)) < 0.34 * length(text) AND length(text) > 0 AS short FROM documents")
 _project("PF04_noise", "documents", "doc_id", lambda: {"lang": C("lang")}, "SELECT doc_id, lang FROM documents WHERE source NOT IN ('src1', 'src2', 'src3')", lambda: ~C("source").isin("src1", "src2", "src3"))
 _project("PF05_decorative", "part", "p_partkey", lambda: {"reason": F.when(C("p_size") * 10 < 180, "small side").when(C("p_size") * 10 * C("p_retailprice") / 4 < 90000, "small area").otherwise("")}, "SELECT p_partkey, CASE WHEN p_size * 10 < 180 THEN 'small side' WHEN p_size * 10 * p_retailprice / 4 < 90000 THEN 'small area' ELSE '' END AS reason FROM part")
 _project("AG20_cost_model", "orders", "o_orderkey", lambda: {"cost": F.lit(0.898002) * C("o_custkey") + F.lit(0.030981) * C("o_orderkey") + F.lit(1.026168)}, "SELECT o_orderkey, CAST(0.898002 AS DOUBLE) * o_custkey + CAST(0.030981 AS DOUBLE) * o_orderkey + CAST(1.026168 AS DOUBLE) AS cost FROM orders")
