@@ -32,7 +32,7 @@ def clean_markdown(text: Column) -> Column:
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    return F.regexp_replace(text, r"\A\s+|\s+\z", "")
 
 
 def brief(title: Column, topics: Column) -> Column:
