@@ -6,6 +6,8 @@ so that books run side by side; a book's edits are few (hundreds of concepts).
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,6 +35,10 @@ def known_and_new(candidates: DataFrame, name: str, variants: DataFrame) -> Data
     return candidates.join(keys, T.concept_key(F.col(name)) == F.col("folio_key"), "left").drop("folio_key")
 
 
+#: Rows of finished books that are handed on at once.
+FOLDED = 10_000
+
+
 def _key(name: str | None) -> str:
     return "".join(c for c in (name or "").casefold() if c.isalnum())
 
@@ -115,16 +121,31 @@ def fold_registry(edits: DataFrame, book: str = "book") -> DataFrame:
     are ordered by the age of their chapter, then by key.
     """
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        state = _Book()
-        for edit in rows.sort_values(["chapter_ord", "op_ord"]).itertuples():
-            state.chapters.setdefault(edit.chapter, len(state.chapters))
-            state.apply(edit, edit.chapter)
-        found = sorted(state.concepts.values(), key=lambda c: (state.age(c["chapter"]), _key(c["canonical"])))
-        made = [(rows[book].iat[0], i, c["canonical"], c["aliases"], c["chapter"]) for i, c in enumerate(found)]
-        return pd.DataFrame(made, columns=["book", "ord", "canonical", "aliases", "first_chapter"])
+    names = ["book", "ord", "canonical", "aliases", "first_chapter"]
 
-    return edits.groupBy(book).applyInPandas(fold, "book string, ord int, canonical string, aliases array<string>, first_chapter string")
+    def told(name: str, state: _Book) -> list[tuple]:
+        found = sorted(state.concepts.values(), key=lambda c: (state.age(c["chapter"]), _key(c["canonical"])))
+        return [(name, i, c["canonical"], c["aliases"], c["chapter"]) for i, c in enumerate(found)]
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        state, name, made = None, None, []
+        for batch in batches:
+            for edit in batch.itertuples():
+                if state is None or edit.book != name:
+                    made += [] if state is None else told(name, state)
+                    state, name = _Book(), edit.book
+                state.chapters.setdefault(edit.chapter, len(state.chapters))
+                state.apply(edit, edit.chapter)
+                if len(made) >= FOLDED:
+                    yield pd.DataFrame(made, columns=names)
+                    made = []
+        made += [] if state is None else told(name, state)
+        yield pd.DataFrame(made, columns=names)
+
+    # Books lie one behind the other in their partition; a task holds the state of one at a time.
+    fields = [F.col(book).cast("string").alias("book"), *(c for c in ["chapter", "chapter_ord", "op_ord", "op", "name", "other", "aliases", "into"])]
+    sorted_edits = edits.select(*fields).repartition("book").sortWithinPartitions("book", "chapter_ord", "op_ord")
+    return sorted_edits.mapInPandas(fold, "book string, ord int, canonical string, aliases array<string>, first_chapter string")
 
 
 WIKILINK = r"\[\[([^\]]+)\]\]"

@@ -5,6 +5,14 @@ import time
 from pyspark.sql import functions as F
 
 from folio.functions import text as T
+from folio.operators import concepts, mdx
+from folio.plans import registry
+
+SF = "/root/testdata/sf0.001"
+
+
+def plan(made):
+    return made._jdf.queryExecution().executedPlan().toString()
 
 
 def test_narrations_in_long_sentences(spark):
@@ -27,3 +35,24 @@ def test_fuzzy_places_of_many_rows(spark):
     at = T.anchored(F.col("t"), F.concat(F.lit("wxrd "), F.col("id").cast("string"), F.lit(" stands")), F.lit(4))
     got = rows.select("id", at.alias("at")).agg(F.count_if(F.col("at.start") == 4).alias("n"), F.count_if(F.col("at.end") == 16 + F.length(F.col("id").cast("string"))).alias("ends")).first()
     assert (got.n, got.ends) == (20_000, 20_000) and time.time() - began < 60
+
+
+def test_registry_folds_many_books_in_one_pass(spark):
+    """No call for each book; the state of one doesn't reach the next, in whatever order their edits come."""
+    schema = "book string, chapter string, chapter_ord int, op_ord int, op string, name string, other string, aliases array<string>, into array<struct<canonical: string, aliases: array<string>>>"
+    rows = [(f"b{i}", f"c{k}", k, 0, "add_concept", name, None, [name.upper() + str(k)], []) for k, name in ((1, "alpha"), (0, "beta")) for i in range(300)]
+    made = concepts.fold_registry(spark.createDataFrame([*rows, ("b7", "c2", 2, 0, "merge", "alpha", "beta", [], [])], schema))
+    assert "FlatMapGroups" not in plan(made) and "MapInPandas" in plan(made)
+    got = {}
+    for r in made.orderBy("book", "ord").collect():
+        got.setdefault(r.book, []).append((r.canonical, r.aliases, r.first_chapter))
+    assert got.pop("b7") == [("alpha", ["ALPHA1", "beta", "BETA0"], "c0")]
+    assert len(got) == 299 and all(v == [("beta", ["BETA0"], "c0"), ("alpha", ["ALPHA1"], "c1")] for v in got.values())
+
+
+def test_pages_are_never_broadcast(spark):
+    """Pages of a small file are large: sections go through no driver, whatever Spark thinks of the file."""
+    for name in ("CH26_items", "CH26_sanitised_bodies", "CH26_slots", "XD03_resolved_slots"):
+        assert "Broadcast" not in plan(registry.queries()[name](spark, SF)), name
+    pages = spark.range(5).select("id", F.lit("a <A> b").alias("body"))
+    assert "Broadcast" not in plan(mdx.faults(mdx.tokens(pages, "id", "body"), "id"))
