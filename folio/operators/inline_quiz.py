@@ -17,7 +17,7 @@ from folio.functions import markup as M
 from folio.functions import maths
 from folio.operators import mdx
 from folio.operators.items import CITATIONS, grounded, item_valid
-from folio.session import written
+from folio.session import large, written
 
 #: Items and slots of a block, of a section; characters of a slot's topic.
 PER_BLOCK, PER_SECTION, TOPIC = 6, 8, 200
@@ -126,7 +126,7 @@ def _decided(children: DataFrame, key: str, per_block: int, per_section: int) ->
     """``children`` with kept, and how many were kept before in the block and in the section, slots apart too."""
     listed = children.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("start", F.coalesce("block_start", F.lit(0)).alias("block"), "valid", F.when(F.col("kind") == "slot", F.col("same")).alias("same")))).alias("all"))
     kept = listed.select(key, F.explode(kept_places(F.col("all"), per_block, per_section)).alias("start")).withColumn("kept", F.lit(True))
-    marked = children.join(kept, [key, "start"], "left").withColumn("kept", F.coalesce("kept", F.lit(False)))
+    marked = children.join(large(kept), [key, "start"], "left").withColumn("kept", F.coalesce("kept", F.lit(False)))
     before = lambda *by: Window.partitionBy(key, *by).orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
     count = lambda c, w: F.coalesce(F.sum(c.cast("int")).over(w), F.lit(0)).cast("int")
     return marked.withColumns({"in_section": count(F.col("kept"), before()), "in_block": count(F.col("kept"), before("block_start")), "ordinal": count(F.col("kept") & (F.col("kind") == "slot"), before())})
@@ -139,8 +139,8 @@ def sanitised(sections: DataFrame, key: str, body: str = "body", allowed: str =
     broken = written(mdx.faults(found, key).where("rule = 'mdx-syntax'").select(key), "quiz-broken")
 
     # Children of blocks, each with its own source.
-    listed = mdx.quiz_children(found, key).where("kind <> 'stray'").join(broken, key, "left_anti").groupBy(key).agg(F.collect_list(F.struct("start", "end", "block_start", "block_end", "kind", "name")).alias("all"))
-    each = listed.join(given, key).select(key, "body", "allowed", "chapter", "number", F.explode("all").alias("c")).select(key, "allowed", "chapter", "number", "c.*", F.expr("substring(body, c.start + 1, c.end - c.start)").alias("raw"))
+    listed = mdx.quiz_children(found, key).where("kind <> 'stray'").join(large(broken), key, "left_anti").groupBy(key).agg(F.collect_list(F.struct("start", "end", "block_start", "block_end", "kind", "name")).alias("all"))
+    each = listed.join(large(given), key).select(key, "body", "allowed", "chapter", "number", F.explode("all").alias("c")).select(key, "allowed", "chapter", "number", "c.*", F.expr("substring(body, c.start + 1, c.end - c.start)").alias("raw"))
     each = written(each.withColumn("tag", F.regexp_extract("raw", mdx.OPEN_TAG, 0)), "quiz-children")
     tag = F.col("tag")
     refs = F.coalesce(M.prop_json(tag, "sourceRefs", "array<string>"), F.array().cast("array<string>"))
@@ -155,7 +155,7 @@ def sanitised(sections: DataFrame, key: str, body: str = "body", allowed: str =
     edits = blocks.select(key, "start", "length", F.when(F.size("stay") == 0, "").otherwise(F.concat(F.lit("<QuizBlock>\n"), F.array_join(F.transform("stay", lambda s: s["new"]), "\n\n"), F.lit("\n</QuizBlock>"))).alias("new"))
 
     # Slots of sections that can't be parsed.
-    tags = given.join(broken, key, "left_semi").select(key, "allowed", "chapter", "number", F.explode(F.arrays_zip(M.places(F.col("body"), F.lit(M.SLOT)).alias("p"), M.matches(F.col("body"), M.SLOT).alias("raw"))).alias("m"))
+    tags = given.join(large(broken), key, "left_semi").select(key, "allowed", "chapter", "number", F.explode(F.arrays_zip(M.places(F.col("body"), F.lit(M.SLOT)).alias("p"), M.matches(F.col("body"), M.SLOT).alias("raw"))).alias("m"))
     loose = tags.select(key, "allowed", "chapter", "number", F.col("m.p.start").alias("start"), F.col("m.p.size").alias("length"), F.lit(None).cast("int").alias("block_start"), F.lit("slot").alias("kind"), F.col("m.raw").alias("raw"))
     quoted = M.matches(F.regexp_extract("raw", _REFS, 1), "\"([^\"]*)\"", 1)
     loose = written(_slot_columns(written(loose, "quiz-loose"), F.col("raw"), quoted).withColumn("valid", F.col("slot_valid")), "quiz-slots")
@@ -163,7 +163,7 @@ def sanitised(sections: DataFrame, key: str, body: str = "body", allowed: str =
     edits = edits.unionByName(rescued.select(key, "start", "length", F.when(F.col("kept"), as_slot).otherwise("").alias("new")))
 
     tidy = F.concat(_trimmed(F.regexp_replace("body", r"\n{3,}", "\n\n")), F.lit("\n"))
-    changed = mdx.edited(given, edits, key, "body").join(broken.withColumn("broken", F.lit(True)), key, "left").join(rescued.select(key).distinct().withColumn("rescued", F.lit(True)), key, "left")
+    changed = mdx.edited(given, edits, key, "body").join(large(broken.withColumn("broken", F.lit(True))), key, "left").join(large(rescued.select(key).distinct().withColumn("rescued", F.lit(True))), key, "left")
     bodies = changed.select(key, F.when(F.col("broken").isNull() | F.col("rescued"), tidy).otherwise(F.col("body")).alias("body"))
     specs = ["topic", "concept", F.col("slot_kind").alias("kind"), "refs"]
     slots = decided.where("kept AND kind = 'slot'").select(key, slot_id.alias("slot_id"), *specs).unionByName(rescued.where("kept").select(key, slot_id.alias("slot_id"), *specs))
@@ -192,10 +192,10 @@ def resolved(pages: DataFrame, fills: DataFrame, key: str, body: str = "body") -
     """
     found = written(mdx.tokens(pages, key, body), "quiz-tokens")
     broken = written(mdx.faults(found, key).where("rule = 'mdx-syntax'").select(key), "quiz-broken")
-    children = mdx.quiz_children(found, key).join(broken, key, "left_anti")
+    children = mdx.quiz_children(found, key).join(large(broken), key, "left_anti")
     # A slot is one tag or an empty element; its id stands in the tag that begins it.
     tags = found.where("name = 'QuizItemSlot' AND kind IN ('whole', 'open')").select(key, "start", _attribute(F.col("raw"), "id").alias("slot_id"))
-    filled = children.join(tags, [key, "start"], "left").join(fills.select(key, "slot_id", F.col("mdx").alias("fill")), [key, "slot_id"], "left")
+    filled = children.join(large(tags), [key, "start"], "left").join(large(fills.select(key, "slot_id", F.col("mdx").alias("fill"))), [key, "slot_id"], "left")
     whole = Window.partitionBy(key, "block_start")
     stays = F.max((F.col("kind").isin("item", "unknown") | F.col("fill").isNotNull()).cast("int")).over(whole) == 1
     marked = filled.withColumn("stays", stays)
@@ -203,8 +203,8 @@ def resolved(pages: DataFrame, fills: DataFrame, key: str, body: str = "body") -
     inside = marked.where("kind = 'slot' AND stays").select(key, "start", (F.col("end") - F.col("start")).alias("length"), F.coalesce("fill", F.lit("")).alias("new"))
     alone = F.coalesce(F.concat(F.lit("<QuizBlock>\n"), "fill", F.lit("\n</QuizBlock>")), F.lit(""))
     stray = marked.where("kind = 'stray'").select(key, "start", (F.col("end") - F.col("start")).alias("length"), alone.alias("new"))
-    loose = pages.join(broken, key, "left_semi").select(key, F.explode(F.arrays_zip(M.places(F.col(body), F.lit(M.SLOT)).alias("p"), M.matches(F.col(body), M.SLOT).alias("raw"))).alias("m"))
-    loose = loose.select(key, F.col("m.p.start").alias("start"), F.col("m.p.size").alias("length"), _attribute(F.col("m.raw"), "id").alias("slot_id")).join(fills.select(key, "slot_id", F.col("mdx").alias("fill")), [key, "slot_id"], "left")
+    loose = pages.join(large(broken), key, "left_semi").select(key, F.explode(F.arrays_zip(M.places(F.col(body), F.lit(M.SLOT)).alias("p"), M.matches(F.col(body), M.SLOT).alias("raw"))).alias("m"))
+    loose = loose.select(key, F.col("m.p.start").alias("start"), F.col("m.p.size").alias("length"), _attribute(F.col("m.raw"), "id").alias("slot_id")).join(large(fills.select(key, "slot_id", F.col("mdx").alias("fill"))), [key, "slot_id"], "left")
     edits = dropped.unionByName(inside).unionByName(stray).unionByName(loose.select(key, "start", "length", F.coalesce("fill", F.lit("")).alias("new")))
-    made = mdx.edited(pages, edits, key, body).join(broken.withColumn("folio_broken", F.lit(True)), key, "left")
+    made = mdx.edited(pages, edits, key, body).join(large(broken.withColumn("folio_broken", F.lit(True))), key, "left")
     return made.withColumn(body, F.when(F.col(body).isNull(), None).when(F.col("folio_broken"), F.regexp_replace(body, r"<QuizBlock>\s*</QuizBlock>\n*", "")).otherwise(M.blank_runs(F.col(body)))).drop("folio_broken")

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folio.functions import markup as M
+from folio.session import large
 
 NESTED = 6
 #: Elements that a page must not hold, props that it must not set.
@@ -100,7 +101,7 @@ def faults(found: DataFrame, page: str) -> DataFrame:
     raw = elements_.where(F.col("name").isin(RAW_ELEMENTS)).select(page, "line", "column", F.lit("no-raw-html-element").alias("rule"), F.col("name").alias("value"))
     named = elements_.select(page, "line", "column", F.explode(prop_names(F.col("raw"))).alias("value"))
     props = named.where(F.col("value").isin(UNSAFE_PROPS) | F.col("value").rlike("^on[A-Z]")).select(page, "line", "column", F.lit("no-unsafe-jsx-prop").alias("rule"), "value")
-    return syntax.unionByName(bare.unionByName(raw).unionByName(props).join(syntax.select(page), page, "left_anti"))
+    return syntax.unionByName(bare.unionByName(raw).unionByName(props).join(large(syntax.select(page)), page, "left_anti"))
 
 
 def quiz_children(found: DataFrame, page: str) -> DataFrame:
@@ -120,7 +121,7 @@ def quiz_children(found: DataFrame, page: str) -> DataFrame:
     kind = F.when(F.col("name") == "QuizItem", "item").when(F.col("name") == "QuizItemSlot", "slot").otherwise("unknown")
     direct = inside.where(~F.col("outer") & (F.col("depth") == F.col("block.depth") + 1)).select(page, F.col("block.start").alias("block_start"), F.col("block.end").alias("block_end"), kind.alias("kind"), "name", "start", "end")
     stray = inside.where((F.col("name") == "QuizItemSlot") & F.col("block").isNull()).select(page, F.lit(None).cast("int").alias("block_start"), F.lit(None).cast("int").alias("block_end"), F.lit("stray").alias("kind"), "name", "start", "end")
-    empty = inside.where("outer").join(direct.select(page, F.col("block_start").alias("start")).distinct(), [page, "start"], "left_anti")
+    empty = inside.where("outer").join(large(direct.select(page, F.col("block_start").alias("start")).distinct()), [page, "start"], "left_anti")
     return direct.unionByName(stray).unionByName(empty.select(page, F.col("start").alias("block_start"), F.col("end").alias("block_end"), F.lit("empty").alias("kind"), "name", "start", "end"))
 
 
@@ -153,4 +154,4 @@ def edited(pages: DataFrame, edits: DataFrame, page: str, body: str) -> DataFram
     """``pages`` with their edits made; an edit that clashes with an earlier one is left out."""
     fit = overlapping(edits, page).where("NOT clash")
     gathered = fit.groupBy(page).agg(F.array_sort(F.collect_list(F.struct("start", "length", "new"))).alias("folio_edits"))
-    return pages.join(gathered, page, "left").withColumn(body, applied(F.col(body), F.col("folio_edits"))).drop("folio_edits")
+    return pages.join(large(gathered), page, "left").withColumn(body, applied(F.col(body), F.col("folio_edits"))).drop("folio_edits")
