@@ -25,7 +25,7 @@ def _docs(spark, sf):
 def _index(spark, sf):
     """The trigram index of documents: written at its first use, then opened as long as the table's files stay the same."""
     docs = _docs(spark, sf)
-    folder = f"{shared_folder(spark)}/folio/gram-index-{version_of(spark, f'{sf}/documents.parquet')}"
+    folder = f"{shared_folder(spark)}/folio/gram-index2-{version_of(spark, f'{sf}/documents.parquet')}"
     try:
         return G.opened(spark, folder)
     except AnalysisException:  # there is none yet

@@ -2,10 +2,11 @@
 
 import time
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from folio.functions import text as T
-from folio.operators import concepts, mdx
+from folio.operators import concepts, gram_index, mdx
 from folio.plans import registry
 
 SF = "/root/testdata/sf0.001"
@@ -56,3 +57,19 @@ def test_pages_are_never_broadcast(spark):
         assert "Broadcast" not in plan(registry.queries()[name](spark, SF)), name
     pages = spark.range(5).select("id", F.lit("a <A> b").alias("body"))
     assert "Broadcast" not in plan(mdx.faults(mdx.tokens(pages, "id", "body"), "id"))
+
+
+def test_numbers_of_postings_are_packed():
+    values = np.array([0, 1, 127, 128, 16383, 16384, 2**40, 2**63, 2**64 - 1], np.uint64)
+    data, sizes = gram_index._shrunk(values)
+    assert sizes.tolist() == [1, 1, 1, 2, 2, 3, 6, 10, 10] and gram_index._grown(data).tolist() == values.tolist()
+
+
+def test_tasks_of_an_index_grow_with_its_texts(spark, tmp_path, monkeypatch):
+    """More signs, more tasks; ids of any size and sign come back."""
+    rows = [(i, "banana bandana " * 5) for i in (-(2**63), -5, 0, 7, 2**62, 2**63 - 1)] + [(i, "bananas") for i in range(40, 60)]
+    monkeypatch.setattr(gram_index, "TASK_SIGNS", 50)
+    monkeypatch.setattr(gram_index, "BLOCK_SIGNS", 100)
+    index = gram_index.build(spark.createDataFrame(rows, "row_id long, text string"), f"file://{tmp_path}/index", parts=2)
+    assert len(index.postings.inputFiles()) > 4
+    assert {r.row_id: r.tf for r in gram_index.occurrences(index, "bana").collect()} == {i: t.count("bana") for i, t in rows}
