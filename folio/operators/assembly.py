@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,35 +30,43 @@ def _numbered(rows: DataFrame, taken: DataFrame, book: str, place: str) -> DataF
     """(book, place, slug) for (book, place, base): -2, -3 … where a slug is taken, whatever its case, in order.
 
     ``taken``: (book, slug) that are not to be had. Slugs meet within their family only. A family whose slugs are all
-    one is numbered by a window; one with numbers of its own, or with more taken than its own name, is gone through once,
-    by a task of its own.
+    one is numbered by a window; one with numbers of its own, or with more taken than its own name, is gone through once:
+    its taken slugs, then its places in order. Families lie one behind the other in their partition.
     """
     family = lambda c: F.lower(F.regexp_replace(c, FAMILY, ""))
     given = rows.select(book, place, "base", family(F.col("base")).alias("family"))
-    held = taken.select(book, F.lower("slug").alias("slug")).distinct().withColumn("family", family(F.col("slug"))).groupBy(book, "family").agg(F.collect_set("slug").alias("used"))
+    gone = taken.select(book, F.lower("slug").alias("slug")).distinct().withColumn("family", family(F.col("slug")))
+    held = gone.groupBy(book, "family").agg(F.count("*").alias("held"), F.bool_and(F.col("slug") == F.col("family")).alias("bare"))
     own = given.groupBy(book, "family").agg(F.max((F.lower("base") != F.col("family")).cast("int")).alias("numbers"))
-    kinds = own.join(held, [book, "family"], "left")
-    plain = (F.col("numbers") == 0) & (F.col("used").isNull() | ((F.size("used") == 1) & (F.get("used", F.lit(0)) == F.col("family"))))
-    told = given.join(kinds.select(book, "family", "used", plain.alias("plain")), [book, "family"])
-    number = F.row_number().over(Window.partitionBy(book, "family").orderBy(place)) + F.when(F.col("used").isNull(), 0).otherwise(1)
+    plain = (F.col("numbers") == 0) & (F.col("held").isNull() | (F.col("held") == 1) & F.col("bare"))
+    kinds = own.join(held, [book, "family"], "left").select(book, "family", "held", plain.alias("plain"))
+    told = given.join(kinds, [book, "family"])
+    number = F.row_number().over(Window.partitionBy(book, "family").orderBy(place)) + F.when(F.col("held").isNull(), 0).otherwise(1)
     by_window = told.where("plain").select(book, place, "base", number.alias("n")).select(book, place, F.when(F.col("n") == 1, F.col("base")).otherwise(F.concat("base", F.lit("-"), F.col("n").cast("string"))).alias("slug"))
 
-    def through(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(place)
-        used = set(part["used"].iat[0] if part["used"].iat[0] is not None else ())
-        after: dict[str, int] = {}
-        slugs = []
-        for base in part["base"]:
-            slug, n = base, after.get(base.lower(), 2)
-            while slug.lower() in used:
-                slug, n = f"{base}-{n}", n + 1
-            after[base.lower()] = n
-            used.add(slug.lower())
-            slugs.append(slug)
-        return part[[book, place]].assign(slug=slugs)
+    def through(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, used, after = None, set(), {}
+        for batch in batches:
+            made = []
+            for of, name, free, at, base in zip(*(batch.column(i).to_pylist() for i in range(5))):
+                if (of, name) != now:
+                    now, used, after = (of, name), set(), {}
+                if free:
+                    slug, n = base, after.get(base.lower(), 2)
+                    while slug.lower() in used:
+                        slug, n = f"{base}-{n}", n + 1
+                    after[base.lower()] = n
+                    made.append((of, at, slug))
+                    base = slug
+                used.add(base.lower())
+            columns = zip(*made) if made else [()] * 3
+            kinds = [batch.schema.field(0).type, batch.schema.field(3).type, pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], [book, place, "slug"])
 
     kind = {f.name: f.dataType.simpleString() for f in rows.schema}
-    mended = told.where("NOT plain").select(book, place, "base", "family", "used").groupBy(book, "family").applyInPandas(through, f"`{book}` {kind[book]}, `{place}` {kind[place]}, slug string")
+    odd = gone.join(kinds.where("NOT plain").select(book, "family"), [book, "family"], "left_semi")
+    steps = odd.select(book, "family", F.lit(False).alias("free"), F.lit(None).cast(kind[place]).alias(place), F.col("slug").alias("base")).unionByName(told.where("NOT plain").select(book, "family", F.lit(True).alias("free"), place, "base"))
+    mended = steps.repartition(book, "family").sortWithinPartitions(book, "family", "free", place).mapInArrow(through, f"`{book}` {kind[book]}, `{place}` {kind[place]}, slug string")
     return by_window.unionByName(mended)
 
 

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from folio.functions import text as T
-from folio.operators import concepts, gram_index, mdx
+from folio.operators import assembly, concepts, gram_index, mdx
 from folio.plans import registry
 
 SF = "/root/testdata/sf0.001"
@@ -73,3 +73,13 @@ def test_tasks_of_an_index_grow_with_its_texts(spark, tmp_path, monkeypatch):
     index = gram_index.build(spark.createDataFrame(rows, "row_id long, text string"), f"file://{tmp_path}/index", parts=2)
     assert len(index.postings.inputFiles()) > 4
     assert {r.row_id: r.tf for r in gram_index.occurrences(index, "bana").collect()} == {i: t.count("bana") for i, t in rows}
+
+
+def test_slugs_of_large_families_go_through_no_row(spark):
+    """Pins of a book aren't handed to each of its chapters, and a family is numbered as one chapter after the other would be."""
+    n = 3000
+    chapters = spark.range(n).select(F.lit("b").alias("book"), F.col("id").alias("place"), F.col("id").cast("string").alias("print"), F.concat(F.lit("pin-"), F.when(F.col("id") % 3 == 1, F.col("id") - 1).otherwise(F.col("id"))).alias("slug"))
+    pins = chapters.where("place % 3 = 0").select("book", "print", F.col("slug").alias("pin"))
+    made = assembly.pinned_slugs(chapters, pins, "book", "place")
+    assert "collect_set" not in plan(made) and "FlatMapGroups" not in plan(made)
+    assert {r.place: r.slug for r in made.collect()} == {i: f"pin-{i - 1}-2" if i % 3 == 1 else f"pin-{i}" for i in range(n)}
