@@ -11,6 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from folio.functions.text import let
+
 # The spans that rewrites leave alone, and the patterns of links, fences, slots and formulas.
 CODE = r"```[\s\S]*?```|`[^`\n]*`"
 FENCE = r"(?m)^[ \t]*(?:```[^\n]*\n(?s:.*?)^[ \t]*```[ \t]*$|~~~[^\n]*\n(?s:.*?)^[ \t]*~~~[ \t]*$)"
@@ -75,22 +77,21 @@ def blocks(text: Column, component: str) -> Column:
     return F.zip_with(matches(text, whole, 1), matches(text, whole, 2), lambda a, b: F.struct(F.coalesce(a, F.lit("")).alias("attrs"), b.alias("body")))
 
 
+#: What braces hold, piece by piece: quoted texts, braces, all else; a quote that nothing ends takes the rest.
+BRACED = r"\"[^\"\\]*+(?:\\[\s\S][^\"\\]*+)*+\"|'[^'\\]*+(?:\\[\s\S][^'\\]*+)*+'|[{}]|[^{}\"']++|[\"'][\s\S]*+"
+
+
 def braced(attrs: Column, prop: str) -> Column:
     """What stands in the braces of prop={...}, which may hold braces and quoted texts at any depth; null without one."""
     at = F.locate(f"{prop}={{", attrs)
-    rest = F.substring(attrs, at + len(prop) + 2, F.length(attrs))
-    start = F.struct(F.lit(1).alias("depth"), F.lit("").alias("quote"), F.lit(False).alias("escaped"), F.lit(0).alias("size"))
+    start = F.struct(F.lit(1).alias("depth"), F.lit(0).alias("size"))
 
-    def step(acc: Column, c: Column) -> Column:
-        quoted = acc["quote"] != ""
-        closes = quoted & ~acc["escaped"] & (c == acc["quote"])
-        depth = F.when(quoted, acc["depth"]).when(c == "{", acc["depth"] + 1).when(c == "}", acc["depth"] - 1).otherwise(acc["depth"])
-        quote = F.when(closes, "").when(quoted, acc["quote"]).when(c.isin('"', "'"), c).otherwise("")
-        grown = F.struct(depth.alias("depth"), quote.alias("quote"), (quoted & ~acc["escaped"] & (c == "\\")).alias("escaped"), (acc["size"] + (depth > 0).cast("int")).alias("size"))
-        return F.when(acc["depth"] == 0, acc).otherwise(grown)
+    def step(acc: Column, part: Column) -> Column:
+        depth = acc["depth"] + F.when(part == "{", 1).when(part == "}", -1).otherwise(0)
+        return F.when(acc["depth"] == 0, acc).otherwise(F.struct(depth.alias("depth"), (acc["size"] + F.when(depth > 0, F.length(part)).otherwise(0)).alias("size")))
 
-    end = F.aggregate(F.filter(F.split(rest, ""), lambda c: c != ""), start, step)
-    return F.when((at > 0) & (end["depth"] == 0), F.trim(F.substring(rest, F.lit(1), end["size"])))
+    read = lambda rest: let(F.aggregate(matches(rest, BRACED), start, step), lambda end: F.when(end["depth"] == 0, F.trim(F.substring(rest, F.lit(1), end["size"]))))
+    return F.when(at > 0, let(F.substring(attrs, at + len(prop) + 2, F.length(attrs)), read))
 
 
 def _json_text(value: Column) -> Column:
@@ -99,10 +100,9 @@ def _json_text(value: Column) -> Column:
 
 def prop(attrs: Column, name: str) -> Column:
     """The value of a prop: braced JSON as text, what is no JSON as it stands, or a quoted string; null without one."""
-    inner = braced(attrs, name)
     plain = rf"(?<!\w){name}=(?:\"([^\"]*)\"|'([^']*)')"
     quoted = F.when(attrs.rlike(plain), F.concat(F.regexp_extract(attrs, plain, 1), F.regexp_extract(attrs, plain, 2)))
-    return F.when(inner.isNotNull(), F.coalesce(_json_text(inner), inner)).otherwise(quoted)
+    return let(braced(attrs, name), lambda inner: F.when(inner.isNotNull(), F.coalesce(_json_text(inner), inner)).otherwise(quoted))
 
 
 def prop_json(attrs: Column, name: str, schema: str) -> Column:
@@ -112,10 +112,10 @@ def prop_json(attrs: Column, name: str, schema: str) -> Column:
 
 def child_text(body: Column) -> Column:
     """The text of an element without the indentation that its lines have in common, and without space around it."""
-    lines = F.split(body, "\n")
-    indent = F.array_min(F.transform(F.filter(lines, lambda line: line.rlike(r"\S")), lambda line: F.length(F.regexp_extract(line, r"^[ \t]*", 0))))
-    even = F.transform(lines, lambda line: F.when(line.rlike(r"\S"), F.substring(line, F.coalesce(indent, F.lit(0)) + 1, F.length(line))).otherwise(""))
-    return F.regexp_replace(F.array_join(even, "\n"), r"^\s+|\s+$", "")
+    filled = lambda lines: F.filter(lines, lambda line: line.rlike(r"\S"))
+    indent = lambda lines: F.coalesce(F.array_min(F.transform(filled(lines), lambda line: F.length(F.regexp_extract(line, r"^[ \t]*", 0)))), F.lit(0))
+    even = lambda lines, n: F.transform(lines, lambda line: F.when(line.rlike(r"\S"), F.substring(line, n + 1, F.length(line))).otherwise(""))
+    return let(F.split(body, "\n"), lambda lines: let(indent(lines), lambda n: F.regexp_replace(F.array_join(even(lines, n), "\n"), r"^\s+|\s+$", "")))
 
 
 def first_child(body: Column, component: str) -> Column:

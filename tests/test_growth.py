@@ -5,6 +5,7 @@ import time
 import numpy as np
 from pyspark.sql import functions as F
 
+from folio.functions import markup as M
 from folio.functions import text as T
 from folio.operators import assembly, concepts, gram_index, mdx
 from folio.plans import registry
@@ -83,3 +84,13 @@ def test_slugs_of_large_families_go_through_no_row(spark):
     made = assembly.pinned_slugs(chapters, pins, "book", "place")
     assert "collect_set" not in plan(made) and "FlatMapGroups" not in plan(made)
     assert {r.place: r.slug for r in made.collect()} == {i: f"pin-{i - 1}-2" if i % 3 == 1 else f"pin-{i}" for i in range(n)}
+
+
+def test_long_props_are_read_in_pieces(spark):
+    """Not sign by sign; quotes, escapes and braces count as before, and a quote that nothing ends has no end."""
+    long = "word, " * 50_000
+    cases = [(f'a={{["{long}"]}} b="1"', f'["{long}"]'), ('a={{"k": "}\\"}"}} c', '{"k": "}\\"}"}'), ("a={'}' + {x: {}}}", "'}' + {x: {}}"), ('a={"open}', None), ("a={}", ""), ("b={1}", None), ("a={ {1 }", None), ('a={"\\\\"} z="}"', '"\\\\"')]
+    rows = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases * 20)], "i int, t string")
+    began = time.time()
+    got = {r.i: r.v for r in rows.select("i", M.braced(F.col("t"), "a").alias("v")).collect()}
+    assert [got[i] for i in range(len(cases))] == [v for _, v in cases] and time.time() - began < 10
