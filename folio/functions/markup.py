@@ -43,12 +43,12 @@ def weave(gaps: Column, between: Column) -> Column:
 
 def replaced(text: Column, pattern: str, change: Callable[[Column], Column]) -> Column:
     """A text with each match of a pattern changed by an expression of the match."""
-    return weave(F.split(text, pattern, -1), F.transform(matches(text, pattern), change))
+    return let(text, lambda t: weave(F.split(t, pattern, -1), F.transform(matches(t, pattern), change)))
 
 
 def outside(text: Column, spans: str, change: Callable[[Column], Column]) -> Column:
     """A text with all that stands outside the spans changed by an expression."""
-    return weave(F.transform(F.split(text, spans, -1), change), matches(text, spans))
+    return let(text, lambda t: weave(F.transform(F.split(t, spans, -1), change), matches(t, spans)))
 
 
 def masked(text: Column, spans: str) -> Column:

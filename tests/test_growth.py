@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from folio.functions import markup as M
+from folio.functions import maths
 from folio.functions import text as T
 from folio.operators import assembly, concepts, gram_index, mdx
 from folio.plans import registry
@@ -94,3 +95,11 @@ def test_long_props_are_read_in_pieces(spark):
     began = time.time()
     got = {r.i: r.v for r in rows.select("i", M.braced(F.col("t"), "a").alias("v")).collect()}
     assert [got[i] for i in range(len(cases))] == [v for _, v in cases] and time.time() - began < 10
+
+
+def test_a_quote_is_read_once(spark):
+    """Each step names the text that the one before made; written out, the quote stood in the plan once for each reading of each."""
+    rows = spark.createDataFrame([("Sum of a: x_{1} + 1",)], "t string").coalesce(1)
+    for made in (maths.quote_formulas(F.col("t")), maths.normalised("t"), maths.own_lines(F.col("t"))):
+        assert plan(rows.select(made.alias("q"))).count("t#") <= 6
+    assert rows.select(maths.quote_formulas(F.col("t")).alias("q")).first().q == "Sum of a: $x_{1} + 1$"
