@@ -1,9 +1,9 @@
 """Quizzes that stand in the prose of sections: checked, grounded, numbered and rendered anew; slots for later ones filled.
 
 Children of quiz blocks come from ``mdx.quiz_children`` as rows. Which of them stay depends on what stayed before (a cap
-for each block and section, slots once each), so a section's children are folded in order; the state of the fold is as
-small as the caps. All changes are edits by place, gathered as rows and made in one pass a text. A section that can't be
-parsed keeps its items, and its slots are found by a pattern.
+for each block and section, slots once each), so a section's children are gathered and folded in order; the state of the
+fold is as small as the caps. All changes are edits by place, gathered as rows and made in one pass a text. A section
+that can't be parsed keeps its items, and its slots are found by a pattern.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from folio.functions import markup as M
 from folio.functions import maths
+from folio.functions.text import let
 from folio.operators import mdx
 from folio.operators.items import CITATIONS, grounded, item_valid
 from folio.session import large, written
@@ -90,17 +91,17 @@ def slot_mdx(slot_id: Column, topic: Column, concept: Column, kind: Column, refs
 
 def _slot_columns(rows: DataFrame, tag: Column, refs: Column) -> DataFrame:
     """topic, concept, slot_kind, refs, valid and same (what makes two slots one) of slots."""
-    kind = _trimmed(_attribute(tag, "kind"))
-    made = rows.withColumns({"topic": _trimmed(_attribute(tag, "topic")), "concept": _trimmed(_attribute(tag, "concept")), "slot_kind": F.when(kind.isin("mcq", "worked"), kind).otherwise("mcq"), "refs": F.filter(refs, lambda r: F.array_contains("allowed", r))})
+    kind = let(_trimmed(_attribute(tag, "kind")), lambda k: F.when(k.isin("mcq", "worked"), k).otherwise("mcq"))
+    made = rows.withColumns({"topic": _trimmed(_attribute(tag, "topic")), "concept": _trimmed(_attribute(tag, "concept")), "slot_kind": kind, "refs": F.filter(refs, lambda r: F.array_contains("allowed", r))})
     valid = F.length("topic").between(1, TOPIC) & (F.size("refs") > 0)
     return made.withColumns({"slot_valid": F.coalesce(valid, F.lit(False)), "same": F.to_json(F.struct("slot_kind", "topic", "concept", F.array_sort("refs").alias("refs")))})
 
 
 def _item_columns(rows: DataFrame) -> DataFrame:
-    tag = F.col("tag")
-    choices = F.transform(M.blocks(_inner(F.col("raw"), "QuizChoices"), "QuizChoice"), lambda c: F.struct(_attribute(c["attrs"], "id").alias("id"), _trimmed(c["body"]).alias("text")))
-    made = rows.withColumns({"question": _trimmed(_inner(F.col("raw"), "QuizQuestion")), "explanation": _trimmed(_inner(F.col("raw"), "QuizExplanation")), "choices": F.filter(choices, lambda c: c["text"] != ""), "answer": _attribute(tag, "answer")})
-    figure = F.get(M.matches(F.col("raw"), rf"<BookFigure\b{M.ATTRIBUTES}>"), F.lit(0))
+    tag, raw = (F.when(F.col("kind") == "item", F.col(c)) for c in ("tag", "raw"))
+    choices = F.transform(M.blocks(_inner(raw, "QuizChoices"), "QuizChoice"), lambda c: F.struct(_attribute(c["attrs"], "id").alias("id"), _trimmed(c["body"]).alias("text")))
+    made = rows.withColumns({"question": _trimmed(_inner(raw, "QuizQuestion")), "explanation": _trimmed(_inner(raw, "QuizExplanation")), "choices": F.filter(choices, lambda c: c["text"] != ""), "answer": _attribute(tag, "answer")})
+    figure = F.get(M.matches(raw, rf"<BookFigure\b{M.ATTRIBUTES}>"), F.lit(0))
     number = F.array_position(F.transform("choices", lambda c: c["id"]), F.col("answer"))
     cited = F.coalesce(M.prop_json(tag, "citations", CITATIONS), F.array().cast(CITATIONS))
     return made.withColumns({"number_of_answer": number, "figure": _trimmed(_attribute(figure, "id")), "cited": grounded(cited, F.col("allowed")), "item_valid": item_valid(F.col("question"), F.col("explanation"), F.col("choices"), F.col("answer"))})
@@ -124,25 +125,28 @@ def kept_places(children: Column, per_block: int = PER_BLOCK, per_section: int =
 
 def _decided(children: DataFrame, key: str, per_block: int, per_section: int) -> DataFrame:
     """``children`` with kept, and how many were kept before in the block and in the section, slots apart too."""
-    listed = children.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("start", F.coalesce("block_start", F.lit(0)).alias("block"), "valid", F.when(F.col("kind") == "slot", F.col("same")).alias("same")))).alias("all"))
-    kept = listed.select(key, F.explode(kept_places(F.col("all"), per_block, per_section)).alias("start")).withColumn("kept", F.lit(True))
-    marked = children.join(large(kept), [key, "start"], "left").withColumn("kept", F.coalesce("kept", F.lit(False)))
-    before = lambda *by: Window.partitionBy(key, *by).orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
-    count = lambda c, w: F.coalesce(F.sum(c.cast("int")).over(w), F.lit(0)).cast("int")
-    return marked.withColumns({"in_section": count(F.col("kept"), before()), "in_block": count(F.col("kept"), before("block_start")), "ordinal": count(F.col("kept") & (F.col("kind") == "slot"), before())})
+    rest = [c for c in children.columns if c not in (key, "start")]
+    listed = children.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("start", *rest))).alias("all"))
+    facts = F.transform("all", lambda c: F.struct(c["start"].alias("start"), F.coalesce(c["block_start"], F.lit(0)).alias("block"), c["valid"].alias("valid"), F.when(c["kind"] == "slot", c["same"]).alias("same")))
+    stay = let(kept_places(facts, per_block, per_section), lambda kept: F.transform(F.filter("all", lambda c: F.array_contains(kept, c["start"])), lambda c: F.struct(c["start"].alias("start"), c["block_start"].alias("block_start"), (c["kind"] == "slot").alias("slot"))))
+    each = listed.withColumn("stay", stay).select(key, "stay", F.explode("all").alias("c")).select(key, "stay", "c.*")
+    before = lambda fits: F.size(F.filter("stay", lambda s: (s["start"] < F.col("start")) & fits(s)))
+    counted = {"in_section": before(lambda s: F.lit(True)), "in_block": before(lambda s: s["block_start"].eqNullSafe(F.col("block_start"))), "ordinal": before(lambda s: s["slot"])}
+    return each.withColumns({"kept": F.exists("stay", lambda s: s["start"] == F.col("start")), **counted}).drop("stay")
 
 
 def sanitised(sections: DataFrame, key: str, body: str = "body", allowed: str = "allowed", chapter: str = "chapter_id", number: str = "section_index") -> Sanitised:
     """The quizzes of sections: (key, body, allowed references, chapter, number of the section in it)."""
     given = sections.select(key, F.col(body).alias("body"), F.coalesce(F.col(allowed), F.array().cast("array<string>")).alias("allowed"), F.col(chapter).alias("chapter"), F.col(number).alias("number"))
-    found = written(mdx.tokens(given, key, "body"), "quiz-tokens")
+    # Pages go to their tasks before they are cut: a small file is read by few tasks, and tokens needn't be shuffled.
+    found = written(mdx.tokens(given.repartition(key), key, "body"), "quiz-tokens")
     broken = written(mdx.faults(found, key).where("rule = 'mdx-syntax'").select(key), "quiz-broken")
 
     # Children of blocks, each with its own source.
     listed = mdx.quiz_children(found, key).where("kind <> 'stray'").join(large(broken), key, "left_anti").groupBy(key).agg(F.collect_list(F.struct("start", "end", "block_start", "block_end", "kind", "name")).alias("all"))
     each = listed.join(large(given), key).select(key, "body", "allowed", "chapter", "number", F.explode("all").alias("c")).select(key, "allowed", "chapter", "number", "c.*", F.expr("substring(body, c.start + 1, c.end - c.start)").alias("raw"))
     each = written(each.withColumn("tag", F.regexp_extract("raw", mdx.OPEN_TAG, 0)), "quiz-children")
-    tag = F.col("tag")
+    tag = F.when(F.col("kind") == "slot", F.col("tag"))
     refs = F.coalesce(M.prop_json(tag, "sourceRefs", "array<string>"), F.array().cast("array<string>"))
     parsed = _item_columns(_slot_columns(each, tag, refs)).withColumn("valid", F.when(F.col("kind") == "item", F.col("item_valid")).otherwise((F.col("kind") == "slot") & F.col("slot_valid")))
     decided = written(_decided(written(parsed, "quiz-parsed"), key, PER_BLOCK, PER_SECTION), "quiz-decided")
@@ -190,7 +194,7 @@ def resolved(pages: DataFrame, fills: DataFrame, key: str, body: str = "body") -
     A slot that nothing fills goes, and with the last of them its block, unless that holds items or other elements. A
     slot outside all blocks is filled in a block of its own. Pages that can't be parsed have their slots found by pattern.
     """
-    found = written(mdx.tokens(pages, key, body), "quiz-tokens")
+    found = written(mdx.tokens(pages.repartition(key), key, body), "quiz-tokens")
     broken = written(mdx.faults(found, key).where("rule = 'mdx-syntax'").select(key), "quiz-broken")
     children = mdx.quiz_children(found, key).join(large(broken), key, "left_anti")
     # A slot is one tag or an empty element; its id stands in the tag that begins it.

@@ -45,8 +45,9 @@ def tokens(pages: DataFrame, page: str, body: str) -> DataFrame:
     """
     cut = pages.select(page, F.posexplode(M.matches(F.col(body), TOKEN)).alias("at", "raw"))
     raw = F.col("raw")
-    kind = F.when(raw.rlike(rf"\A(?:{CLOSE_TAG})\z"), "close").when(raw.rlike(rf"\A(?:{OPEN_TAG})\z"), F.when(raw.endswith("/>"), "whole").otherwise("open"))
-    kind = kind.when(raw.rlike(rf"\A{BRACES}\z"), "expression").when(raw.isin("<", "{"), "fault").otherwise("other")
+    # The first sign says which pattern can fit; most tokens begin with another and meet none.
+    kind = F.when(raw.startswith("</") & raw.rlike(rf"\A(?:{CLOSE_TAG})\z"), "close").when(raw.startswith("<") & raw.rlike(rf"\A(?:{OPEN_TAG})\z"), F.when(raw.endswith("/>"), "whole").otherwise("open"))
+    kind = kind.when(raw.startswith("{") & raw.rlike(rf"\A{BRACES}\z"), "expression").when(raw.isin("<", "{"), "fault").otherwise("other")
     marked = cut.withColumn("kind", kind).withColumn("name", F.when(F.col("kind").isin("open", "close", "whole"), F.regexp_extract(raw, _NAME, 0)))
     so_far = Window.partitionBy(page).orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
     through = Window.partitionBy(page).orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
@@ -68,7 +69,8 @@ def _paired(found: DataFrame, page: str) -> DataFrame:
 
 def elements(found: DataFrame, page: str) -> DataFrame:
     """(page, name, tag, start, end, inner_start, inner_end, depth) of each element that is closed by its own end tag."""
-    tags = _paired(found, page)
+    # All tags of a page go to one task, where the windows by depth and those over the page find them.
+    tags = _paired(found.where(F.col("kind").isin("open", "close", "whole")).repartition(page), page)
     closed = (F.col("kind") == "open") & (F.col("next.kind") == "close") & (F.col("next.name") == F.col("name"))
     whole = F.col("kind") == "whole"
     end, inner = F.when(whole, F.col("end")).otherwise(F.col("next.end")), F.when(whole, F.col("end")).otherwise(F.col("next.start"))
@@ -118,11 +120,11 @@ def quiz_children(found: DataFrame, page: str) -> DataFrame:
     marked = every.withColumn("outer", is_block & (reach <= F.col("start")))
     block = F.last(F.when(F.col("outer"), F.struct("start", "end", "depth")), ignorenulls=True).over(through)
     inside = marked.withColumn("block", block).withColumn("block", F.when(F.col("start") < F.col("block.end"), F.col("block")))
-    kind = F.when(F.col("name") == "QuizItem", "item").when(F.col("name") == "QuizItemSlot", "slot").otherwise("unknown")
-    direct = inside.where(~F.col("outer") & (F.col("depth") == F.col("block.depth") + 1)).select(page, F.col("block.start").alias("block_start"), F.col("block.end").alias("block_end"), kind.alias("kind"), "name", "start", "end")
-    stray = inside.where((F.col("name") == "QuizItemSlot") & F.col("block").isNull()).select(page, F.lit(None).cast("int").alias("block_start"), F.lit(None).cast("int").alias("block_end"), F.lit("stray").alias("kind"), "name", "start", "end")
-    empty = inside.where("outer").join(large(direct.select(page, F.col("block_start").alias("start")).distinct()), [page, "start"], "left_anti")
-    return direct.unionByName(stray).unionByName(empty.select(page, F.col("start").alias("block_start"), F.col("end").alias("block_end"), F.lit("empty").alias("kind"), "name", "start", "end"))
+    parted = inside.withColumns({"block_start": F.col("block.start"), "direct": F.coalesce(~F.col("outer") & (F.col("depth") == F.col("block.depth") + 1), F.lit(False))})
+    held = F.count_if(F.col("direct")).over(Window.partitionBy(page, "block_start"))
+    child = F.when(F.col("name") == "QuizItem", "item").when(F.col("name") == "QuizItemSlot", "slot").otherwise("unknown")
+    kind = F.when(F.col("direct"), child).when(F.col("outer") & (F.col("held") == 0), "empty").when((F.col("name") == "QuizItemSlot") & F.col("block").isNull(), "stray")
+    return parted.withColumn("held", held).withColumn("kind", kind).where("kind IS NOT NULL").select(page, "block_start", F.col("block.end").alias("block_end"), "kind", "name", "start", "end")
 
 
 def overlapping(edits: DataFrame, page: str) -> DataFrame:

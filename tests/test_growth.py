@@ -103,3 +103,14 @@ def test_a_quote_is_read_once(spark):
     for made in (maths.quote_formulas(F.col("t")), maths.normalised("t"), maths.own_lines(F.col("t"))):
         assert plan(rows.select(made.alias("q"))).count("t#") <= 6
     assert rows.select(maths.quote_formulas(F.col("t")).alias("q")).first().q == "Sum of a: $x_{1} + 1$"
+
+
+def test_tags_of_a_page_are_shuffled_once(spark, tmp_path):
+    """Pairs, blocks and children of all kinds come from one shuffle of a page's tags."""
+    bodies = ["<QuizBlock></QuizBlock> x <QuizItemSlot />", "<QuizBlock><A/><QuizItem>t</QuizItem></QuizBlock><QuizBlock>y</QuizBlock>", "none"]
+    found = mdx.tokens(spark.createDataFrame(list(enumerate(bodies)), "id int, body string"), "id", "body")
+    found.write.parquet(f"{tmp_path}/found")
+    made = mdx.quiz_children(spark.read.parquet(f"{tmp_path}/found"), "id")
+    assert plan(made).count("Exchange") == 1
+    got = sorted((r.id, r.kind, r.name, r.start, r.end, r.block_start, r.block_end) for r in made.collect())
+    assert got == [(0, "empty", "QuizBlock", 0, 23, 0, 23), (0, "stray", "QuizItemSlot", 26, 42, None, None), (1, "empty", "QuizBlock", 49, 73, 49, 73), (1, "item", "QuizItem", 15, 37, 0, 49), (1, "unknown", "A", 11, 15, 0, 49)]
