@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folio.functions import text as T
+from folio.functions.text import let
 from folio.session import written
 
 #: The keys of a block that may hold its text, of a content object, of a nested span, and kinds of formulas.
@@ -64,11 +65,58 @@ def parent(place: Column) -> Column:
     return F.slice(place, F.lit(1), F.size(place) - 1)
 
 
+def _cited_below(found: DataFrame, key: str) -> DataFrame:
+    """One level further down: references stay as they are, containers give way to what they hold.
+
+    Rows are (key, place, cited, text, raw, v): a reference that is cited, or a container with its raw and v, or both.
+    """
+    maps = lambda of: F.from_json("raw", f"map<string,{of}>")
+    lists = lambda of: F.from_json("raw", f"array<{of}>")
+    placed = lambda cited: lambda c, i: F.struct(F.array_append("place", i).alias("place"), cited(c).alias("cited"), F.lit(None).cast("string").alias("text"), c["raw"].alias("raw"), F.coalesce(c["v"], F.parse_json(F.lit("null"))).alias("v"))
+    zipped = lambda m, q: F.transform(F.arrays_zip(F.map_keys(m).alias("name"), F.map_values(m).alias("raw"), F.map_values(maps("variant")).alias("v")), placed(lambda c: (c["name"] == "ref_id") & q))
+    members = let(maps("string"), lambda m: let(F.map_contains_key(m, "quote"), lambda q: zipped(m, q)))
+    items = F.transform(F.arrays_zip(lists("string").alias("raw"), lists("variant").alias("v")), placed(lambda c: F.lit(False)))
+    itself = F.array(F.struct("place", "cited", "text", F.lit(None).cast("string").alias("raw"), F.lit(None).cast("variant").alias("v")))
+    none = F.slice(itself, 1, 0)
+    held = F.when(F.col("kind") == "object", members).when(F.col("kind") == "array", items).otherwise(none)
+    below = found.withColumn("held", F.concat(F.when(F.col("cited"), itself).otherwise(none), held)).select(key, F.explode("held").alias("c")).select(key, "c.*")
+    return _kept_of(below, key)
+
+
+def _kept_of(rows: DataFrame, key: str) -> DataFrame:
+    """Of (key, place, cited, text, raw, v) the containers and the references; texts of these, raw and v of those."""
+    def read(shown: Column) -> Column:
+        first = F.substring(shown, 1, 1)
+        kind = F.when(first == "{", "object").when(first == "[", "array")
+        text = F.when(first == '"', F.col("v").cast("string")).when(kind.isNull() & (shown != "null"), shown)
+        return F.struct(kind.alias("kind"), F.when(F.col("cited"), F.coalesce("text", text, F.lit(""))).alias("text"))
+
+    typed = rows.withColumn("is", let(F.to_json("v"), read)).where("cited OR is.kind IS NOT NULL")
+    inner = F.col("is.kind").isNotNull()
+    return typed.select(key, "place", "cited", F.col("is.text").alias("text"), *(F.when(inner, F.col(c)).alias(c) for c in ("raw", "v")), F.col("is.kind").alias("kind"))
+
+
+#: Levels that are taken apart in one pass before what is left of them is written.
+AT_ONCE = 4
+
+
 def cited_refs(rows: DataFrame, key: str, json: str) -> DataFrame:
-    """(key, n, ref_id): the ref_id of every object that has a quote too, as a reader meets them, repeats included."""
-    named = nodes(rows, key, json).where("name IN ('ref_id', 'quote')").withColumn("of", parent(F.col("place")))
-    refs = named.where("name = 'ref_id'").join(named.where("name = 'quote'").select(key, "of"), [key, "of"], "left_semi")
-    listed = refs.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("of", F.coalesce("text", F.lit("")).alias("ref_id")))).alias("all"))
+    """(key, n, ref_id): the ref_id of every object that has a quote too, as a reader meets them, repeats included.
+
+    Levels follow each other inside the tasks; only references, and what lies deeper than ``AT_ONCE`` levels, are written.
+    """
+    top = rows.select(key, F.array().cast("array<int>").alias("place"), F.lit(False).alias("cited"), F.lit(None).cast("string").alias("text"), F.col(json).alias("raw"), F.try_parse_json(json).alias("v")).where("v IS NOT NULL")
+    left, refs = _kept_of(top, key), None
+    while True:
+        for _ in range(AT_ONCE):
+            left = _cited_below(left, key)
+        left = written(left, "nested-cited")
+        found = left.where("cited").select(key, parent(F.col("place")).alias("of"), F.col("text").alias("ref_id"))
+        refs = found if refs is None else refs.unionByName(found)
+        left = left.where("kind IS NOT NULL").withColumn("cited", F.lit(False))
+        if left.isEmpty():
+            break
+    listed = refs.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("of", "ref_id"))).alias("all"))
     return listed.select(key, F.posexplode(F.transform("all", lambda r: r["ref_id"])).alias("n", "ref_id"))
 
 

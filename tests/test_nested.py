@@ -85,3 +85,14 @@ def test_texts_of_blocks(spark):
     rows = spark.createDataFrame([(i, json.dumps(b)) for i, b in enumerate(blocks)], ROWS)
     got = {r.k: r.text for r in N.block_text(rows, "k", "body").collect()}
     assert [got[i] for i in range(len(blocks))] == want
+
+
+def test_levels_follow_each_other_without_being_written(spark, monkeypatch):
+    """Four levels are taken apart before anything is written, what lies deeper in as many rounds as it takes."""
+    rounds, write = [], N.written
+    monkeypatch.setattr(N, "written", lambda rows, name: rounds.append(name) or write(rows, name))
+    cite = {"ref_id": {"ref_id": 1.5, "quote": 0}, "quote": None}
+    for value, want, times in (({"a": [cite]}, ["", "1.5"], 1), ([[[[[{"b": cite}]]]]], ["", "1.5"], 2)):
+        rounds.clear()
+        made = N.cited_refs(spark.createDataFrame([(1, json.dumps(value))], ROWS), "k", "body")
+        assert [r.ref_id for r in made.orderBy("n").collect()] == want and len(rounds) == times
