@@ -24,11 +24,16 @@ from pyspark.sql import functions as F
 from folio.llm.pieces import PieceIds, gather
 
 WINDOW, SEPARATOR = 2048, 1
-#: A shard ends at so many documents or tokens. Terms in a larger share of its documents tell nothing apart and have no postings.
-SHARD_DOCS, SHARD_TOKENS, COMMON = 512, 4_000_000, 0.1
+#: A shard ends at so many documents or tokens. Terms count up to this share of its documents: all of them do.
+SHARD_DOCS, SHARD_TOKENS, COMMON = 512, 4_000_000, 1.0
+#: Terms in a larger share of the documents are scored by rows over all documents, at most so many cells; the others by postings.
+DENSE, CELLS = 0.1, 8_000_000
 K1, B = 1.2, 0.75
 
 _CUT = re.compile(r"[^ \t\n\r\x0b\x0c]+").findall
+#: Signs at a word's end, which the tokenizer divides from a letter or digit in any case: with a space between, words
+#: with and without them are one.
+_TAIL = re.compile(r"[.,;:!?#$%*&|](?<=[0-9A-Za-zß-öø-ÿ].)[.,;:!?#$%*&|]*(?=[ \n]|\Z)")
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -62,7 +67,7 @@ def pieces(path: str) -> PieceIds:
         rest, single = iter(done), iter(alone([words[i] for i in sorted(odd)]))
         return [next(single) if i in odd else next(rest) for i in range(len(words))] if odd else done
 
-    return PieceIds(_CUT, encode)
+    return PieceIds(lambda text: _CUT(_TAIL.sub(r" \g<0>", text)), encode)
 
 
 class Index:
@@ -77,8 +82,14 @@ class Index:
         df = np.diff(np.concatenate([first, [len(term)]]))
         slot = np.repeat(np.arange(len(first)), df)
         told = (df > 1) & (df <= max(2, COMMON * n))
+        often = np.argsort(-df, kind="stable")[: CELLS // max(1, n)]
+        often = often[told[often] & (df[often] > max(2, DENSE * n))]
         weight = np.log1p((n - df + 0.5) / (df + 0.5))[slot] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes[doc] / max(1.0, sizes.mean())))
         self.n, self.first, self.df, self.doc, self.weight = n, first, df, doc, weight
+        self.row, self.rows = np.full(len(first), -1), np.zeros((len(often), n))
+        self.row[often] = np.arange(len(often))
+        row = self.row[slot]
+        self.rows[row[row >= 0], doc[row >= 0]] = weight[row >= 0]
         kept = told[slot]
         order = np.argsort(doc[kept], kind="stable")
         self.terms = slot[kept][order]
@@ -87,8 +98,11 @@ class Index:
     def neighbours(self, seed: int, unused: np.ndarray) -> np.ndarray:
         """Unused documents that share a term with the seed, best score first, ties in order."""
         terms = self.terms[self.bounds[seed] : self.bounds[seed + 1]]
+        row = self.row[terms]
+        terms, scores = terms[row < 0], self.rows[row[row >= 0]].sum(0)
         docs = gather(self.doc, self.first[terms], self.df[terms])
-        scores = np.bincount(docs, gather(self.weight, self.first[terms], self.df[terms]), self.n) if len(docs) else np.zeros(self.n)
+        if len(docs):
+            scores += np.bincount(docs, gather(self.weight, self.first[terms], self.df[terms]), self.n)
         scores[~unused] = 0
         found = np.flatnonzero(scores)
         return found[np.argsort(-scores[found], kind="stable")]

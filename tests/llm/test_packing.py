@@ -76,6 +76,21 @@ def test_neighbours_match_brute_force():
         assert (np.diff(scores[got]) <= 1e-9).all()
 
 
+def test_terms_of_very_many_documents_find_neighbours():
+    """Terms in a third of a shard's documents and in all of them count, by rows over all documents or by postings."""
+    rng = np.random.default_rng(4)
+    docs = [np.concatenate([[1, 2 + i % 3], rng.integers(0, 3, 5) + 10, [100 + i]]) for i in range(90)]
+    flat, ends, cells = np.concatenate(docs).astype(np.int32), np.cumsum([0, *map(len, docs)]), K.CELLS
+    both = []
+    for K.CELLS in (cells, 0):
+        index = K.Index(flat, ends)
+        both.append([index.neighbours(seed, np.arange(90) != seed) for seed in range(90)])
+    K.CELLS = cells
+    for seed, (found, same) in enumerate(zip(*both)):
+        assert len(found) == len(same) == 89 and found[0] % 3 == seed % 3
+        assert sum(j % 3 == seed % 3 for j in found[:29].tolist()) > 20
+
+
 def test_windows_hold_related_documents(spark):
     docs = topics(400)
     rows = K.pack(spark.createDataFrame(docs, "doc_id long, text string").coalesce(1), PATH).collect()
@@ -93,5 +108,12 @@ def test_word_by_word_is_whole(text):
     assert flat.tolist() == WHOLE.encode(text, add_special_tokens=False).ids
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="aZ1éΣ½.,;!$|&<>'`-s \n\u0301\u0338\u00a0"))
+def test_signs_at_the_end_of_words(text):
+    flat, _ = K.pieces(PATH).encode([text])
+    assert flat.tolist() == WHOLE.encode(text, add_special_tokens=False).ids
+
+
 def test_cut_is_white_space():
     assert K._CUT(" a\tb\n\nc\x0bd ") == re.split(r"\s", "a b c d")
