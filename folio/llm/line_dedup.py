@@ -23,6 +23,8 @@ spaces are words of their own.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,15 +33,18 @@ from folio.llm.common import discard, spool
 #: Words of a repeated run that is deleted, and of a window, the whole lines that it must hold.
 MIN_WORDS, WINDOW = 20, 20
 
-#: Between lines: line breaks, and the space that ends a sentence.
-CUT = r"\n+|(?<=[.!?。！？]) +"
 #: Signs of scripts that write without spaces (Thai, Lao, Burmese, Khmer, Kana, Han), by ranges, which are fast to test;
 #: what a text's words are where it has such signs, with the space behind.
 UNSPACED = r"\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u3040-\u30FF\u3400-\u4DBF\u4E00-\u9FFF\uF900-\uFAFF\x{20000}-\x{3FFFF}"
 SIGNS = rf"[{UNSPACED}]\s*|[^\s{UNSPACED}]+\s*"
 #: A line of more words than ``LONG`` is cut behind words with one of ``ENDS`` as their last sign, into parts of ``LEAST`` to ``MOST`` words.
 LONG, LEAST, MOST, ENDS = 16, 4, 12, ",;:ndND05нйνςの，、；：的了是"
-PART = rf"(?:\S++ ){{{LEAST - 1},{MOST - 1}}}?\S*[{ENDS}](?: |$)|(?:\S++ ?+){{1,{MOST}}}"
+#: Lines end at line breaks and at the space behind the marks that end sentences; ``SPACE`` is one inside a line.
+MARKS = ".!?。！？"
+SPACE = rf" (?<![{MARKS}] )"
+PART = rf"(?:\S++{SPACE}){{{LEAST - 1},{MOST - 1}}}?\S*+(?<=[{ENDS}])|\S++(?:{SPACE}\S++){{0,{MOST - 1}}}+"
+#: A whole line up to ``LONG`` words, or a part of one, where single spaces are between words.
+LINE = rf"(?:(?<![^\n])|(?<=(?:^|[{MARKS}\n]) ))\S++(?:{SPACE}\S++){{0,{LONG - 1}}}+(?!{SPACE}\S)|{PART}"
 #: Lines on either side of a match whose words are compared.
 NEXT = 3
 
@@ -48,20 +53,19 @@ def lines_of(text: Column | str) -> Column:
     """The lines of a text, single spaces between their words."""
     whole = F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
     tidy = lambda t: F.regexp_replace(t, r"[^\S\n]+", " ")
-    single = F.when(unspaced(whole), tidy(F.regexp_replace(whole, f"([{UNSPACED}])", " $1 "))).when(whole.rlike(r"[\t\r\f\x0b]|  "), tidy(whole)).otherwise(whole)
-    lines = F.transform(F.split(single, CUT, -1), lambda line: F.trim(line))
-    cut = F.transform(lines, lambda line: F.when(_size(line) > LONG, F.regexp_extract_all(line, F.lit(PART), F.lit(0))).otherwise(F.array(line)))
-    return F.transform(F.filter(F.flatten(cut), lambda line: line != ""), lambda line: F.rtrim(line))
+    untidy = reduce(Column.__or__, [F.contains(whole, F.lit(sign)) for sign in ("  ", "\t", "\r", "\f", "\x0b")])
+    single = F.when(unspaced(whole), tidy(F.regexp_replace(whole, f"([{UNSPACED}])", " $1 "))).when(untidy, tidy(whole)).otherwise(whole)
+    return F.regexp_extract_all(single, F.lit(LINE), F.lit(0))
 
 
 def unspaced(text: Column) -> Column:
-    """Whether a text has signs that are words of their own; plain ASCII is told by its size."""
-    return (F.octet_length(text) > F.length(text)) & text.rlike(f"[{UNSPACED}]")
+    """Whether a text has signs that are words of their own; plain ASCII is told by its size, most others by one range."""
+    return (F.octet_length(text) > F.length(text)) & text.rlike(r"[^\x00-\u0DFF]") & text.rlike(f"[{UNSPACED}]")
 
 
 def _size(line: Column) -> Column:
     """Words of a tidy line."""
-    return F.when(line == "", 0).otherwise(F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1)
+    return F.octet_length(line) - F.octet_length(F.replace(line, F.lit(" "), F.lit(""))) + 1
 
 
 def _row_key(doc_id: Column, text: Column) -> Column:
@@ -71,39 +75,42 @@ def _row_key(doc_id: Column, text: Column) -> Column:
 def sequences(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """(row, doc, h, w): hashes and words of the lines of each row; ``row`` tells rows apart that differ in doc_id or text."""
     return docs.select(_row_key(F.col(doc_id), F.col(text)).alias("row"), F.col(doc_id).cast("long").alias("doc"), lines_of(F.col(text)).alias("lines")).select(
-        "row", "doc", F.transform("lines", lambda line: F.xxhash64(line)).alias("h"), F.transform("lines", lambda line: _size(line).cast("short")).alias("w")
+        "row", "doc", F.transform("lines", lambda line: F.xxhash64(line)).alias("h"), F.transform("lines", _size).alias("w")
     )
 
 
 def selected(sequence: DataFrame, min_words: int) -> DataFrame:
-    """(row, doc, pos, around, same): for each window of at least ``min_words`` words the line that it selects.
+    """(row, doc, pos, around): for each window of at least ``min_words`` words the line that it selects.
 
-    ``around`` is a hash of the window's lines in order, ``same`` the place of the equal window before it in the text. A
-    line is there once for each of its windows: the first may begin in front of a run that texts share, and so differ
-    between them. Whole sequences are dealt by row once; all windows go by row and keep to that.
+    ``around`` is a hash of the window's lines in order. A line is there once for each of its windows: the first may
+    begin in front of a run that texts share, and so differ between them. A window is made at the first word of
+    the line that it begins with, out of its text's arrays (``line``: each word's line), without a sort.
     """
-    lines = sequence.repartition("row").select("row", "doc", F.posexplode(F.arrays_zip("h", "w")).alias("pos", "line")).select("row", "doc", "pos", "line.h", "line.w")
-    by_row = Window.partitionBy("row")
-    placed = lines.withColumn("at", F.sum("w").over(by_row.orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("w"))
-    window = by_row.orderBy("at").rangeBetween(0, min_words - 1)
-    chosen = placed.select("row", "doc", F.min(F.struct("h", "pos")).over(window).alias("least"), F.xxhash64(F.collect_list("h").over(window)).alias("around"), F.sum("w").over(window).alias("words")).where(F.col("words") >= min_words)
-    prints = chosen.select("row", "doc", F.col("least.pos").alias("pos"), "around")
-    return prints.withColumn("same", F.lag("pos").over(Window.partitionBy("row", "around").orderBy("pos")))
+    lines = F.flatten(F.transform("w", lambda n, at: F.array_repeat(at, n)))
+    words = sequence.select("row", "doc", "h", lines.alias("line")).select("*", F.posexplode_outer("line").alias("word", "at"))  # not outer, Spark would make the array twice, to test its size
+    begun = words.where((F.col("word") == 0) | (F.get("line", F.col("word") - 1) < F.col("at"))).withColumn("end", F.get("line", F.col("word") + (min_words - 1))).where("end IS NOT NULL")
+    begun = begun.select("row", "doc", "at", F.slice("h", F.col("at") + 1, F.col("end") - F.col("at") + 1).alias("part"))
+    least = F.col("at") + F.array_position("part", F.array_min("part")).cast("int") - 1
+    return begun.select("row", "doc", least.alias("pos"), F.xxhash64("part").alias("around"))
 
 
-def alignments(prints: DataFrame) -> DataFrame:
+def alignments(sequence: DataFrame, min_words: int) -> DataFrame:
     """(row, other, shift): texts to align; line pos of ``row`` meets line pos - shift of ``other``, an earlier place.
 
-    Anchors are aggregated and written before prints are joined with them, so that adaptive execution can split the
-    partition of a hash that a large part of all texts share. ``prints`` is a spooled table, deleted once it is used up;
-    the result is spooled.
+    A text that repeats a line may repeat a window: such texts are sorted, there a window meets the place before it in
+    its text, and its first place alone meets other texts. Anchors are aggregated and written before prints are joined
+    with them, so that adaptive execution can split the partition of a hash that a large part of all texts share. The
+    result is spooled.
     """
-    inside = spool(prints.where("same IS NOT NULL").select("row", F.col("row").alias("other"), (F.col("pos") - F.col("same")).alias("shift")).where("shift > 0").distinct(), "line-inside")
-    prints, given = prints.where("same IS NULL").drop("same"), prints  # a window once in each text
-    first = spool(prints.groupBy("around").agg(F.min(F.struct("doc", "row", "pos")).alias("at"), F.count("*").alias("n")).where("n > 1").drop("n"), "line-anchors")
-    ahead = prints.join(first, "around").where(F.col("row") != F.col("at.row")).select("row", F.col("at.row").alias("other"), (F.col("pos") - F.col("at.pos")).alias("shift"))
-    aligned = spool(inside.unionByName(ahead.distinct()).distinct(), "line-alignments")
-    for done in (inside, given, first):
+    repeats = F.size(F.array_distinct("h")) < F.size("h")
+    same = F.lag("pos").over(Window.partitionBy("row", "around").orderBy("pos"))
+    within = spool(selected(sequence.where(repeats), min_words).withColumn("same", same), "line-within")
+    inside = within.where("same IS NOT NULL").select("row", F.col("row").alias("other"), (F.col("pos") - F.col("same")).alias("shift")).where("shift > 0").distinct()
+    once = spool(selected(sequence.where(~repeats), min_words).unionByName(within.where("same IS NULL").drop("same")), "line-once")  # a window once in each text
+    first = spool(once.groupBy("around").agg(F.min(F.struct("doc", "row", "pos")).alias("at"), F.count("*").alias("n")).where("n > 1").drop("n"), "line-anchors")
+    ahead = once.join(first, "around").where(F.col("row") != F.col("at.row")).select("row", F.col("at.row").alias("other"), (F.col("pos") - F.col("at.pos")).alias("shift"))
+    aligned = spool(inside.unionByName(ahead.distinct()), "line-alignments")
+    for done in (within, once, first):
         discard(done)
     return aligned
 
@@ -153,17 +160,19 @@ def _ends(found: DataFrame, docs: DataFrame, doc_id: str, text: str) -> DataFram
 def repeated_runs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """(row, doc, runs): for each distinct (doc_id, text) with repeats, the runs (first word, last word) to delete."""
     sequence = spool(sequences(docs, doc_id, text), "line-sequences")
-    if not sequence.groupBy("row").count().where("count > 1").isEmpty():  # repeated rows are one document
+    repeated = not sequence.groupBy("row").count().where("count > 1").isEmpty()
+    if repeated:  # repeated rows are one document
         whole, sequence = sequence, spool(sequence.dropDuplicates(["row"]), "line-sequences")
         discard(whole)
-    aligned = alignments(spool(selected(sequence, min(WINDOW, min_words)), "line-prints"))
+    aligned = alignments(sequence, min(WINDOW, min_words))
     own = aligned.join(sequence, "row")
     other = sequence.select(F.col("row").alias("other"), F.col("h").alias("other_h"))
     found = own.join(other, "other").select("row", "doc", "other", "shift", F.explode(_runs(min(WINDOW, min_words))).alias("run")).select("row", "doc", "other", "shift", "run.*")
     found = spool(found, "line-found")
     discard(aligned)
     discard(sequence)
-    ends = spool(_ends(found, docs, doc_id, text).dropDuplicates(["row", "first", "last"]), "line-ends")
+    ends = _ends(found, docs, doc_id, text)
+    ends = spool(ends.dropDuplicates(["row", "first", "last"]) if repeated else ends, "line-ends")
     theirs = ends.select(F.col("row").alias("other"), (F.col("first")).alias("other_first"), F.col("last").alias("other_last"), F.col("before").alias("other_before"), F.col("after").alias("other_after"))
     met = found.withColumns({"other_first": F.col("first") - F.col("shift"), "other_last": F.col("last") - F.col("shift")}).join(theirs, ["other", "other_first", "other_last"]).join(ends, ["row", "first", "last"])
     left, right = _alike(F.reverse("before"), F.reverse("other_before")), _alike(F.col("after"), F.col("other_after"))
@@ -174,6 +183,14 @@ def repeated_runs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", m
     return runs
 
 
+def _gaps(runs: Column, size: Column) -> Column:
+    """Stretches (at, n) of ``size`` words that lie in none of the runs, which are in order of their first words."""
+    none = F.expr("CAST(array() AS array<struct<at: int, n: int>>)")
+    gap = lambda acc, end: F.when(end > acc["at"], F.concat(acc["gaps"], F.array(F.struct(acc["at"].alias("at"), (end - acc["at"]).alias("n"))))).otherwise(acc["gaps"])
+    step = lambda acc, run: F.struct(F.greatest(acc["at"], run["last"] + 1).alias("at"), gap(acc, run["first"]).alias("gaps"))
+    return F.aggregate(runs, F.struct(F.lit(0).alias("at"), none.alias("gaps")), step, lambda acc: gap(acc, size))
+
+
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, counts: bool = False) -> DataFrame:
     """``docs`` with later repeats of passages cut out of ``text``; all rows and other columns stay as they were.
 
@@ -187,7 +204,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     joined = keyed.join(runs.hint("shuffle_hash"), same, "left").select("folio_row", "runs")
     body = F.col("folio_row")[text]
     joined = joined.withColumn("pieces", F.when(F.col("runs").isNull(), None).when(unspaced(body), F.regexp_extract_all(body, F.lit(SIGNS), F.lit(0))).otherwise(F.regexp_extract_all(body, F.lit(r"\S+\s*"), F.lit(0))))
-    joined = joined.withColumn("kept", F.filter("pieces", lambda _, i: ~F.exists(F.col("runs"), lambda run: (run["first"] <= i) & (i <= run["last"]))))
+    joined = joined.withColumn("kept", F.flatten(F.transform(_gaps(F.col("runs"), F.size("pieces")), lambda gap: F.slice("pieces", gap["at"] + 1, gap["n"]))))
     lead = F.when(F.size("kept") > 0, F.regexp_extract(body, r"^\s*", 0)).otherwise("")
     shorter = F.when(F.col("runs").isNull(), body).otherwise(F.concat(lead, F.array_join("kept", "")))
     columns = [shorter.alias(c) if c == text else F.col("folio_row")[c].alias(c) for c in docs.columns]
