@@ -134,7 +134,7 @@ def _runs(least: int) -> Column:
 
 
 def _words(lines: Column) -> Column:
-    return F.filter(F.split(F.array_join(lines, " "), " "), lambda w: w != "")
+    return F.array_remove(F.split(F.array_join(lines, " "), " "), "")
 
 
 def _alike(one: Column, two: Column) -> Column:
@@ -203,7 +203,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     same = (keyed["row"] == runs["row"]) & keyed["doc"].eqNullSafe(runs["doc"])
     joined = keyed.join(runs.hint("shuffle_hash"), same, "left").select("folio_row", "runs")
     body = F.col("folio_row")[text]
-    joined = joined.withColumn("pieces", F.when(F.col("runs").isNull(), None).when(unspaced(body), F.regexp_extract_all(body, F.lit(SIGNS), F.lit(0))).otherwise(F.regexp_extract_all(body, F.lit(r"\S+\s*"), F.lit(0))))
+    joined = joined.withColumn("pieces", F.when(F.col("runs").isNull(), None).when(unspaced(body), F.regexp_extract_all(body, F.lit(SIGNS), F.lit(0))).otherwise(F.regexp_extract_all(body, F.lit(r"\S++\s*+"), F.lit(0))))
     joined = joined.withColumn("kept", F.flatten(F.transform(_gaps(F.col("runs"), F.size("pieces")), lambda gap: F.slice("pieces", gap["at"] + 1, gap["n"]))))
     lead = F.when(F.size("kept") > 0, F.regexp_extract(body, r"^\s*", 0)).otherwise("")
     shorter = F.when(F.col("runs").isNull(), body).otherwise(F.concat(lead, F.array_join("kept", "")))

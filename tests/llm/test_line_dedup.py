@@ -146,6 +146,29 @@ def test_lines_are_cut_at_breaks_sentences_and_certain_words(spark):
     assert re.sub(r"\s+", " ", text) == " ".join(got)
 
 
+def test_windows_are_made_without_a_window_function(spark):
+    """The line and the lines' hash of each run of at least 20 words, by hand; a text is sorted only if it repeats a line."""
+    rng = random.Random(6)
+    texts = [(i, [rng.randrange(1, 9) for _ in range(rng.randrange(30))]) for i in range(40)]
+    rows = [(i, i, [rng.randrange(10**9) for _ in w], w) for i, w in texts]
+    frame = spark.createDataFrame(rows, "row long, doc long, h array<long>, w array<int>")
+    made = L.selected(frame, 20)
+    assert "Sort" not in made._jdf.queryExecution().executedPlan().toString()
+    got, want = {}, {}
+    for r in made.collect():
+        got.setdefault(r.row, []).append((r.pos, r.around))
+    hashes = {}
+    for i, _, h, w in rows:
+        for a in range(len(w)):
+            b = next((b for b in range(a, len(w) + 1) if sum(w[a:b]) >= 20), None)
+            if b is not None:
+                part = h[a:b]
+                want.setdefault(i, []).append(a + part.index(min(part)))
+                hashes.setdefault(tuple(part), None)
+    assert {i: [p for p, _ in v] for i, v in got.items()} == want
+    assert len({a for v in got.values() for _, a in v}) == len(hashes)
+
+
 def test_windows_anchored_in_different_texts(spark):
     """Short texts hold two lines each of a passage; the first text with all of it stays, the second loses it."""
     lines = [" ".join(f"l{j}w{k}" for k in range(9)) + "." for j in range(10)]
