@@ -39,23 +39,33 @@ UNSPACED = r"\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u3040-\u30FF\u3400-\u4DBF\u
 SIGNS = rf"[{UNSPACED}]\s*|[^\s{UNSPACED}]+\s*"
 #: A line of more words than ``LONG`` is cut behind words with one of ``ENDS`` as their last sign, into parts of ``LEAST`` to ``MOST`` words.
 LONG, LEAST, MOST, ENDS = 16, 4, 12, ",;:ndND05нйνςの，、；：的了是"
-#: Lines end at line breaks and at the space behind the marks that end sentences; ``SPACE`` is one inside a line.
+#: Lines end at line breaks and at the space behind the marks that end sentences; ``WORD`` and ``SPACE`` are a word of a tidy text and a space inside a line.
 MARKS = ".!?。！？"
-SPACE = rf" (?<![{MARKS}] )"
-PART = rf"(?:\S++{SPACE}){{{LEAST - 1},{MOST - 1}}}?\S*+(?<=[{ENDS}])|\S++(?:{SPACE}\S++){{0,{MOST - 1}}}+"
+WORD, SPACE = r"(?>[^ \n]+)", rf"(?<![{MARKS}]) "
+#: A part: to the first word with one of ``ENDS`` from the word ``LEAST`` on, else ``MOST`` words or what is left. No word is read twice.
+PART = rf"(?:{WORD}{SPACE}){{{LEAST - 1}}}(?:{WORD}(?<![{ENDS}]){SPACE}){{0,{MOST - LEAST}}}+{WORD}|{WORD}(?:{SPACE}{WORD}){{0,{LEAST - 2}}}+"
 #: A whole line up to ``LONG`` words, or a part of one, where single spaces are between words.
-LINE = rf"(?:(?<![^\n])|(?<=(?:^|[{MARKS}\n]) ))\S++(?:{SPACE}\S++){{0,{LONG - 1}}}+(?!{SPACE}\S)|{PART}"
+LINE = rf"(?:(?<![^\n])|(?<=(?:^|[{MARKS}\n]) )){WORD}(?:{SPACE}{WORD}){{0,{LONG - 1}}}+(?!{SPACE}[^ \n])|{PART}"
 #: Lines on either side of a match whose words are compared.
 NEXT = 3
 
 
-def lines_of(text: Column | str) -> Column:
-    """The lines of a text, single spaces between their words."""
+def _tidy(text: Column | str) -> Column:
+    """A text with single spaces or line breaks between its words."""
     whole = F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
     tidy = lambda t: F.regexp_replace(t, r"[^\S\n]+", " ")
     untidy = reduce(Column.__or__, [F.contains(whole, F.lit(sign)) for sign in ("  ", "\t", "\r", "\f", "\x0b")])
-    single = F.when(unspaced(whole), tidy(F.regexp_replace(whole, f"([{UNSPACED}])", " $1 "))).when(untidy, tidy(whole)).otherwise(whole)
-    return F.regexp_extract_all(single, F.lit(LINE), F.lit(0))
+    return F.when(unspaced(whole), tidy(F.regexp_replace(whole, f"([{UNSPACED}])", " $1 "))).when(untidy, tidy(whole)).otherwise(whole)
+
+
+def lines_of(text: Column | str) -> Column:
+    """The lines of a text, single spaces between their words."""
+    return F.regexp_extract_all(_tidy(text), F.lit(LINE), F.lit(0))
+
+
+def words_of(text: Column | str) -> Column:
+    """The words of a text, in order those of its lines."""
+    return F.array_remove(F.split(F.replace(_tidy(text), F.lit("\n"), F.lit(" ")), " "), "")
 
 
 def unspaced(text: Column) -> Column:
@@ -87,7 +97,7 @@ def selected(sequence: DataFrame, min_words: int) -> DataFrame:
     the line that it begins with, out of its text's arrays (``line``: each word's line), without a sort.
     """
     lines = F.flatten(F.transform("w", lambda n, at: F.array_repeat(at, n)))
-    words = sequence.select("row", "doc", "h", lines.alias("line")).select("*", F.posexplode_outer("line").alias("word", "at"))  # not outer, Spark would make the array twice, to test its size
+    words = sequence.select("row", "doc", "h", lines.alias("line")).select("*", F.posexplode_outer("line").alias("word", "at"))  # outer, else Spark makes the array twice, to test its size
     begun = words.where((F.col("word") == 0) | (F.get("line", F.col("word") - 1) < F.col("at"))).withColumn("end", F.get("line", F.col("word") + (min_words - 1))).where("end IS NOT NULL")
     begun = begun.select("row", "doc", "at", F.slice("h", F.col("at") + 1, F.col("end") - F.col("at") + 1).alias("part"))
     least = F.col("at") + F.array_position("part", F.array_min("part")).cast("int") - 1
@@ -97,44 +107,49 @@ def selected(sequence: DataFrame, min_words: int) -> DataFrame:
 def alignments(sequence: DataFrame, min_words: int) -> DataFrame:
     """(row, other, shift): texts to align; line pos of ``row`` meets line pos - shift of ``other``, an earlier place.
 
-    A text that repeats a line may repeat a window: such texts are sorted, there a window meets the place before it in
-    its text, and its first place alone meets other texts. Anchors are aggregated and written before prints are joined
-    with them, so that adaptive execution can split the partition of a hash that a large part of all texts share. The
-    result is spooled.
+    Windows are counted by their hash alone first, and made a second time to be joined with the hashes that occur again,
+    so that only these, a small part, are sorted and written. There a window meets the place before it in its text, and its
+    first place alone meets other texts. What is joined with windows is aggregated and written before, so that adaptive
+    execution can split the partition of a hash that a large part of all texts share. The result is spooled.
     """
-    repeats = F.size(F.array_distinct("h")) < F.size("h")
+    windows = selected(sequence, min_words)
+    again = spool(windows.groupBy("around").count().where("count > 1").select("around"), "line-again")
     same = F.lag("pos").over(Window.partitionBy("row", "around").orderBy("pos"))
-    within = spool(selected(sequence.where(repeats), min_words).withColumn("same", same), "line-within")
-    inside = within.where("same IS NOT NULL").select("row", F.col("row").alias("other"), (F.col("pos") - F.col("same")).alias("shift")).where("shift > 0").distinct()
-    once = spool(selected(sequence.where(~repeats), min_words).unionByName(within.where("same IS NULL").drop("same")), "line-once")  # a window once in each text
+    places = spool(windows.join(again.hint("shuffle_hash"), "around").repartition("row", "around").withColumn("same", same), "line-places")
+    inside = places.where("same IS NOT NULL").select("row", F.col("row").alias("other"), (F.col("pos") - F.col("same")).alias("shift")).where("shift > 0").distinct()
+    once = places.where("same IS NULL")  # a window once in each text
     first = spool(once.groupBy("around").agg(F.min(F.struct("doc", "row", "pos")).alias("at"), F.count("*").alias("n")).where("n > 1").drop("n"), "line-anchors")
     ahead = once.join(first, "around").where(F.col("row") != F.col("at.row")).select("row", F.col("at.row").alias("other"), (F.col("pos") - F.col("at.pos")).alias("shift"))
     aligned = spool(inside.unionByName(ahead.distinct()), "line-alignments")
-    for done in (within, once, first):
+    for done in (again, places, first):
         discard(done)
     return aligned
 
 
 def _runs(least: int) -> Column:
-    """Runs (first, last, begin, words) of equal lines with at least ``least`` words, from h, w, other_h and shift; ``begin`` counts words."""
+    """Runs of equal lines with at least ``least`` words, from h, w, other_h, other_w and shift, in words.
+
+    ``begin`` and ``other_begin`` are the first word in either text, ``words`` how many the run has; ``before``, ``after``,
+    ``other_before`` and ``other_after`` how many stand in the ``NEXT`` lines on either side.
+    """
     first = F.greatest(F.lit(0), F.col("shift"))
     many = F.greatest(F.lit(0), F.least(F.size("h"), F.size("other_h") + F.col("shift")) - first)
     equal = F.zip_with(F.slice("h", first + 1, many), F.slice("other_h", first - F.col("shift") + 1, many), lambda a, b: F.when(a == b, "1").otherwise("0"))
     stretches = F.transform(F.regexp_extract_all(F.array_join(equal, ""), F.lit("1+|0+"), F.lit(0)), lambda s: F.struct(F.length(s).alias("n"), s.startswith("1").alias("equal")))
-    words = lambda at, n: F.aggregate(F.slice("w", at + 1, n), F.lit(0), lambda x, y: x + y.cast("int"))
-    none = "CAST(array() AS array<struct<first: int, last: int, begin: int, words: int>>)"
-    start = F.struct(first.alias("at"), words(F.lit(0), first).alias("begin"), F.expr(none).alias("runs"))
-
-    def step(acc: Column, s: Column) -> Column:
-        n = words(acc["at"], s["n"])
-        run = F.array(F.struct(acc["at"].alias("first"), (acc["at"] + s["n"] - 1).alias("last"), acc["begin"].alias("begin"), n.alias("words")))
-        return F.struct((acc["at"] + s["n"]).alias("at"), (acc["begin"] + n).alias("begin"), F.when(s["equal"] & (n >= least), F.concat(acc["runs"], run)).otherwise(acc["runs"]).alias("runs"))
-
-    return F.aggregate(stretches, start, step, lambda acc: acc["runs"])
+    none = F.expr("CAST(array() AS array<struct<at: int, n: int>>)")
+    step = lambda acc, s: F.struct((acc["at"] + s["n"]).alias("at"), F.when(s["equal"], F.concat(acc["runs"], F.array(F.struct(acc["at"].alias("at"), s["n"].alias("n"))))).otherwise(acc["runs"]).alias("runs"))
+    runs = F.aggregate(stretches, F.struct(first.alias("at"), none.alias("runs")), step, lambda acc: acc["runs"])
+    words = lambda w, at, n: F.aggregate(F.slice(w, at + 1, n), F.lit(0), lambda x, y: x + y)
+    long = F.filter(F.transform(runs, lambda run: F.struct(run["at"].alias("at"), run["n"].alias("n"), words("w", run["at"], run["n"]).alias("words"))), lambda run: run["words"] >= least)
 
+    def placed(run: Column) -> Column:
+        sides = [run["words"].alias("words")]
+        for w, at, name in (("w", run["at"], ""), ("other_w", run["at"] - F.col("shift"), "other_")):
+            low = F.greatest(F.lit(0), at - NEXT)
+            sides += [words(w, F.lit(0), at).alias(name + "begin"), words(w, low, at - low).alias(name + "before"), words(w, at + run["n"], F.lit(NEXT)).alias(name + "after")]
+        return F.struct(*sides)
 
-def _words(lines: Column) -> Column:
-    return F.array_remove(F.split(F.array_join(lines, " "), " "), "")
+    return F.transform(long, placed)
 
 
 def _alike(one: Column, two: Column) -> Column:
@@ -144,17 +159,21 @@ def _alike(one: Column, two: Column) -> Column:
 
 
 def _ends(found: DataFrame, docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(row, first, last, before, after) of all line ranges that runs have in either text: the words on either side.
+    """(row, begin, words, left, right) of all ranges of words that runs have in either text: the words on either side.
 
     Ranges are gathered by text first, each once, so that a text goes through the join once however many meet it.
     """
-    ranges = found.select("row", "first", "last").unionByName(found.select(F.col("other").alias("row"), (F.col("first") - F.col("shift")).alias("first"), (F.col("last") - F.col("shift")).alias("last")))
-    asked = ranges.groupBy("row").agg(F.collect_set(F.struct("first", "last")).alias("ranges"))
-    texts = docs.select(_row_key(F.col(doc_id), F.col(text)).alias("row"), F.col(text).alias("text")).join(asked, "row").withColumn("lines", lines_of("text"))
-    each = texts.select("row", "lines", F.explode("ranges").alias("range")).select("row", "lines", "range.first", "range.last")
-    low = F.greatest(F.lit(0), F.col("first") - NEXT)
-    before = _words(F.slice("lines", low + 1, F.col("first") - low))
-    return each.select("row", "first", "last", before.alias("before"), _words(F.slice("lines", F.col("last") + 2, F.lit(NEXT))).alias("after"))
+    own = found.select("row", "begin", "words", "before", "after")
+    theirs = found.select(F.col("other").alias("row"), F.col("other_begin").alias("begin"), "words", F.col("other_before").alias("before"), F.col("other_after").alias("after"))
+    asked = own.unionByName(theirs).groupBy("row").agg(F.collect_set(F.struct("begin", "words", "before", "after")).alias("ranges"))
+    texts = docs.select(_row_key(F.col(doc_id), F.col(text)).alias("row"), F.col(text).alias("text")).join(asked, "row")
+
+    def sides(words: Column, of: Column) -> Column:
+        left = F.slice(words, of["begin"] - of["before"] + 1, of["before"])
+        return F.struct(of["begin"].alias("begin"), of["words"].alias("words"), left.alias("left"), F.slice(words, of["begin"] + of["words"] + 1, of["after"]).alias("right"))
+
+    each = F.get(F.transform(F.array(words_of("text")), lambda words: F.transform("ranges", lambda of: sides(words, of))), F.lit(0))  # a text's words are made once
+    return texts.select("row", F.explode_outer(each).alias("range")).select("row", "range.*")  # outer for the same reason; no text is without ranges
 
 
 def repeated_runs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
@@ -166,16 +185,16 @@ def repeated_runs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", m
         discard(whole)
     aligned = alignments(sequence, min(WINDOW, min_words))
     own = aligned.join(sequence, "row")
-    other = sequence.select(F.col("row").alias("other"), F.col("h").alias("other_h"))
-    found = own.join(other, "other").select("row", "doc", "other", "shift", F.explode(_runs(min(WINDOW, min_words))).alias("run")).select("row", "doc", "other", "shift", "run.*")
+    other = sequence.select(F.col("row").alias("other"), F.col("h").alias("other_h"), F.col("w").alias("other_w"))
+    found = own.join(other, "other").select("row", "doc", "other", F.explode_outer(_runs(min(WINDOW, min_words))).alias("run")).where("run IS NOT NULL").select("row", "doc", "other", "run.*")  # outer, else Spark makes the array twice, to test its size
     found = spool(found, "line-found")
     discard(aligned)
     discard(sequence)
     ends = _ends(found, docs, doc_id, text)
-    ends = spool(ends.dropDuplicates(["row", "first", "last"]) if repeated else ends, "line-ends")
-    theirs = ends.select(F.col("row").alias("other"), (F.col("first")).alias("other_first"), F.col("last").alias("other_last"), F.col("before").alias("other_before"), F.col("after").alias("other_after"))
-    met = found.withColumns({"other_first": F.col("first") - F.col("shift"), "other_last": F.col("last") - F.col("shift")}).join(theirs, ["other", "other_first", "other_last"]).join(ends, ["row", "first", "last"])
-    left, right = _alike(F.reverse("before"), F.reverse("other_before")), _alike(F.col("after"), F.col("other_after"))
+    ends = spool(ends.dropDuplicates(["row", "begin", "words"]) if repeated else ends, "line-ends")
+    theirs = ends.select(F.col("row").alias("other"), F.col("begin").alias("other_begin"), "words", F.col("left").alias("other_left"), F.col("right").alias("other_right"))
+    met = found.select("row", "doc", "other", "begin", "words", "other_begin").join(theirs, ["other", "other_begin", "words"]).join(ends, ["row", "begin", "words"])
+    left, right = _alike(F.reverse("left"), F.reverse("other_left")), _alike(F.col("right"), F.col("other_right"))
     grown = met.select("row", "doc", (F.col("begin") - left).alias("first"), (F.col("begin") + F.col("words") - 1 + right).alias("last")).where(F.col("last") - F.col("first") + 1 >= min_words)
     runs = spool(grown.groupBy("row", "doc").agg(F.array_sort(F.collect_set(F.struct("first", "last"))).alias("runs")), "line-runs")
     for done in (found, ends):
@@ -203,7 +222,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     same = (keyed["row"] == runs["row"]) & keyed["doc"].eqNullSafe(runs["doc"])
     joined = keyed.join(runs.hint("shuffle_hash"), same, "left").select("folio_row", "runs")
     body = F.col("folio_row")[text]
-    joined = joined.withColumn("pieces", F.when(F.col("runs").isNull(), None).when(unspaced(body), F.regexp_extract_all(body, F.lit(SIGNS), F.lit(0))).otherwise(F.regexp_extract_all(body, F.lit(r"\S++\s*+"), F.lit(0))))
+    joined = joined.withColumn("pieces", F.when(F.col("runs").isNull(), None).when(unspaced(body), F.regexp_extract_all(body, F.lit(SIGNS), F.lit(0))).otherwise(F.regexp_extract_all(body, F.lit(r"(?>\S+)\s*"), F.lit(0))))
     joined = joined.withColumn("kept", F.flatten(F.transform(_gaps(F.col("runs"), F.size("pieces")), lambda gap: F.slice("pieces", gap["at"] + 1, gap["n"]))))
     lead = F.when(F.size("kept") > 0, F.regexp_extract(body, r"^\s*", 0)).otherwise("")
     shorter = F.when(F.col("runs").isNull(), body).otherwise(F.concat(lead, F.array_join("kept", "")))

@@ -204,3 +204,31 @@ def test_scripts_without_spaces(spark):
     out = removed(spark, rows)
     assert out[1].n_removed == out[4].n_removed == 0 and out[1].text == rows[0][1] and out[4].text == rows[3][1]
     assert out[3].text == "" and out[2].text == rows[1][1].replace("。" + passage, "")
+
+
+def test_only_windows_that_occur_again_are_written(spark, monkeypatch):
+    """Texts repeat a short line, but no window: nothing but their lines is written; a window that occurs again is, at each place."""
+    written, spool = {}, L.spool
+
+    def noted(df, name):
+        out = spool(df, name)
+        written[name] = written.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(L, "spool", noted)
+    own = lambda i: [w for j in range(6) for w in (" ".join(f"d{i}l{j}w{k}" for k in range(9)) + ".", "Again.")]
+    rows = [(i, "\n".join(own(i))) for i in range(10)]
+    assert all(r.n_removed == 0 for r in removed(spark, rows).values())
+    assert written.pop("line-sequences") == 10 and sum(written.values()) == 0
+    written.clear()
+    both = " ".join(f"p{k}" for k in range(12)) + ".\n" + " ".join(f"q{k}" for k in range(12)) + "."
+    out = removed(spark, rows + [(20, both), (21, f"{both}\n{own(30)[0]}\n{both}")])
+    assert (out[20].n_removed, out[21].n_removed, written["line-places"]) == (0, 48, 3)
+
+
+def test_words_of_a_text_are_those_of_its_lines(spark):
+    rng = random.Random(4)
+    signs = ["a", "b1", "end,", "stop.", "x!", " ", "  ", "\n", "\t", "\r\n", " ", "漢字。", "ไทย", "день", "\u0001", "😀"]
+    rows = [("".join(rng.choice(signs) + rng.choice(["", " ", " ", " "]) for _ in range(rng.randrange(120))),) for _ in range(300)] + [(None,)]
+    got = spark.createDataFrame(rows, "t string").select(L.lines_of("t").alias("l"), L.words_of("t").alias("w")).collect()
+    assert all([w for line in r.l for w in line.split(" ") if w] == r.w for r in got)
