@@ -42,8 +42,8 @@ LONG, LEAST, MOST, ENDS = 16, 4, 12, ",;:ndND05нйνςの，、；：的了是"
 #: Lines end at line breaks and at the space behind the marks that end sentences; ``WORD`` and ``SPACE`` are a word of a tidy text and a space inside a line.
 MARKS = ".!?。！？"
 WORD, SPACE = r"(?>[^ \n]+)", rf"(?<![{MARKS}]) "
-#: A part: to the first word with one of ``ENDS`` from the word ``LEAST`` on, else ``MOST`` words or what is left. No word is read twice.
-PART = rf"(?:{WORD}{SPACE}){{{LEAST - 1}}}(?:{WORD}(?<![{ENDS}]){SPACE}){{0,{MOST - LEAST}}}+{WORD}|{WORD}(?:{SPACE}{WORD}){{0,{LEAST - 2}}}+"
+#: A part: to the first word with one of ``ENDS`` from the word ``LEAST`` on, else ``MOST`` words or what is left, with or without a space behind it.
+PART = rf"(?:{WORD}{SPACE}){{{LEAST - 1}}}(?:{WORD}(?<![{ENDS}]){SPACE}){{0,{MOST - LEAST}}}+{WORD}|{WORD}(?:{SPACE}{WORD}){{0,{MOST - 1}}}+"
 #: A whole line up to ``LONG`` words, or a part of one, where single spaces are between words.
 LINE = rf"(?:(?<![^\n])|(?<=(?:^|[{MARKS}\n]) )){WORD}(?:{SPACE}{WORD}){{0,{LONG - 1}}}+(?!{SPACE}[^ \n])|{PART}"
 #: Lines on either side of a match whose words are compared.

@@ -232,3 +232,9 @@ def test_words_of_a_text_are_those_of_its_lines(spark):
     rows = [("".join(rng.choice(signs) + rng.choice(["", " ", " ", " "]) for _ in range(rng.randrange(120))),) for _ in range(300)] + [(None,)]
     got = spark.createDataFrame(rows, "t string").select(L.lines_of("t").alias("l"), L.words_of("t").alias("w")).collect()
     assert all([w for line in r.l for w in line.split(" ") if w] == r.w for r in got)
+
+
+def test_a_space_at_the_end_of_a_long_line_changes_no_cut(spark):
+    text = " ".join(f"w{k}q" for k in range(21))
+    got = spark.createDataFrame([(text + end + "\nx",) for end in ("", " ", " \t")], "t string").select(L.lines_of("t").alias("l")).collect()
+    assert [[line.count(" ") + 1 for line in r.l] for r in got] == [[12, 9, 1]] * 3
