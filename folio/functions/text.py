@@ -193,11 +193,11 @@ def heading_topic(heading: Column) -> Column:
     return F.when(F.length(topic) < 4, "").otherwise(topic)
 
 
-def numbered_questions(text: Column, least: int = 8, most: int = 50) -> Column:
-    """The numbered lines of a text, without their numbers; short ones are none."""
+def numbered_questions(text: Column, least: int = 8) -> Column:
+    """All numbered lines of a text, without their numbers; short ones are none."""
     lead = r"^\s*(?:\d+|[一二三四五六七八九十]+)\s*[.、．)]\s*"
     lines = F.filter(F.split(text, r"\r\n?|\n"), lambda line: line.rlike(lead))
-    return F.slice(F.filter(F.transform(lines, lambda line: strip(F.regexp_replace(line, lead, ""))), lambda q: F.length(q) >= least), 1, most)
+    return F.filter(F.transform(lines, lambda line: strip(F.regexp_replace(line, lead, ""))), lambda q: F.length(q) >= least)
 
 
 def graded(checks: list[Column]) -> tuple[Column, Column]:

@@ -47,3 +47,14 @@ def test_exam_questions_of_every_topic_are_mapped(spark):
     asked = spark.createDataFrame([(1, ["topic-8"]), (2, [" Topic 8"])], "q int, c array<string>")
     pools = K.exam_pools(asked, "q", F.col("c"), spark.createDataFrame([("c08", 8, ["TOPIC 8"])], "chapter_id string, ord int, concepts array<string>"))
     assert {r.q: r.chapter_id for r in pools.collect()} == {1: "_unmapped", 2: "c08"}
+
+
+def test_every_question_is_kept(spark, tmp_path):
+    """Of 120 questions all are, in code and in SQL; short ones are still none."""
+    text = "Head. " + "short. ".join(f"Question {n:03}. " for n in range(120))
+    spark.createDataFrame([(1, text)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    made = registry.queries()["FN54_questions"](spark, str(tmp_path)).collect()
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    told = duck.execute(f"SELECT questions FROM ({registry.oracle_sql()['FN54_questions']})").fetchall()
+    assert [r.questions for r in made] == [r[0] for r in told] == ["|".join(f"Question {n:03}" for n in range(120))]
