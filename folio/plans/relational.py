@@ -12,6 +12,11 @@ from folio.session import table
 C = F.col
 
 
+def _in_file() -> list:
+    """Where a row stands: SQL on one thread takes the first of rows that its order leaves equal."""
+    return [C("_metadata.file_path").alias("file"), C("_metadata.row_index").alias("row")]
+
+
 @query("JN01_chunks_pages", "SELECT o_orderkey, l_linenumber, c_name, o_orderdate FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON c_custkey = o_custkey")
 def _(spark, sf):
     joined = table(spark, sf, "lineitem").join(table(spark, sf, "orders"), C("l_orderkey") == C("o_orderkey"))
@@ -80,8 +85,10 @@ def _(spark, sf):
 WITH g AS (SELECT l_orderkey, l_linenumber, arg_min(l_discount, l_partkey) AS earned FROM lineitem WHERE l_returnflag = 'R' GROUP BY ALL)
 SELECT l.l_orderkey, l.l_linenumber, least(greatest(coalesce(g.earned, 0) * 100, 0), l.l_quantity) AS earned FROM lineitem l LEFT JOIN g USING (l_orderkey, l_linenumber)""")
 def _(spark, sf):
+    """Of returned rows with one part the first in the file gives the points; those without a part or a discount give none."""
     lines = table(spark, sf, "lineitem")
-    graded = lines.where("l_returnflag = 'R'").groupBy("l_orderkey", "l_linenumber").agg(F.min_by("l_discount", "l_partkey").alias("earned"))
+    returned = lines.where("l_returnflag = 'R'").select("l_orderkey", "l_linenumber", "l_partkey", C("l_discount").alias("earned"), *_in_file())
+    graded = R.first_writer(returned, ["l_orderkey", "l_linenumber"], ["l_partkey", "file", "row"], "earned")
     joined = lines.select("l_orderkey", "l_linenumber", "l_quantity").join(graded, ["l_orderkey", "l_linenumber"], "left")
     return joined.select("l_orderkey", "l_linenumber", F.least(F.greatest(F.coalesce("earned", F.lit(0.0)) * 100, F.lit(0.0)), "l_quantity").alias("earned"))
 
@@ -107,7 +114,7 @@ def _(spark, sf):
 @query("AG04_ref_registry", "SELECT l_partkey, arg_min(l_shipdate, l_orderkey * 100 + l_linenumber) AS l_shipdate FROM lineitem GROUP BY l_partkey")
 def _(spark, sf):
     """Of rows with one place the first in the file writes."""
-    lines = table(spark, sf, "lineitem").select("l_partkey", "l_shipdate", (C("l_orderkey") * 100 + C("l_linenumber")).alias("place"), C("_metadata.file_path").alias("file"), C("_metadata.row_index").alias("row"))
+    lines = table(spark, sf, "lineitem").select("l_partkey", "l_shipdate", (C("l_orderkey") * 100 + C("l_linenumber")).alias("place"), *_in_file())
     return R.first_writer(lines, "l_partkey", ["place", "file", "row"], "l_shipdate")
 
 

@@ -58,3 +58,31 @@ def test_every_question_is_kept(spark, tmp_path):
     duck.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
     told = duck.execute(f"SELECT questions FROM ({registry.oracle_sql()['FN54_questions']})").fetchall()
     assert [r.questions for r in made] == [r[0] for r in told] == ["|".join(f"Question {n:03}" for n in range(120))]
+
+
+def in_duck(folder, source, columns, rows, sql):
+    """The rows of a statement over made rows, which are left as a file with row groups of 2,048 rows."""
+    duck = duckdb.connect()
+    duck.execute("SET threads = 1")
+    duck.execute(f"CREATE TABLE made ({columns})")
+    duck.executemany(f"INSERT INTO made VALUES ({', '.join('?' * len(rows[0]))})", rows)
+    duck.execute(f"COPY made TO '{folder}/{source}.parquet' (FORMAT parquet, ROW_GROUP_SIZE 2048)")
+    duck.execute(f"CREATE VIEW {source} AS SELECT * FROM '{folder}/{source}.parquet'")
+    told = duck.execute(sql)
+    names = [d[0] for d in told.description]
+    return sorted(tuple(plain(dict(zip(names, row))[c]) for c in sorted(names)) for row in told.fetchall())
+
+
+def of_spark(made):
+    columns = sorted(made.columns)
+    return sorted(tuple(plain(r[c]) for c in columns) for r in made.collect())
+
+
+def test_points_of_equal_parts_are_the_first_ones(spark, tmp_path):
+    """Several returned rows of a line with one part, discounts and parts that are null or no numbers, lines without a key."""
+    nan = float("nan")
+    rows = [(1, 1, 7, 0.03, "R", 9.0), (1, 1, 7, 0.01, "R", 9.0), (1, 1, 8, 0.09, "R", 0.5), (2, 1, 5, None, "R", 9.0), (2, 1, 6, 0.04, "R", None), (2, 1, 6, 0.02, "R", 9.0), (3, 1, None, 0.05, "R", 9.0), (3, 1, 9, 0.06, "N", 9.0)]
+    rows += [(4, 2, 3, nan, "R", 2.0), (4, 2, 3, 0.01, "R", 2.0), (5, 1, 2, -0.01, "R", 3.0), (None, 1, 2, 0.01, "R", 3.0), (6, None, 2, 0.01, "R", 3.0), (7, 1, 1, 0.01, None, 3.0)]
+    name, columns = "JN17_graded_points", "l_orderkey BIGINT, l_linenumber INTEGER, l_partkey BIGINT, l_discount DOUBLE, l_returnflag VARCHAR, l_quantity DOUBLE"
+    told = in_duck(tmp_path, "lineitem", columns, rows, registry.oracle_sql()[name])
+    assert of_spark(registry.queries()[name](spark, str(tmp_path))) == told
