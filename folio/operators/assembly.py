@@ -66,7 +66,10 @@ def _numbered(rows: DataFrame, taken: DataFrame, book: str, place: str) -> DataF
     kind = {f.name: f.dataType.simpleString() for f in rows.schema}
     odd = gone.join(kinds.where("NOT plain").select(book, "family"), [book, "family"], "left_semi")
     steps = odd.select(book, "family", F.lit(False).alias("free"), F.lit(None).cast(kind[place]).alias(place), F.col("slug").alias("base")).unionByName(told.where("NOT plain").select(book, "family", F.lit(True).alias("free"), place, "base"))
-    mended = steps.repartition(book, "family").sortWithinPartitions(book, "family", "free", place).mapInArrow(through, f"`{book}` {kind[book]}, `{place}` {kind[place]}, slug string")
+    # Both parts may already lie by book and family, each in partitions of its own number, and Spark leaves out a repartition by the
+    # columns that they lie by; one by a column made here is always done, so a family's taken slugs and places come into one task.
+    dealt = steps.withColumn("_deal", F.xxhash64(book, "family")).repartition("_deal").drop("_deal")
+    mended = dealt.sortWithinPartitions(book, "family", "free", place).mapInArrow(through, f"`{book}` {kind[book]}, `{place}` {kind[place]}, slug string")
     return by_window.unionByName(mended)
 
 

@@ -114,3 +114,20 @@ def test_tags_of_a_page_are_shuffled_once(spark, tmp_path):
     assert plan(made).count("Exchange") == 1
     got = sorted((r.id, r.kind, r.name, r.start, r.end, r.block_start, r.block_end) for r in made.collect())
     assert got == [(0, "empty", "QuizBlock", 0, 23, 0, 23), (0, "stray", "QuizItemSlot", 26, 42, None, None), (1, "empty", "QuizBlock", 49, 73, 49, 73), (1, "item", "QuizItem", 15, 37, 0, 49), (1, "unknown", "A", 11, 15, 0, 49)]
+
+
+def test_taken_slugs_meet_their_places_without_broadcast(spark):
+    """Also where taken slugs and places come from joins by the same columns and are few and many: both are one task's."""
+    held = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k", "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1k"}
+    before = {k: spark.conf.get(k, None) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        rows = spark.range(0, 60_000, 1, 4).select((F.col("id") % 60).cast("string").alias("book"), F.floor(F.col("id") / 60).alias("place"), F.lit("a rather long print of a chapter ").alias("print"), F.concat(F.lit("pin-"), F.floor(F.col("id") / 60) % 10).alias("slug"))
+        chapters = rows.withColumn("print", F.concat("print", "place"))
+        pins = chapters.where("place < 20 AND place % 2 = 0").select("book", "print", F.concat(F.lit("pin-"), "place").alias("pin"))
+        got = assembly.pinned_slugs(chapters, pins, "book", "place").collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert len(got) == 60_000 and len({(r.book, r.slug) for r in got}) == 60_000
