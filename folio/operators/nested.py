@@ -1,7 +1,7 @@
 """JSON values of any depth as rows: one row for each value, with its place, and values put together from rows again.
 
-A value is taken apart level by level, all rows of a level at once, so the number of rounds is the depth of the deepest
-value and no recursion runs inside a row. Types come from VARIANT; the order of an object's keys, which VARIANT does not
+Where levels depend on each other, a value is taken apart level by level, all rows of a level at once, so the number of
+rounds is the depth of the deepest value and no recursion runs inside a row. Types come from VARIANT; the order of an object's keys, which VARIANT does not
 keep, comes from the text.
 """
 
@@ -150,13 +150,37 @@ def cut_text(text: Column, most: int, per: int = 3) -> Column:
     return F.lit("") if most <= 0 else F.when(tokens <= most, text).otherwise(F.concat(F.substring(text, F.lit(1), keep), F.lit("\n\n[truncated]")))
 
 
+#: The tokens of a JSON text: strings, numbers and words, signs. White space is none.
+JSON_TOKEN = r'(?s)"(?:[^"\\]++|\\.)*+"|[^"\[\]{}:, \t\n\r]++|[\[\]{}:,]'
+
+
+def _first_value(tokens: Column) -> Column:
+    """The tokens of the first value: what stands behind it is not read, as VARIANT doesn't."""
+    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("n"), F.lit(False).alias("done"))
+
+    def step(at: Column, token: Column) -> Column:
+        depth = at["depth"] + F.when(token.isin("{", "["), 1).when(token.isin("}", "]"), -1).otherwise(0)
+        return F.when(at["done"], at).otherwise(F.struct(depth.alias("depth"), (at["n"] + 1).alias("n"), (depth == 0).alias("done")))
+
+    return let(tokens, lambda all: F.slice(all, F.lit(1), F.aggregate(all, start, step)["n"]))
+
+
 def compacted(rows: DataFrame, key: str, json: str, most: int) -> DataFrame:
-    """(key, json): the value with every string in it cut to ``most`` tokens; names, order and all else stay."""
-    leaf = F.when(F.col("kind") == "string", _quoted(cut_text(F.col("text"), most))).otherwise(F.coalesce("text", F.lit("null")))
-    members = F.array_join(F.transform("children", lambda c: F.concat(_quoted(c["name"]), F.lit(":"), c["value"])), ",")
-    items = F.array_join(F.transform("children", lambda c: c["value"]), ",")
-    branch = F.when(F.col("kind") == "object", F.concat(F.lit("{"), members, F.lit("}"))).otherwise(F.concat(F.lit("["), items, F.lit("]")))
-    return folded(levels(rows, key, json), key, leaf, branch).select(key, F.col("value").alias("json"))
+    """(key, json): the value with every string in it cut to ``most`` tokens; names, order and all else stay.
+
+    A string is cut alike at any depth, so the text is read token by token inside the task and nothing is written. Texts
+    that are no JSON have no rows.
+    """
+    decoded = lambda token: F.parse_json(token).cast("string")
+
+    def told(token: Column, after: Column) -> Column:
+        name, text = _quoted(decoded(token)), let(decoded(token), lambda t: _quoted(cut_text(t, most)))
+        string = token.startswith('"')
+        return F.when(string & (after == ":"), name).when(string, text).when(token.isin(*"{}[]:,"), token).otherwise(F.to_json(F.parse_json(token)))
+
+    tokens = _first_value(F.regexp_extract_all(json, F.lit(JSON_TOKEN), F.lit(0)))
+    made = let(tokens, lambda all: F.array_join(F.transform(all, lambda token, i: told(token, F.coalesce(F.get(all, i + 1), F.lit("")))), ""))
+    return rows.where(F.try_parse_json(json).isNotNull()).select(key, made.alias("json"))
 
 
 def bare_math(text: Column) -> Column:

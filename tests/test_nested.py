@@ -65,6 +65,19 @@ def test_every_string_is_cut_and_the_rest_stays(spark, values):
         assert json.dumps(json.loads(got[i])) == json.dumps(cut(v, 4)), v  # dumps: the order of keys counts
 
 
+def test_cutting_writes_and_shuffles_nothing(spark, monkeypatch):
+    """Strings are cut where they stand; keys may repeat or be null, names that look like strings stay, what stands behind the value is not read."""
+    monkeypatch.setattr(N, "written", lambda rows, name: pytest.fail("written"))
+    long = "ab:\"c\\ " * 9
+    told = cut(long, 4)
+    texts = [(1, json.dumps({long: [long, {"a:": "b:"}]}, indent=2)), (1, json.dumps(long)), (None, json.dumps([[long], None, 1.5, True])), (2, f"[{json.dumps(long)} , 2 ] : [3"), (3, "[1"), (4, "[" * 300 + json.dumps(long) + "]" * 300)]
+    made = N.compacted(spark.createDataFrame(texts, ROWS), "k", "body", 4)
+    assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+    short = lambda v: json.dumps(v, separators=(",", ":"))
+    want = [(1, short({long: [told, {"a:": "b:"}]})), (1, short(told)), (None, short([[told], None, 1.5, True])), (2, short([told, 2])), (4, "[" * 300 + short(told) + "]" * 300)]
+    assert [tuple(r) for r in made.collect()] == want
+
+
 def test_texts_of_blocks(spark):
     blocks = [
         {"type": "text", "content": "plain \r\n text "},
