@@ -83,13 +83,17 @@ def slugs_of(chapters: DataFrame, book: str, place: str, title: str, reserved: l
 def pinned_slugs(chapters: DataFrame, registry: DataFrame, book: str, place: str) -> DataFrame:
     """(book, place, slug): slugs that the registry has for a fingerprint stay; new chapters take theirs if no pin has it.
 
-    ``chapters``: book, place, print, slug (unique within the book); ``registry``: book, print, pin.
+    ``chapters``: book, place, print, slug (unique within the book); ``registry``: book, print, pin. Chapters without a
+    book meet no others: they have their pin or their own slug; one without a slug has none.
     """
     first = Window.partitionBy(book, F.lower("pin")).orderBy(place)
-    rows = chapters.join(registry, [book, "print"], "left").withColumn("holds", F.col("pin").isNotNull() & (F.row_number().over(first) == 1))
-    held = rows.where("holds").select(book, place, F.col("pin").alias("slug"))
-    taken = held.select(book, "slug").unionByName(chapters.select(book).distinct().withColumn("slug", F.lit("appendix")))
-    return held.unionByName(_numbered(rows.where("NOT holds").select(book, place, F.col("slug").alias("base")), taken, book, place))
+    pins = registry.select(F.col(book).alias("_book"), F.col("print").alias("_print"), "pin")
+    pinned = chapters.join(pins, F.col(book).eqNullSafe(F.col("_book")) & (F.col("print") == F.col("_print")), "left").drop("_book", "_print")
+    rows = pinned.withColumn("holds", F.col("pin").isNotNull() & (F.col(book).isNull() | (F.row_number().over(first) == 1)))
+    alone = F.col(book).isNull() | F.col("slug").isNull()
+    held = rows.where(F.col("holds") | alone).select(book, place, F.when(F.col("holds"), F.col("pin")).otherwise(F.col("slug")).alias("slug"))
+    taken = held.where("slug IS NOT NULL").select(book, "slug").unionByName(chapters.select(book).distinct().withColumn("slug", F.lit("appendix")))
+    return held.unionByName(_numbered(rows.where(~F.col("holds") & ~alone).select(book, place, F.col("slug").alias("base")), taken, book, place))
 
 
 def file_stems(names: DataFrame, group: str, place: str, name: str) -> DataFrame:

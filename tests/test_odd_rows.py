@@ -86,3 +86,11 @@ def test_points_of_equal_parts_are_the_first_ones(spark, tmp_path):
     name, columns = "JN17_graded_points", "l_orderkey BIGINT, l_linenumber INTEGER, l_partkey BIGINT, l_discount DOUBLE, l_returnflag VARCHAR, l_quantity DOUBLE"
     told = in_duck(tmp_path, "lineitem", columns, rows, registry.oracle_sql()[name])
     assert of_spark(registry.queries()[name](spark, str(tmp_path))) == told
+
+
+def test_chapters_without_a_book_keep_their_rows(spark, tmp_path):
+    """Customers without a nation or without a key, negative keys, and pins that are taken or not."""
+    rows = [(k, k % 2) for k in range(-40, 40)] + [(k, 3) for k in (99, 100, 102, 103, 104)] + [(k, None) for k in (300, 301, 302, None)] + [(None, 3), (None, 3)]
+    name = "WN07_pinned_slugs"
+    told = in_duck(tmp_path, "customer", "c_custkey BIGINT, c_nationkey INTEGER", rows, registry.oracle_sql()[name])
+    assert of_spark(registry.queries()[name](spark, str(tmp_path))) == told and len(told) == len(rows)
